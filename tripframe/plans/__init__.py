@@ -7,5 +7,7 @@ def load_all():
     """Import every catalog module so their queries register."""
     from tripframe.plans import (  # noqa: F401
         q_clean,
+        q_outliers,
+        q_profile,
     )
     return QUERIES, ORACLE
