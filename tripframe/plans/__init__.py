@@ -9,5 +9,6 @@ def load_all():
         q_clean,
         q_outliers,
         q_profile,
+        q_splits,
     )
     return QUERIES, ORACLE
