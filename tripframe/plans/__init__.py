@@ -10,5 +10,6 @@ def load_all():
         q_outliers,
         q_profile,
         q_splits,
+        q_features,
     )
     return QUERIES, ORACLE
