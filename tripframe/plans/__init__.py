@@ -11,5 +11,6 @@ def load_all():
         q_profile,
         q_splits,
         q_features,
+        q_sequence,
     )
     return QUERIES, ORACLE
