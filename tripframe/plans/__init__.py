@@ -12,5 +12,6 @@ def load_all():
         q_splits,
         q_features,
         q_sequence,
+        q_model,
     )
     return QUERIES, ORACLE

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripframe.functions import clock
 from tripframe.functions.text import zfill
 
 
@@ -105,3 +106,35 @@ def line_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("TIME_GAP"),
         F.col("l_returnflag").alias("FLAG"),
     )
+
+
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 ``comparison``: actual event times and absolute errors of a model
+    and of an incumbent predictor, derived from ``travel_obs``.
+
+    EVENT rows carry travel times, PATRN rows service (dwell) times. The
+    model predicts the mean TIME_GAP of (segment, time-of-day class), the
+    incumbent the mean of the segment; both are fitted with
+    ``model.fit_group_mean`` on the whole table.
+    """
+    from tripframe.operators import model
+
+    obs = travel_obs(spark, sf_dir).withColumn(
+        "tod_class", clock.tod_class(clock.hour_of("DEP_TIME")))
+    ai_lvls = [["BUSINFOUNIT_ID", "tod_class"]]
+    bis_lvls = [["BUSINFOUNIT_ID"]]
+    x = model.score_group_mean(obs, model.fit_group_mean(obs, ai_lvls), ai_lvls, "_ai")
+    x = model.score_group_mean(x, model.fit_group_mean(obs, bis_lvls), bis_lvls, "_bis")
+    tg = F.col("TIME_GAP").cast("double")
+    is_travel = F.col("DATA_TYPE") == "EVENT"
+    d_ai = F.abs(tg - F.col("_ai"))
+    d_bis = F.abs(tg - F.col("_bis"))
+    return x.select(
+        "obs_id",
+        F.when(is_travel, tg).alias("TRAVEL_TIME_EVENT"),
+        F.when(~is_travel, tg).alias("SERVICE_TIME_EVENT"),
+        F.when(is_travel, d_ai).alias("DIFF_EVENT_AI"),
+        F.when(is_travel, d_bis).alias("DIFF_EVENT_BIS"),
+        F.when(~is_travel, d_ai).alias("DIFF_EVENT_SERVICE_AI"),
+        F.when(~is_travel, d_bis).alias("DIFF_EVENT_SERVICE_BIS"),
+    )
