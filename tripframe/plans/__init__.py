@@ -13,5 +13,6 @@ def load_all():
         q_features,
         q_sequence,
         q_model,
+        q_io,
     )
     return QUERIES, ORACLE

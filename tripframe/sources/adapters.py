@@ -25,7 +25,11 @@ def _k(props: Column) -> Column:
 
 def travel_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 ``travel_obs`` from ``events`` (one row per event)."""
-    ev = table(spark, sf_dir, "events")
+    return travel_obs_from(table(spark, sf_dir, "events"))
+
+
+def travel_obs_from(ev: DataFrame) -> DataFrame:
+    """The ``travel_obs`` projection of an events frame (batch or stream)."""
     k = _k(F.col("props"))
     length = (k * 20).cast("int")
     gap = F.floor("value").cast("int")
