@@ -88,9 +88,11 @@ def stratified_split_fallback(df: DataFrame, keys: Sequence[str], key: str = "ob
     then val/(1-val) of train moves to validation (if it was empty) and
     (1-train-val)/(1-train) of the remaining train to test (if it was empty).
 
-    The emptiness flags are a one-row aggregate joined lazily, so the plan
-    never returns to the driver."""
-    split = stratified_split(df, keys, key, seed, train, val)
+    The emptiness flags are a one-row aggregate joined lazily. Each pass is
+    checkpointed to the shared checkpoint folder (reliable, survives
+    executor loss) so later passes read it instead of re-running the
+    earlier ones."""
+    split = stratified_split(df, keys, key, seed, train, val).checkpoint()
     flags = split.agg(
         (F.count_if(F.col(DATASET) == VAL) == 0).alias("_val_empty"),
         (F.count_if(F.col(DATASET) == TEST) == 0).alias("_test_empty"))
@@ -98,7 +100,7 @@ def stratified_split_fallback(df: DataFrame, keys: Sequence[str], key: str = "ob
     any_empty = F.col("_val_empty") | F.col("_test_empty")
     x = x.withColumn(DATASET, F.when((F.col(DATASET) == "") & any_empty, F.lit(TEST))
                      .otherwise(F.col(DATASET)))
-    x = _move_fraction(x, val / (1 - val), F.col("_val_empty"), VAL, key, seed + 1)
+    x = _move_fraction(x, val / (1 - val), F.col("_val_empty"), VAL, key, seed + 1).checkpoint()
     x = _move_fraction(x, (1 - train - val) / (1 - train), F.col("_test_empty"), TEST,
                        key, seed + 2)
     return x.drop("_val_empty", "_test_empty")

@@ -17,6 +17,7 @@ from tripframe.plans.q_splits import OBS_SMALL, RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
 from tripframe.plans.sqlviews import HOLDING_OBS, LINE_OBS, TRAVEL_OBS, with_views
 from tripframe.sources import adapters as A
+from tripframe.sources import files
 
 TWO_PI = repr(2 * math.pi)
 H = P.hour("DEP_TIME")
@@ -140,7 +141,7 @@ fit2 AS (SELECT mean_LEN, CASE WHEN sd_LEN IS NULL OR sd_LEN = 0 THEN 1.0 ELSE s
 
 def _split_small(spark, sf_dir):
     obs = _obs(spark, sf_dir).select("obs_id", "LEN", "TIME_GAP", "BUSINFOUNIT_ID", "BUSROUTE_ID")
-    return splits.random_split(obs)
+    return files.stage_table(splits.random_split(obs), "small_split")
 
 
 def _scaled(spark, sf_dir):
@@ -220,7 +221,7 @@ voc AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS
 
 
 def _line_split(spark, sf_dir):
-    return splits.date_split(A.line_obs(spark, sf_dir))
+    return files.stage_table(splits.date_split(A.line_obs(spark, sf_dir)), "line_split")
 
 
 def _train_vocab(ls):
@@ -322,7 +323,7 @@ FROM s, fit2""")
 def q_feature_matrix(spark, sf_dir):
     """the ordered 9-column travel feature set plus the hashed segment id
     (LEN scaler fit on the train split)."""
-    s = splits.random_split(_obs(spark, sf_dir))
+    s = files.stage_table(splits.random_split(_obs(spark, sf_dir)), "feature_split")
     fit = encode.fit_standard(s.filter(F.col("dataset") == "train"), ["LEN"])
     x = featuresets.travel_features(encode.apply_standard(s, fit, ["LEN"]))
     return x.select("obs_id", "dataset", *featuresets.TRAVEL_FEATURES, "unit_hash")

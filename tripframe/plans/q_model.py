@@ -15,6 +15,7 @@ from tripframe.plans.registry import query
 from tripframe.plans.sqlviews import TRAVEL_OBS, with_views
 from tripframe.session import ensure_checkpoint_dir
 from tripframe.sources import adapters as A
+from tripframe.sources import files
 
 LEVELS = [["BUSINFOUNIT_ID", "tod_class"], ["BUSINFOUNIT_ID"], []]
 
@@ -34,12 +35,13 @@ def _split(spark, sf_dir):
     obs = A.travel_obs(spark, sf_dir).select(
         "obs_id", "BUSROUTE_ID", "BUSINFOUNIT_ID", "DEP_TIME", "LEN", "TIME_GAP",
         clock.tod_class(clock.hour_of("DEP_TIME")).alias("tod_class"))
-    return splits.random_split(obs)
+    return files.stage_table(splits.random_split(obs), "travel_split", "dataset")
 
 
 def _scored(spark, sf_dir, keep_actuals=True):
     s = _split(spark, sf_dir)
-    fits = model.fit_group_mean(s.filter(F.col("dataset") == "train"), LEVELS)
+    fits = [files.stage_table(f, f"group_mean_fit{i}") for i, f in
+            enumerate(model.fit_group_mean(s.filter(F.col("dataset") == "train"), LEVELS))]
     test = s.filter(F.col("dataset") == "test").drop("dataset")
     if not keep_actuals:
         test = test.drop("TIME_GAP")
@@ -258,7 +260,7 @@ def q_per_group_regression(spark, sf_dir):
     obs = A.travel_obs(spark, sf_dir).select(
         "obs_id", "BUSINFOUNIT_ID", "DAY_TYPE", clock.minute_of_day("DEP_TIME").alias("minute_of_day"),
         "TIME_GAP")
-    s = splits.random_split(obs)
+    s = files.stage_table(splits.random_split(obs), "regression_split")
     keys = ["BUSINFOUNIT_ID", "DAY_TYPE"]
     fit = model.fit_per_group_line(s.filter(F.col("dataset") == "train"), keys, "minute_of_day", "TIME_GAP")
     val = s.filter(F.col("dataset") == "validation")
@@ -270,7 +272,7 @@ def q_per_group_regression(spark, sf_dir):
 
 # Spark ML fits (rows-only) ------------------------------------
 def _ml_frame(spark, sf_dir):
-    s = splits.random_split(A.travel_obs(spark, sf_dir))
+    s = files.stage_table(splits.random_split(A.travel_obs(spark, sf_dir)), "ml_split")
     fit = encode.fit_standard(s.filter(F.col("dataset") == "train"), ["LEN"])
     x = featuresets.travel_features(encode.apply_standard(s, fit, ["LEN"]))
     return x.withColumn("w", features.distance_weight("LEN")).withColumn(

@@ -82,3 +82,23 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
+
+
+def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return the read-back: a lineage cut for results that several later
+    steps reuse (a split feeding fits and scoring), so the input is not
+    rescanned per consumer. Survives executor loss; columnar reads keep
+    pruning and pushdown, and AQE sees real sizes. ``partition_by`` (e.g.
+    the split column) lets later filters on it skip whole folders."""
+    import os
+    import uuid
+
+    from tripframe.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "stage", f"{name}-{uuid.uuid4().hex[:10]}")
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path)
