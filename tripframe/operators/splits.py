@@ -54,6 +54,19 @@ def random_split(df: DataFrame, key: str = "obs_id", seed: int = 42,
     return _assign(df, [], key, seed, _ratio_cuts(train, val), [TRAIN, VAL, TEST])
 
 
+def two_step_split(df: DataFrame, key: str = "obs_id", seed: int = 42,
+                   test: float = 0.3, half: float = 0.5) -> DataFrame:
+    """Hold out ceil(test*n) rows, then split the hold-out into
+    validation and ceil(half*t) test rows (train_test_split's rounding),
+    all in one seeded order: train [0, a), validation [a, a + t - ceil(half*t)),
+    test after, with a = n - ceil(test*n) and t = n - a."""
+    def cuts(n: Column) -> list[Column]:
+        a = n - F.ceil(F.lit(float(test)) * n)
+        t = n - a
+        return [a, a + t - F.ceil(F.lit(float(half)) * t)]
+    return _assign(df, [], key, seed, cuts, [TRAIN, VAL, TEST])
+
+
 def stratified_split(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
                      seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Per key combination floor(.7n) train, floor(.15n) validation, the

@@ -347,3 +347,17 @@ def q_clip_zero(spark, sf_dir):
     mu = obs.agg(F.avg("TIME_GAP").alias("mu"))
     x = obs.crossJoin(F.broadcast(mu)).withColumn("centred", F.col("TIME_GAP") - F.col("mu"))
     return x.select("obs_id", "centred", features.clip_zero("centred").alias("clipped"))
+
+
+@query("holding_features", with_views(HOLDING_OBS) + f"""
+SELECT obs_id, {H} AS dep_hour, minute({P.clock('DEP_TIME')}) AS dep_minute,
+  sin({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_sin,
+  cos({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_cos, {P.tod_class(H)} AS time_of_day,
+  CAST(({H} >= 7 AND {H} < 10) OR ({H} >= 17 AND {H} < 20) AS INTEGER) AS peak_hours,
+  {P.md5_mod('BUSROUTE_ID', 1452)} AS route_hash, {P.md5_mod('BUSSTOP_ID', 13693)} AS stop_hash
+FROM hobs""")
+def q_holding_features(spark, sf_dir):
+    """F24 holding set: 6 time features (evening peak from 17h) and the
+    route / stop md5 buckets with the stored best sizes (1452, 13693)."""
+    x = featuresets.holding_features(A.holding_obs(spark, sf_dir))
+    return x.select("obs_id", *featuresets.HOLDING_FEATURES, "route_hash", "stop_hash")

@@ -12,7 +12,7 @@ from tripframe.operators import encode, evaluate, model, splits
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_splits import RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
-from tripframe.plans.sqlviews import TRAVEL_OBS, with_views
+from tripframe.plans.sqlviews import HOLDING_OBS, TRAVEL_OBS, with_views
 from tripframe.session import ensure_checkpoint_dir
 from tripframe.sources import adapters as A
 from tripframe.sources import files
@@ -316,3 +316,29 @@ def q_tuned_fit_score(spark, sf_dir):
     loaded = model.load_model(path)
     return model.score(loaded, x.filter(F.col("dataset") == "test")).select(
         "obs_id", "TIME_GAP", "prediction", "TIME_GAP_ESTIMATE")
+
+
+HOLD_LEVELS = [["BUSROUTE_ID", "BUSSTOP_ID"], ["BUSROUTE_ID"], []]
+
+
+@query("banded_comparison_holding", with_views(HOLDING_OBS, "hs AS (" + sql_assign(
+    "hobs", [], 42, RATIO_CUTS, TVT) + ")", """
+h0 AS (SELECT BUSROUTE_ID, BUSSTOP_ID, avg(TIME_GAP) AS _m0 FROM hs WHERE dataset = 'train' GROUP BY ALL),
+h1 AS (SELECT BUSROUTE_ID, avg(TIME_GAP) AS _m1 FROM hs WHERE dataset = 'train' GROUP BY ALL),
+h2 AS (SELECT avg(TIME_GAP) AS _m2 FROM hs WHERE dataset = 'train'),
+hsc AS (SELECT hs.*, coalesce(_m0, _m1, _m2) AS prediction FROM hs
+        LEFT JOIN h0 USING (BUSROUTE_ID, BUSSTOP_ID) LEFT JOIN h1 USING (BUSROUTE_ID) CROSS JOIN h2
+        WHERE dataset = 'test')""") + """
+SELECT obs_id, band AS Category, CAST(TIME_GAP AS DOUBLE) AS Actual, prediction AS Predicted,
+       abs(CAST(TIME_GAP AS DOUBLE) - prediction) AS "Absolute Error" FROM (
+  SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('42|' || CAST(obs_id AS VARCHAR)), obs_id) - 1 AS _pos
+  FROM (SELECT *, CASE WHEN TIME_GAP < 15 THEN '<15s' WHEN TIME_GAP < 30 THEN '15s-30s' ELSE '>=30s' END AS band
+        FROM hsc)) WHERE _pos < 20""")
+def q_banded_comparison_holding(spark, sf_dir):
+    """I12 holding form: dwell-time bands <15 s, 15-30 s, >=30 s; model =
+    (route, stop) mean fit on the train split."""
+    s = files.stage_table(splits.random_split(A.holding_obs(spark, sf_dir)), "holding_split", "dataset")
+    fits = model.fit_group_mean(s.filter(F.col("dataset") == "train"), HOLD_LEVELS)
+    test = s.filter(F.col("dataset") == "test").drop("dataset")
+    sc = model.score_group_mean(test, fits, HOLD_LEVELS)
+    return evaluate.banded_comparison(sc, bands=evaluate.HOLDING_BANDS)

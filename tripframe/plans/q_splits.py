@@ -173,3 +173,12 @@ SELECT * EXCLUDE (_pos), CAST(_pos % 5 AS INTEGER) AS fold FROM (
 def q_kfold(spark, sf_dir):
     """Stratified 5-fold index per (route, segment)."""
     return splits.kfold(_obs_small(spark, sf_dir), ["BUSROUTE_ID", "BUSINFOUNIT_ID"], 5)
+
+
+@query("split_two_step", with_views(TRAVEL_OBS, OBS_SMALL) + sql_assign(
+    "small", [], 42, ["n - ceil(0.3::DOUBLE * n)",
+                      "n - ceil(0.3::DOUBLE * n) + ceil(0.3::DOUBLE * n) - ceil(0.5::DOUBLE * ceil(0.3::DOUBLE * n))"],
+    TVT))
+def q_split_two_step(spark, sf_dir):
+    """70/30 then 50/50 of the hold-out, with ceil rounding of the held-out sizes."""
+    return splits.two_step_split(_obs_small(spark, sf_dir))
