@@ -29,8 +29,8 @@ def _obs(spark, sf_dir):
 
 # F1-F3 ---------------------------------------------------------------------
 @query("time_features", with_views(TRAVEL_OBS) + f"""
-SELECT obs_id, DEP_TIME, {H} AS dep_hour, minute({P.clock('DEP_TIME')}) AS dep_minute,
-       {H} * 60 + minute({P.clock('DEP_TIME')}) AS minute_of_day FROM obs""")
+SELECT obs_id, DEP_TIME, {H} AS dep_hour, {P.minute('DEP_TIME')} AS dep_minute,
+       {H} * 60 + {P.minute('DEP_TIME')} AS minute_of_day FROM obs""")
 def q_time_features(spark, sf_dir):
     """hour, minute and minute of day of the departure time."""
     return _obs(spark, sf_dir).select(
@@ -289,13 +289,13 @@ def q_composite_key(spark, sf_dir):
 @query("weights", with_views(TRAVEL_OBS, """
 tf AS (SELECT avg(TIME_GAP) AS m, CASE WHEN stddev_pop(TIME_GAP) = 0 THEN 1.0 ELSE stddev_pop(TIME_GAP) END AS sc FROM obs)""") + """
 SELECT obs_id, LEN, DATA_TYPE,
-  CASE WHEN LEN >= 500 THEN 3.5 ELSE 1.0 END AS w_travel,
-  CASE WHEN LEN >= 100 THEN 3.0 ELSE 1.0 END AS w_route_feat,
-  CASE WHEN LEN >= 500 THEN 3.0 ELSE 1.0 END AS w_route,
-  CASE WHEN LEN >= 1500 THEN 2.0 ELSE 1.0 END AS w_legacy,
-  CASE WHEN DATA_TYPE = 'EVENT' THEN 0.8 WHEN DATA_TYPE = 'PATRN' THEN 0.2 END
-    * CASE WHEN LEN >= 500 THEN 3.0 ELSE 1.0 END AS w_data_type,
-  CASE WHEN (TIME_GAP - m) / sc > 0.3 THEN 10.0 ELSE 1.0 END AS w_target
+  CASE WHEN LEN >= 500 THEN 3.5 ELSE 1.0 END::DOUBLE AS w_travel,
+  CASE WHEN LEN >= 100 THEN 3.0 ELSE 1.0 END::DOUBLE AS w_route_feat,
+  CASE WHEN LEN >= 500 THEN 3.0 ELSE 1.0 END::DOUBLE AS w_route,
+  CASE WHEN LEN >= 1500 THEN 2.0 ELSE 1.0 END::DOUBLE AS w_legacy,
+  CASE WHEN DATA_TYPE = 'EVENT' THEN 0.8::DOUBLE WHEN DATA_TYPE = 'PATRN' THEN 0.2::DOUBLE END
+    * CASE WHEN LEN >= 500 THEN 3.0 ELSE 1.0 END::DOUBLE AS w_data_type,
+  CASE WHEN (TIME_GAP - m) / sc > 0.3 THEN 10.0 ELSE 1.0 END::DOUBLE AS w_target
 FROM obs, tf""")
 def q_weights(spark, sf_dir):
     """F21 distance weights (4 variants), F22 data-type weight, F23 target weight."""
@@ -311,7 +311,7 @@ def q_weights(spark, sf_dir):
 
 # F24-F26 -------------------------------------------------------------------
 @query("feature_matrix", with_views(TRAVEL_OBS, "small2 AS (SELECT * FROM obs)", SPLIT_SQL, STD_FIT) + f"""
-SELECT obs_id, dataset, {H} AS dep_hour, minute({P.clock('DEP_TIME')}) AS dep_minute,
+SELECT obs_id, dataset, {H} AS dep_hour, {P.minute('DEP_TIME')} AS dep_minute,
   (LEN - mean_LEN) / sc_LEN AS LEN_scaled,
   sin({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_sin,
   cos({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_cos,
@@ -350,7 +350,7 @@ def q_clip_zero(spark, sf_dir):
 
 
 @query("holding_features", with_views(HOLDING_OBS) + f"""
-SELECT obs_id, {H} AS dep_hour, minute({P.clock('DEP_TIME')}) AS dep_minute,
+SELECT obs_id, {H} AS dep_hour, {P.minute('DEP_TIME')} AS dep_minute,
   sin({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_sin,
   cos({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_cos, {P.tod_class(H)} AS time_of_day,
   CAST(({H} >= 7 AND {H} < 10) OR ({H} >= 17 AND {H} < 20) AS INTEGER) AS peak_hours,

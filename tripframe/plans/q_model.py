@@ -241,7 +241,7 @@ def q_bin_drilldown(spark, sf_dir):
 
 
 # I3 ------------------------------------------------------------------------
-MOD = f"(hour({P.clock('DEP_TIME')}) * 60 + minute({P.clock('DEP_TIME')}))"
+MOD = f"({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')})"
 
 
 @query("per_group_regression", with_views(TRAVEL_OBS, f"""

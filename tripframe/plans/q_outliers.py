@@ -55,12 +55,12 @@ def q_fence_summary(spark, sf_dir):
 @query("iqr_topk", with_views(TRAVEL_OBS, OBS_TG_BOUNDS) + """
 SELECT * FROM (
   SELECT 'upper' AS side, obs_id, TIME_GAP,
-         row_number() OVER (ORDER BY TIME_GAP DESC, obs_id) AS rank
+         CAST(row_number() OVER (ORDER BY TIME_GAP DESC, obs_id) AS INTEGER) AS rank
   FROM obs, tb WHERE TIME_GAP > hi) WHERE rank <= 20
 UNION ALL
 SELECT * FROM (
   SELECT 'lower' AS side, obs_id, TIME_GAP,
-         row_number() OVER (ORDER BY TIME_GAP, obs_id) AS rank
+         CAST(row_number() OVER (ORDER BY TIME_GAP, obs_id) AS INTEGER) AS rank
   FROM obs, tb WHERE TIME_GAP < lo) WHERE rank <= 5""")
 def q_iqr_topk(spark, sf_dir):
     """C4 lists: top 20 upper TIME_GAP outliers, 5 lowest lower ones."""
@@ -74,11 +74,11 @@ sb AS (SELECT quantile_cont(SPEED, 0.25) - 1.5::DOUBLE * (quantile_cont(SPEED, 0
               quantile_cont(SPEED, 0.75) + 1.5::DOUBLE * (quantile_cont(SPEED, 0.75) - quantile_cont(SPEED, 0.25)) AS hi
        FROM sp)""") + """
 SELECT * FROM (
-  SELECT 'upper' AS side, obs_id, SPEED, row_number() OVER (ORDER BY SPEED DESC, obs_id) AS rank
+  SELECT 'upper' AS side, obs_id, SPEED, CAST(row_number() OVER (ORDER BY SPEED DESC, obs_id) AS INTEGER) AS rank
   FROM sp, sb WHERE SPEED > hi) WHERE rank <= 100
 UNION ALL
 SELECT * FROM (
-  SELECT 'lower' AS side, obs_id, SPEED, row_number() OVER (ORDER BY SPEED, obs_id) AS rank
+  SELECT 'lower' AS side, obs_id, SPEED, CAST(row_number() OVER (ORDER BY SPEED, obs_id) AS INTEGER) AS rank
   FROM sp, sb WHERE SPEED < lo) WHERE rank <= 5""")
 def q_speed_outliers(spark, sf_dir):
     """Recomputed speed, its fences, top 100 high and 5 lowest."""

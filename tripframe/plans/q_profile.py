@@ -29,7 +29,7 @@ def q_sizes_by_keys(spark, sf_dir):
 
 @query("sizes_5min", with_views(TRAVEL_OBS) + f"""
 SELECT printf('%02d:%02d', CAST(floor(b / 60) AS INTEGER), CAST(b - floor(b / 60) * 60 AS INTEGER)) AS bucket, count(*) AS n
-FROM (SELECT floor((hour({P.clock('DEP_TIME')}) * 60 + minute({P.clock('DEP_TIME')})) / 5) * 5 AS b FROM obs)
+FROM (SELECT floor(({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')}) / 5) * 5 AS b FROM obs)
 GROUP BY ALL""")
 def q_sizes_5min(spark, sf_dir):
     return profile.sizes_5min(A.travel_obs(spark, sf_dir))
@@ -47,7 +47,7 @@ def q_describe_num(spark, sf_dir):
     return profile.describe_num(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN", "DAY_TYPE"])
 
 
-DESCRIBE_ALL_ONE = """SELECT '{c}' AS "column", sum(_c) AS count, count(*) AS "unique",
+DESCRIBE_ALL_ONE = """SELECT '{c}' AS "column", CAST(sum(_c) AS BIGINT) AS count, count(*) AS "unique",
   arg_min(value, (-_c, value)) AS top, max(_c) AS freq
 FROM (SELECT {c} AS value, count(*) AS _c FROM obs WHERE {c} IS NOT NULL GROUP BY 1)"""
 
@@ -122,8 +122,8 @@ def q_histogram_minutes(spark, sf_dir):
 
 @query("time_profile", with_views(HOLDING_OBS, f"""
 b AS (SELECT BUSROUTE_ID, BUSSTOP_ID,
-             CAST(floor((hour({P.clock('DEP_TIME')}) * 60 + minute({P.clock('DEP_TIME')})) / 10) * 10 AS INTEGER) AS bin,
-             TIME_GAP FROM hobs WHERE hour({P.clock('DEP_TIME')}) BETWEEN 5 AND 24),
+             CAST(floor(({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')}) / 10) * 10 AS INTEGER) AS bin,
+             TIME_GAP FROM hobs WHERE {P.hour('DEP_TIME')} BETWEEN 5 AND 24),
 a AS (SELECT BUSROUTE_ID, BUSSTOP_ID, bin, avg(TIME_GAP) AS mean FROM b GROUP BY ALL)""") + """
 SELECT *, CASE WHEN count(*) OVER w = 3 THEN avg(mean) OVER w END AS moving_mean
 FROM a WINDOW w AS (PARTITION BY BUSROUTE_ID, BUSSTOP_ID ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
@@ -138,7 +138,7 @@ def q_combos(spark, sf_dir):
 
 
 @query("bucket_collisions", with_views(TRAVEL_OBS) + f"""
-SELECT sum(ids) AS n_ids, count(*) AS occupied, avg(ids) AS mean_ids_per_bucket, max(ids) AS max_ids
+SELECT CAST(sum(ids) AS BIGINT) AS n_ids, count(*) AS occupied, avg(ids) AS mean_ids_per_bucket, max(ids) AS max_ids
 FROM (SELECT {P.md5_mod('BUSINFOUNIT_ID', 100)} AS bucket, count(*) AS ids
       FROM (SELECT DISTINCT BUSINFOUNIT_ID FROM obs) GROUP BY 1)""")
 def q_bucket_collisions(spark, sf_dir):

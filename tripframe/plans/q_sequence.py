@@ -14,7 +14,7 @@ from tripframe.sources import adapters as A
 SEQ_KEYS = ["BUSROUTE_ID", "BUSINFOUNIT_ID"]
 WSQL = ("WINDOW w AS (PARTITION BY BUSROUTE_ID, BUSINFOUNIT_ID ORDER BY DEP_TIME, obs_id "
         "ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
-MOD = f"(hour({P.clock('DEP_TIME')}) * 60 + minute({P.clock('DEP_TIME')}))"
+MOD = f"({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')})"
 
 
 def _seq_input(spark, sf_dir):
@@ -73,7 +73,7 @@ def q_sequence_pad(spark, sf_dir):
 sc AS (SELECT *, CASE WHEN max(LEN) OVER g = min(LEN) OVER g THEN 0.0
                       ELSE (LEN - min(LEN) OVER g) / CAST(max(LEN) OVER g - min(LEN) OVER g AS DOUBLE) END AS LEN_mm
        FROM obs WINDOW g AS (PARTITION BY BUSROUTE_ID, BUSINFOUNIT_ID))""") + f"""
-SELECT obs_id, CASE WHEN _last >= 0.5 THEN 3.0 ELSE 1.0 END AS weight FROM (
+SELECT obs_id, CASE WHEN _last >= 0.5 THEN 3.0 ELSE 1.0 END::DOUBLE AS weight FROM (
   SELECT *, count(*) OVER w AS _n, lag(LEN_mm) OVER w2 AS _last FROM sc {WSQL},
   w2 AS (PARTITION BY BUSROUTE_ID, BUSINFOUNIT_ID ORDER BY DEP_TIME, obs_id))
 WHERE _n = 5""")

@@ -9,7 +9,11 @@ def clock(c: str) -> str:
 
 
 def hour(c: str) -> str:
-    return f"hour({clock(c)})"
+    return f"CAST(hour({clock(c)}) AS INTEGER)"
+
+
+def minute(c: str) -> str:
+    return f"CAST(minute({clock(c)}) AS INTEGER)"
 
 
 def slots(c: str = "DEP_TIME") -> str:
