@@ -241,11 +241,20 @@ def to_minutes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # B22 -----------------------------------------------------------------------
-def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean") -> DataFrame:
-    """Fill nulls with the column mean or exact median (one-row fit table)."""
+def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean",
+           exact: bool = True) -> DataFrame:
+    """Fill nulls with the column mean or median (one-row fit table); the
+    exact median suits integer-valued columns, ``exact=False`` uses
+    ``percentile_approx`` for unbounded doubles."""
     if strategy not in ("mean", "median"):
         raise ValueError(strategy)
-    fn = F.avg if strategy == "mean" else F.median
+    if strategy == "mean":
+        fn = F.avg
+    elif exact:
+        fn = F.median
+    else:
+        def fn(c):
+            return F.percentile_approx(c, F.lit(0.5), 10000)
     fit = df.agg(*[fn(F.col(c).cast("double")).alias(f"_fill_{c}") for c in cols])
     out = df.crossJoin(F.broadcast(fit))  # one row: size bound is structural
     for c in cols:

@@ -43,7 +43,9 @@ def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str]
                   .select(*keys, "_f.*"))
     grid = minute_grid(spark, slots, time_col)
     candidates = firsts.crossJoin(F.broadcast(grid))  # grid <= 1440 rows
-    present = observed.select(*keys, time_col)
+    # distinct pairs are partially aggregated map-side: the anti join
+    # shuffles at most ids x grid pairs, not every observed row
+    present = observed.select(*keys, time_col).distinct()
     cond = None
     for k in keys + [time_col]:
         c = candidates[k].eqNullSafe(present[k])

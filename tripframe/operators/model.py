@@ -28,22 +28,34 @@ from tripframe.operators.positions import nullsafe_join
 
 # Group-mean predictor -------------------------------------------------------
 def fit_group_mean(train: DataFrame, levels: Sequence[Sequence[str]], target: str = "TIME_GAP"
-                   ) -> list[DataFrame]:
-    """One fit table per level (most specific first); the empty level is the
-    global mean (one row)."""
-    return [train.groupBy(*lvl).agg(F.avg(F.col(target).cast("double")).alias(f"_m{i}"))
-            for i, lvl in enumerate(levels)]
-
-
-def score_group_mean(df: DataFrame, fits: list[DataFrame], levels: Sequence[Sequence[str]],
+                   ) -> DataFrame:
+    """Means of ``target`` for every level (most specific first; the empty
+    level is the global mean) in one ``GROUPING SETS`` pass: one shuffle,
+    one fit table with a ``_level`` column."""
+    keys = list(dict.fromkeys(k for lvl in levels for k in lvl))
+    sets = [list(lvl) for lvl in levels]
+    g = train.groupingSets(sets, *keys) if keys else train.groupBy()
+    fit = g.agg(F.avg(F.col(target).cast("double")).alias("_mean"),
+                F.grouping_id(*keys).alias("_gid") if keys else F.lit(0).alias("_gid"))
+    gid_to_level = F.lit(None).cast("int")
+    for i, lvl in enumerate(levels):
+        gid = sum(2 ** (len(keys) - 1 - j) for j, k in enumerate(keys) if k not in lvl)
+        gid_to_level = F.when(F.col("_gid") == gid, F.lit(i)).otherwise(gid_to_level)
+    return fit.withColumn("_level", gid_to_level).drop("_gid")
+
+
+def score_group_mean(df: DataFrame, fit: DataFrame, levels: Sequence[Sequence[str]],
                      out: str = "prediction") -> DataFrame:
-    """Mean of the most specific level that has the row's group."""
+    """Mean of the most specific level that has the row's group. The fit
+    table holds one row per group per level: small, so AQE broadcasts it
+    when its measured size allows and shuffles otherwise."""
     x = df
-    for i, (fit, lvl) in enumerate(zip(fits, levels)):
+    for i, lvl in enumerate(levels):
+        part = fit.filter(F.col("_level") == i).select(*lvl, F.col("_mean").alias(f"_m{i}"))
         if lvl:
-            x = nullsafe_join(x, fit, list(lvl), "left")
+            x = nullsafe_join(x, part, list(lvl), "left")
         else:
-            x = x.crossJoin(F.broadcast(fit))  # global mean: one row
+            x = x.crossJoin(F.broadcast(part))  # global mean: one row
     pred = F.coalesce(*[F.col(f"_m{i}") for i in range(len(levels))])
     return x.withColumn(out, pred).drop(*[f"_m{i}" for i in range(len(levels))])
 

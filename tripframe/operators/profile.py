@@ -45,15 +45,21 @@ def _unpivot(df: DataFrame, cols: Sequence[str], cast: str) -> Column:
                                         F.col(c).cast(cast).alias("value")) for c in cols]))
 
 
-def describe_num(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles, max per column."""
+def describe_num(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """Count, mean, sample std, min, quartiles, max per column.
+
+    Exact quartiles (pandas' linear interpolation) keep a value->count map
+    per column: right for integer-valued columns such as seconds or metres;
+    ``exact=False`` uses bounded-memory ``percentile_approx`` for doubles."""
     long = df.select(_unpivot(df, cols, "double").alias("_kv")).select("_kv.*")
+    if exact:
+        q = [F.percentile("value", F.lit(p)) for p in (0.25, 0.5, 0.75)]
+    else:
+        q = [F.percentile_approx("value", F.lit(p), 10000).cast("double") for p in (0.25, 0.5, 0.75)]
     return long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("p25"),
-        F.percentile("value", F.lit(0.5)).alias("p50"),
-        F.percentile("value", F.lit(0.75)).alias("p75"),
+        q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
         F.max("value").alias("max"))
 
 

@@ -40,8 +40,8 @@ def _split(spark, sf_dir):
 
 def _scored(spark, sf_dir, keep_actuals=True):
     s = _split(spark, sf_dir)
-    fits = [files.stage_table(f, f"group_mean_fit{i}") for i, f in
-            enumerate(model.fit_group_mean(s.filter(F.col("dataset") == "train"), LEVELS))]
+    fits = files.stage_table(model.fit_group_mean(s.filter(F.col("dataset") == "train"), LEVELS),
+                             "group_mean_fit")
     test = s.filter(F.col("dataset") == "test").drop("dataset")
     if not keep_actuals:
         test = test.drop("TIME_GAP")
