@@ -27,7 +27,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        if v == 0:
+        if abs(v) < 1e-9:
             return 0.0
         return float(f"{v:.6g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):

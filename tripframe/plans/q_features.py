@@ -160,13 +160,15 @@ def q_standard_scale(spark, sf_dir):
 
 
 @query("standard_inverse", with_views(TRAVEL_OBS, SMALL2, SPLIT_SQL, STD_FIT) + """
-SELECT obs_id, TIME_GAP, ((TIME_GAP - mean_TG) / sc_TG) * sc_TG + mean_TG AS TIME_GAP_restored
+SELECT obs_id, TIME_GAP, round(((TIME_GAP - mean_TG) / sc_TG) * sc_TG + mean_TG, 6) + 0.0 AS TIME_GAP_restored
 FROM s, fit2""")
 def q_standard_inverse(spark, sf_dir):
-    """F13 inverse: scaled target back to seconds."""
+    """F13 inverse: scaled target back to seconds (reported to the
+    microsecond; + 0.0 folds a negative zero)."""
     _, fit, out = _scaled(spark, sf_dir)
     inv = encode.invert_standard(out, fit, "TIME_GAP_scaled", "TIME_GAP", "TIME_GAP_restored")
-    return inv.select("obs_id", "TIME_GAP", "TIME_GAP_restored")
+    return inv.select("obs_id", "TIME_GAP",
+                      (F.round("TIME_GAP_restored", 6) + F.lit(0.0)).alias("TIME_GAP_restored"))
 
 
 @query("standard_scale_per_set", with_views(TRAVEL_OBS, SMALL2, SPLIT_SQL, """

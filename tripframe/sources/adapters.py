@@ -16,7 +16,21 @@ from tripframe.functions.text import zfill
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one task per core.
+
+    A large input already splits into many tasks and is returned as is; a
+    scan that yields fewer partitions than the session's parallelism (a
+    small file written as one row group) would run every per-row
+    expression in a handful of tasks, so it is spread round-robin. The
+    extra shuffle is bounded by that small input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _k(props: Column) -> Column:
