@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 
 from tripframe import schema as S
 from tripframe.functions import clock
-from tripframe.operators import encode, evaluate, model, splits
+from tripframe.operators import encode, evaluate, model, outliers, splits
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_features import SMALL2, SPLIT_SQL, STD_FIT, _split_small
 from tripframe.plans.q_model import LEVELS, SCORED_SQL, _scored
 from tripframe.plans.q_splits import OBS_SMALL, RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
+from tripframe.plans.q_outliers import OBS_TG_BOUNDS
 from tripframe.plans.sqlviews import TRAVEL_OBS, with_views
 from tripframe.session import ensure_checkpoint_dir
 from tripframe.sources import adapters as A
@@ -156,3 +157,35 @@ def q_stream_score(spark, sf_dir):
     out = scratch(spark, "stream_score")
     live.run_to_parquet(scored, out, out + "-ckpt")
     return spark.read.parquet(out)
+
+
+@query("iqr_split_saved", with_views(TRAVEL_OBS, OBS_TG_BOUNDS) + """
+SELECT obs_id, BUSINFOUNIT_ID, TIME_GAP FROM obs, tb WHERE TIME_GAP < lo OR TIME_GAP > hi""")
+def q_iqr_split_saved(spark, sf_dir):
+    """Kept and outlier rows written once, one folder each; the outlier
+    folder read back by partition pruning."""
+    path = scratch(spark, "iqr_split")
+    obs = A.travel_obs(spark, sf_dir).select("obs_id", "BUSINFOUNIT_ID", "TIME_GAP")
+    outliers.save_iqr_split(obs, ["TIME_GAP"], path)
+    return spark.read.parquet(path).filter(F.col("iqr_set") == "outlier").drop("iqr_set")
+
+
+@query("stream_window_means", with_views(TRAVEL_OBS, f"""
+c AS (SELECT *, strptime(COLLECT_DATE || ' ' || DEP_TIME, '%Y-%m-%d %H:%M') AS event_ts FROM obs
+      WHERE LEN > 0 AND {P.TRAVEL_ROW_RULES}),
+wm AS (SELECT max(event_ts) - INTERVAL 2 HOUR AS watermark FROM c)""") + """
+SELECT window_start, window_end, BUSINFOUNIT_ID, mean_time_gap, n FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, event_ts) AS window_start,
+         time_bucket(INTERVAL 1 HOUR, event_ts) + INTERVAL 1 HOUR AS window_end,
+         BUSINFOUNIT_ID, avg(TIME_GAP) AS mean_time_gap, count(*) AS n
+  FROM c GROUP BY ALL), wm
+WHERE window_end <= watermark""")
+def q_stream_window_means(spark, sf_dir):
+    """Streaming: hourly mean TIME_GAP per segment over the cleaned event
+    stream with a 2-hour watermark, append mode (only windows the watermark
+    has closed are emitted, each exactly once), drained to parquet."""
+    stream = live.clean_stream(A.travel_obs_from(live.events_stream(spark, sf_dir)))
+    agg = live.windowed_segment_means(stream, "1 hour", "2 hours")
+    out = scratch(spark, "stream_windows")
+    live.run_to_parquet(agg, out, out + "-ckpt")
+    return spark.read.parquet(out)
