@@ -82,3 +82,34 @@ def test_banded_sample_bounded(spark):
     band = F.when(F.col("TIME_GAP") < 120, "a").otherwise("b")
     s = splits.banded_sample(obs, band, 20)
     assert all(r["count"] <= 20 for r in s.groupBy("band").count().collect())
+
+
+def test_sequences_hot_segment_small_blocks(spark):
+    """One segment holds every row; tiny chunks and key blocks force many
+    buckets and chunk borders, and the result still equals a plain window."""
+    obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "DEP_TIME", "TIME_GAP") \
+        .withColumn("seg", F.lit("hot"))
+    ours = sequence.sliding_sequences(obs, ["seg"], ["DEP_TIME"], ["TIME_GAP"], length=5,
+                                      chunk=11, key_block=3)
+    w = Window.partitionBy("seg").orderBy("DEP_TIME", "obs_id").rowsBetween(-5, -1)
+    ref = (obs.withColumn("ref", F.collect_list("TIME_GAP").over(w))
+              .filter(F.size("ref") == 5).select("obs_id", "ref"))
+    got = ours.select("obs_id", F.transform("seq", lambda s: s["TIME_GAP"]).alias("got"))
+    j = got.join(ref, "obs_id", "full")
+    assert j.filter(F.col("got").isNull() | F.col("ref").isNull() | (F.col("got") != F.col("ref"))).count() == 0
+    assert j.count() == obs.count() - 5
+
+
+def test_group_sigma_hot_group(spark):
+    """A group holding a third of the rows gives the same result as a
+    per-group window computation."""
+    from tripframe.operators import outliers
+    obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "BUSINFOUNIT_ID", "TIME_GAP") \
+        .withColumn("g", F.when(F.col("obs_id") % 3 == 0, F.lit("hot")).otherwise(F.col("BUSINFOUNIT_ID")))
+    ours = outliers.group_sigma_filter(obs, ["g"], "TIME_GAP", 2.0)
+    w = Window.partitionBy("g")
+    m, s = F.avg("TIME_GAP").over(w), F.stddev_samp("TIME_GAP").over(w)
+    ref = obs.filter(F.col("TIME_GAP").isNotNull()).withColumn("_m", m).withColumn("_s", s) \
+        .filter((F.col("TIME_GAP") >= F.col("_m") - 2 * F.col("_s"))
+                & (F.col("TIME_GAP") <= F.col("_m") + 2 * F.col("_s")))
+    assert sorted(r.obs_id for r in ours.collect()) == sorted(r.obs_id for r in ref.collect())

@@ -21,16 +21,20 @@ from tripframe.operators import positions
 
 def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       step_cols: Sequence[str], length: int = 5, key: str = "obs_id",
-                      chunk: int = 4096, bucket: Column | None = None) -> DataFrame:
+                      chunk: int = 4096, bucket: Column | None = None,
+                      key_block: int = 1 << 20) -> DataFrame:
     """One row per target row that has ``length`` predecessors, with
     ``seq`` = array of structs(step_cols), oldest first, and its ``obs_id``.
 
-    ``bucket`` must be monotone in ``order`` (default: the first order column).
+    ``bucket`` must be monotone in (order, key); the default is the order
+    columns plus a block of ``key_block`` row keys, so even rows tied on the
+    departure minute of a hot segment are ranked in bounded partitions.
     """
     keys, order = list(keys), list(order)
     if chunk <= length:
         raise ValueError("chunk must exceed the sequence length")
-    b = bucket if bucket is not None else F.col(order[0])
+    b = bucket if bucket is not None else F.struct(
+        *[F.col(c) for c in order], F.floor(F.col(key) / F.lit(key_block)).alias("_blk"))
     pos = positions.position(df, keys, b, order + [key], name="_pos")
     ch = F.floor(F.col("_pos") / chunk)
     tail = (F.col("_pos") % chunk) >= (chunk - length)
