@@ -15,8 +15,20 @@ from tripframe.functions import clock
 from tripframe.functions.text import zfill
 
 
+_READS: dict[str, tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """The driver table ``name`` (read once per session and path: the file
+    listing, footers and the partition decision are reused; the frame is
+    immutable, so callers cannot disturb each other)."""
+    path = f"{sf_dir}/{name}.parquet"
+    hit = _READS.get(path)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spread(spark.read.parquet(path))
+    _READS[path] = (spark, df)
+    return df
 
 
 def spread(df: DataFrame) -> DataFrame:
