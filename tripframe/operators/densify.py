@@ -1,7 +1,7 @@
 """Minute-grid densification (H1-H4).
 
-The grid is tiny and bounded (at most 1440 minute labels), so it is
-broadcast; ids x grid is the output size itself. Missing (id, minute)
+The grid is tiny and bounded (at most 1440 minute labels) and is generated
+per id row with ``explode``; ids x grid is the output size itself. Missing (id, minute)
 pairs are found with an anti join instead of the source's per-pair scan.
 """
 
@@ -9,22 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripframe.functions import clock
 
 
+def _mins(t: str) -> int:
+    hh, mm = t.split(":")
+    return int(hh) * 60 + int(mm)
+
+
+def grid_labels(slots=clock.TIME_SLOTS) -> Column:
+    """H1 as an expression: array of every ``HH:mm`` of the inclusive slots."""
+    arrays = [F.sequence(F.lit(_mins(a)), F.lit(_mins(b))) for a, b in slots]
+    return F.transform(F.array_distinct(F.concat(*arrays)),
+                       lambda m: F.format_string("%02d:%02d", (m / 60).cast("int"),
+                                                 (m % 60).cast("int")))
+
+
 def minute_grid(spark: SparkSession, slots=clock.TIME_SLOTS, name: str = "DEP_TIME") -> DataFrame:
     """H1: every ``HH:mm`` label of the inclusive slots (3 x 121 = 363)."""
-    def mins(t):
-        hh, mm = t.split(":")
-        return int(hh) * 60 + int(mm)
-    arrays = [F.sequence(F.lit(mins(a)), F.lit(mins(b))) for a, b in slots]
-    m = F.explode(F.array_distinct(F.concat(*arrays)))
-    g = spark.range(1).select(m.alias("_m"))
-    return g.select(F.format_string("%02d:%02d", (F.col("_m") / 60).cast("int"),
-                                    (F.col("_m") % 60).cast("int")).alias(name))
+    return spark.range(1).select(F.explode(grid_labels(slots)).alias(name))
 
 
 def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str],
@@ -36,13 +42,12 @@ def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str]
     the ``fill`` literals (e.g. TIME_GAP -1, speed 0)."""
     keys = list(keys)
     keep_cols = list(keep_cols) if keep_cols else keys + list(first_cols) + [time_col] + list(fill)
-    spark = full.sparkSession
     observed = full.filter(F.coalesce(clock.in_slots(time_col, slots), F.lit(False)))
     firsts = (full.groupBy(*keys)
                   .agg(F.min_by(F.struct(*[F.col(c) for c in first_cols]), F.col(order)).alias("_f"))
                   .select(*keys, "_f.*"))
-    grid = minute_grid(spark, slots, time_col)
-    candidates = firsts.crossJoin(F.broadcast(grid))  # grid <= 1440 rows
+    # each id row generates its grid minutes (<= 1440) in place: no join
+    candidates = firsts.withColumn(time_col, F.explode(grid_labels(slots)))
     # distinct pairs are partially aggregated map-side: the anti join
     # shuffles at most ids x grid pairs, not every observed row
     present = observed.select(*keys, time_col).distinct()

@@ -22,8 +22,8 @@ GROUP BY tod_class"""
 
 @query("flagship_tod_profile", FLAGSHIP_SQL)
 def flagship_tod_profile(spark, sf_dir):
-    """obs -> zero filter (LEN, TIME_GAP) -> travel rules -> hour -> time-of-day
-    class -> mean and count of TIME_GAP per class."""
+    """Flagship (B1, B6, F1, F8): obs -> zero filter (LEN, TIME_GAP) -> travel
+    rules -> hour -> time-of-day class -> mean and count of TIME_GAP per class."""
     obs = clean.zero_filter(A.travel_obs(spark, sf_dir), ["LEN", "TIME_GAP"])
     kept = clean.travel_quality(obs)
     return (kept.withColumn("tod_class", clock.tod_class(clock.hour_of("DEP_TIME")))
@@ -38,6 +38,7 @@ SELECT obs_id, BUSINFOUNIT_ID, LEN, DEP_TIME, TIME_GAP, PEEK_ALLOC, SPEED FROM o
 WHERE coalesce(LEN <> 0, true) AND coalesce(TIME_GAP <> 0, true)
   AND coalesce(PEEK_ALLOC <> 0, true) AND coalesce(SPEED <> 0, true)""")
 def q_zero_filter(spark, sf_dir):
+    """B1: drop rows where any numeric column is 0 (nulls and strings pass)."""
     obs = A.travel_obs(spark, sf_dir).select(
         "obs_id", "BUSINFOUNIT_ID", "LEN", "DEP_TIME", "TIME_GAP", "PEEK_ALLOC", "SPEED")
     return clean.zero_filter(obs)
@@ -57,6 +58,7 @@ def _sparse(spark, sf_dir):
 @query("dropna_all", with_views(TRAVEL_OBS, SPARSE_SQL) + """
 SELECT * FROM sparse WHERE LEN IS NOT NULL OR SPEED IS NOT NULL OR TIME_GAP IS NOT NULL""")
 def q_dropna_all(spark, sf_dir):
+    """B2: drop rows whose payload columns are all null."""
     return clean.drop_all_null(_sparse(spark, sf_dir))
 
 
@@ -67,7 +69,8 @@ SELECT obs_id, BUSROUTE_ID, DEP_TIME FROM (
   FROM raw) WHERE DEP_TIME IS NOT NULL AND trim(DEP_TIME) <> ''
     AND BUSROUTE_ID IS NOT NULL AND trim(BUSROUTE_ID) <> ''""")
 def q_drop_blank(spark, sf_dir):
-    """Blank-after-trim strings: junk dates become spaces, date-only ones empty."""
+    """Rows null or blank after trimming dropped (junk dates become
+    spaces, date-only ones an empty time)."""
     raw = A.raw_events(spark, sf_dir)
     dep = F.when(F.col("DEP_DATE") == "n/a", F.lit("  ")).otherwise(
         F.substring("DEP_DATE", 12, 5))
@@ -78,6 +81,7 @@ def q_drop_blank(spark, sf_dir):
 @query("dropna_any", with_views(TRAVEL_OBS, SPARSE_SQL) + """
 SELECT * FROM sparse WHERE LEN IS NOT NULL AND SPEED IS NOT NULL""")
 def q_dropna_any(spark, sf_dir):
+    """Drop rows with a null in LEN or SPEED."""
     return clean.drop_any_null(_sparse(spark, sf_dir), ["LEN", "SPEED"])
 
 
@@ -87,6 +91,7 @@ SELECT event_id AS obs_id, CAST(trunc(value) AS INTEGER) AS TIME_GAP,
        CAST(round_even(value / 7.0::DOUBLE * 3.6::DOUBLE, 0) AS INTEGER) AS SPEED
 FROM events""")
 def q_tighten_types(spark, sf_dir):
+    """TIME_GAP truncated to int, SPEED rounded half-to-even to int."""
     ev = A.table(spark, sf_dir, "events")
     raw = ev.select(F.col("event_id").alias("obs_id"), F.col("value").alias("TIME_GAP"),
                     (F.col("value") / F.lit(7.0) * F.lit(3.6)).alias("SPEED"))
@@ -97,6 +102,7 @@ def q_tighten_types(spark, sf_dir):
 @query("quality_travel", with_views(TRAVEL_OBS, P.travel_quality("obs")) + """
 SELECT * FROM tq""")
 def q_quality_travel(spark, sf_dir):
+    """The travel rule list (LEN, exact dedup, ranges, GPS, slots, keyed dedup)."""
     return clean.travel_quality(A.travel_obs(spark, sf_dir))
 
 
@@ -117,6 +123,7 @@ UNION ALL SELECT 6, 'time_slots', (SELECT count(*) FROM t WHERE _step = 6)
 UNION ALL SELECT 7, 'key_duplicates', CAST((SELECT coalesce(sum(_k - 1), 0) FROM k) AS BIGINT)
 UNION ALL SELECT 0, 'kept', (SELECT count(*) FROM k)""")
 def q_quality_travel_audit(spark, sf_dir):
+    """B6 audit: rows removed per numbered rule plus the kept count."""
     return clean.travel_quality_audit(A.travel_obs(spark, sf_dir))
 
 
@@ -125,6 +132,7 @@ def q_quality_travel_audit(spark, sf_dir):
 SELECT min(obs_id) AS obs_id, DAY_TYPE, BUSROUTE_ID, BUSSTOP_ID, COLLECT_DATE, DEP_TIME, TIME_GAP
 FROM hobs GROUP BY ALL HAVING TIME_GAP > 0 AND TIME_GAP <= 120""")
 def q_quality_holding(spark, sf_dir):
+    """Exact dedup, then 0 < TIME_GAP <= 120."""
     return clean.holding_quality(A.holding_obs(spark, sf_dir))
 
 
@@ -132,6 +140,7 @@ def q_quality_holding(spark, sf_dir):
 @query("time_slots", with_views(TRAVEL_OBS) + f"""
 SELECT obs_id, BUSINFOUNIT_ID, DEP_TIME FROM obs WHERE {P.slots()}""")
 def q_time_slots(spark, sf_dir):
+    """Departures inside the three inclusive slots."""
     return clean.slot_filter(A.travel_obs(spark, sf_dir).select(
         "obs_id", "BUSINFOUNIT_ID", "DEP_TIME"))
 
@@ -139,6 +148,7 @@ def q_time_slots(spark, sf_dir):
 @query("hour_window", with_views(TRAVEL_OBS) + f"""
 SELECT obs_id, DEP_TIME, TIME_GAP FROM obs WHERE {P.hour('DEP_TIME')} BETWEEN 5 AND 24""")
 def q_hour_window(spark, sf_dir):
+    """Departures with 5 <= hour <= 24."""
     return clean.hour_window(A.travel_obs(spark, sf_dir).select("obs_id", "DEP_TIME", "TIME_GAP"))
 
 
@@ -163,6 +173,7 @@ SELECT obs_id, DEP_TIME, hh, mm, ss FROM (
          CAST(split_part(DEP_TIME, ':', 3) AS INTEGER) AS ss FROM p2)
 WHERE hh >= 0 AND hh < 24 AND mm >= 0 AND mm < 60 AND ss >= 0 AND ss < 60""")
 def q_clock_range(spark, sf_dir):
+    """B16 + F3: HH:mm:ss split into hh, mm, ss and range-checked."""
     out = clean.clock_range_filter(_parsed(spark, sf_dir))
     return out.select("obs_id", "DEP_TIME", "hh", "mm", "ss")
 
@@ -170,6 +181,7 @@ def q_clock_range(spark, sf_dir):
 # B9-B11 --------------------------------------------------------------------
 @query("dedup_exact", with_views(LINE_OBS) + "SELECT DISTINCT * FROM lobs")
 def q_dedup_exact(spark, sf_dir):
+    """Exact duplicates removed (line observations, no row key)."""
     return clean.dedup_exact(A.line_obs(spark, sf_dir), key=None)
 
 
@@ -178,12 +190,14 @@ SELECT {P.TRAVEL_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY BUSROUTE_ID, BUSINFOUNIT_ID, DEP_TIME
                                ORDER BY obs_id) AS _rn FROM obs) WHERE _rn = 1""")
 def q_dedup_first(spark, sf_dir):
+    """First row (smallest obs_id) per (route, segment, DEP_TIME)."""
     return clean.dedup_first(A.travel_obs(spark, sf_dir), list(clean.TRAVEL_KEY))
 
 
 @query("duplicates", with_views(LINE_OBS) + """
 SELECT *, count(*) - 1 AS copies FROM lobs GROUP BY ALL HAVING count(*) > 1""")
 def q_duplicates(spark, sf_dir):
+    """Duplicated rows with their number of extra copies."""
     return clean.duplicates(A.line_obs(spark, sf_dir), key=None)
 
 
@@ -193,7 +207,7 @@ SELECT obs_id, BUSROUTE_ID, BUSINFOUNIT_ID, DEP_TIME FROM (
          row_number() OVER (PARTITION BY BUSROUTE_ID, BUSINFOUNIT_ID, DEP_TIME ORDER BY obs_id) AS _rn
   FROM obs) WHERE _rn > 1""")
 def q_duplicates_keyed(spark, sf_dir):
-    """Later copies by obs_id over a projection (route, segment, DEP_TIME)."""
+    """B11 keyed: later copies by obs_id over a projection (route, segment, DEP_TIME)."""
     obs = A.travel_obs(spark, sf_dir).select("obs_id", "BUSROUTE_ID", "BUSINFOUNIT_ID", "DEP_TIME")
     return clean.duplicates(obs)
 
@@ -215,6 +229,7 @@ def q_parse_two_formats(spark, sf_dir):
 SELECT obs_id, strftime(coalesce({P.clock('DEP_DATE')}, try_strptime(DEP_DATE, '%Y-%m-%d')), '%H:%M')
        AS DEP_TIME FROM raw""")
 def q_minute_text(spark, sf_dir):
+    """Any departure layout reformatted to HH:mm; junk -> null."""
     raw = A.raw_events(spark, sf_dir)
     return raw.select("obs_id", clock.minute_text("DEP_DATE").alias("DEP_TIME"))
 
@@ -223,6 +238,7 @@ def q_minute_text(spark, sf_dir):
 SELECT obs_id, strftime(try_strptime(substr(DEP_DATE, 1, 10), '%Y-%m-%d'), '%Y-%m-%d') AS COLLECT_DATE
 FROM raw""")
 def q_date_text(spark, sf_dir):
+    """First ten characters parsed as a date, written yyyy-MM-dd."""
     raw = A.raw_events(spark, sf_dir)
     return raw.select("obs_id", clock.date_text("DEP_DATE").alias("COLLECT_DATE"))
 
@@ -233,6 +249,7 @@ SELECT obs_id, LEN, TIME_GAP,
        CASE WHEN TIME_GAP = 0 THEN NULL ELSE LEN / TIME_GAP END * 3.6::DOUBLE AS speed_kmh
 FROM obs""")
 def q_derived_speed(spark, sf_dir):
+    """speed = LEN / TIME_GAP * 3.6 (division by zero -> null)."""
     obs = A.travel_obs(spark, sf_dir)
     return obs.select("obs_id", "LEN", "TIME_GAP", clean.derived_speed().alias("speed_kmh"))
 
@@ -242,12 +259,14 @@ SELECT rows_before, rows_after, rows_before - rows_after AS rows_dropped,
        (rows_before - rows_after) * 100.0::DOUBLE / rows_before AS pct_dropped
 FROM (SELECT (SELECT count(*) FROM raw) AS rows_before, (SELECT count(*) FROM p2) AS rows_after)""")
 def q_drop_audit(spark, sf_dir):
+    """Rows dropped by the two-format parse, count and percent."""
     return clean.drop_audit(A.raw_events(spark, sf_dir), _parsed(spark, sf_dir))
 
 
 @query("select_reorder", with_views(TRAVEL_OBS) + """
 SELECT obs_id, DAY_TYPE, BUSINFOUNIT_ID, LEN, DEP_TIME, TIME_GAP FROM obs""")
 def q_select_reorder(spark, sf_dir):
+    """Output column subset and order."""
     return A.travel_obs(spark, sf_dir).select(
         "obs_id", "DAY_TYPE", "BUSINFOUNIT_ID", "LEN", "DEP_TIME", "TIME_GAP")
 
@@ -255,6 +274,7 @@ def q_select_reorder(spark, sf_dir):
 @query("to_minutes", with_views(TRAVEL_OBS) + """
 SELECT obs_id, TIME_GAP, TIME_GAP / 60.0::DOUBLE AS TIME_GAP_MIN FROM obs""")
 def q_to_minutes(spark, sf_dir):
+    """Seconds to minutes."""
     obs = A.travel_obs(spark, sf_dir).select("obs_id", "TIME_GAP")
     return clean.to_minutes(obs, ["TIME_GAP"])
 

@@ -46,6 +46,7 @@ SELECT obs_id, sin({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_sin,
        sin({TWO_PI}::DOUBLE * DAY_TYPE / 7.0::DOUBLE) AS day_type_sin,
        cos({TWO_PI}::DOUBLE * DAY_TYPE / 7.0::DOUBLE) AS day_type_cos FROM obs""")
 def q_cyclic(spark, sf_dir):
+    """sin/cos of hour/24 and of DAY_TYPE/7."""
     obs = _obs(spark, sf_dir)
     hs, hc = features.cyclic(clock.hour_of("DEP_TIME"), 24)
     ds, dc = features.cyclic("DAY_TYPE", 7)
@@ -66,6 +67,7 @@ def q_log_len(spark, sf_dir):
 @query("weekend", with_views(TRAVEL_OBS) + """
 SELECT obs_id, DAY_TYPE, CAST(DAY_TYPE IN (1, 7) AS INTEGER) AS is_weekend FROM obs""")
 def q_weekend(spark, sf_dir):
+    """weekend flag for DAY_TYPE 1 (Sunday) and 7 (Saturday)."""
     return _obs(spark, sf_dir).select("obs_id", "DAY_TYPE",
                                       clock.weekend_flag(F.col("DAY_TYPE")).alias("is_weekend"))
 
@@ -284,6 +286,7 @@ def q_label_extend(spark, sf_dir):
 @query("composite_key", with_views(HOLDING_OBS) + """
 SELECT obs_id, BUSROUTE_ID || '_' || BUSSTOP_ID AS route_stop FROM hobs""")
 def q_composite_key(spark, sf_dir):
+    """route_stop composite key (null in -> null out)."""
     h = A.holding_obs(spark, sf_dir)
     return h.select("obs_id", composite_key("BUSROUTE_ID", "BUSSTOP_ID").alias("route_stop"))
 

@@ -145,7 +145,7 @@ SELECT obs_id, BUSINFOUNIT_ID, DEP_TIME, TIME_GAP, coalesce(_m0, _m1, _m2) AS pr
 FROM o5 LEFT JOIN m0 USING (BUSINFOUNIT_ID, tod_class) LEFT JOIN m1 USING (BUSINFOUNIT_ID) CROSS JOIN m2
 WHERE LEN > 0 AND {P.TRAVEL_ROW_RULES}""")
 def q_stream_score(spark, sf_dir):
-    """Streaming: events read as a stream, the stateless travel rules applied,
+    """Streaming (B6 rules, I5 scoring): events read as a stream, the stateless travel rules applied,
     each row scored by a stream-static join with the group-mean fit tables
     (fit on the static table), drained to a parquet sink and read back."""
     static = A.travel_obs(spark, sf_dir).withColumn(
@@ -181,7 +181,7 @@ SELECT window_start, window_end, BUSINFOUNIT_ID, mean_time_gap, n FROM (
   FROM c GROUP BY ALL), wm
 WHERE window_end <= watermark""")
 def q_stream_window_means(spark, sf_dir):
-    """Streaming: hourly mean TIME_GAP per segment over the cleaned event
+    """Streaming (E9-style profile): hourly mean TIME_GAP per segment over the cleaned event
     stream with a 2-hour watermark, append mode (only windows the watermark
     has closed are emitted, each exactly once), drained to parquet."""
     stream = live.clean_stream(A.travel_obs_from(live.events_stream(spark, sf_dir)))

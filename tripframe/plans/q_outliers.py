@@ -25,6 +25,7 @@ lab AS (SELECT lobs.*, CASE
 @query("iqr_split", with_views(LINE_OBS, LINE_BOUNDS) + """
 SELECT * FROM lab WHERE iqr_set IS NOT NULL""")
 def q_iqr_split(spark, sf_dir):
+    """IQR fences per column; kept / outlier sets (null in neither)."""
     return outliers.iqr_split(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN"])
 
 
@@ -33,6 +34,7 @@ SELECT (SELECT count(*) FROM lobs) AS total, count(*) FILTER (WHERE iqr_set = 'o
        count(*) FILTER (WHERE iqr_set = 'outlier') * 100.0::DOUBLE / (SELECT count(*) FROM lobs) AS pct
 FROM lab""")
 def q_iqr_stats(spark, sf_dir):
+    """Total rows, outlier rows and percentage."""
     return outliers.iqr_stats(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN"])
 
 

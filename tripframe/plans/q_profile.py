@@ -32,6 +32,7 @@ SELECT printf('%02d:%02d', CAST(floor(b / 60) AS INTEGER), CAST(b - floor(b / 60
 FROM (SELECT floor(({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')}) / 5) * 5 AS b FROM obs)
 GROUP BY ALL""")
 def q_sizes_5min(spark, sf_dir):
+    """Rows per 5-minute departure bucket."""
     return profile.sizes_5min(A.travel_obs(spark, sf_dir))
 
 
@@ -44,6 +45,7 @@ FROM lobs"""
 @query("describe_num", with_views(LINE_OBS) + "\nUNION ALL ".join(
     DESCRIBE_ONE.format(c=c) for c in ("TIME_GAP", "LEN", "DAY_TYPE")))
 def q_describe_num(spark, sf_dir):
+    """Count, mean, sample std, min, exact quartiles, max per column."""
     return profile.describe_num(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN", "DAY_TYPE"])
 
 
@@ -55,6 +57,7 @@ FROM (SELECT {c} AS value, count(*) AS _c FROM obs WHERE {c} IS NOT NULL GROUP B
 @query("describe_all", with_views(TRAVEL_OBS) + "\nUNION ALL ".join(
     DESCRIBE_ALL_ONE.format(c=c) for c in ("BUSROUTE_ID", "DATA_TYPE", "DEP_TIME")))
 def q_describe_all(spark, sf_dir):
+    """Count, unique, top and freq per string column."""
     return profile.describe_all(A.travel_obs(spark, sf_dir), ["BUSROUTE_ID", "DATA_TYPE", "DEP_TIME"])
 
 
@@ -66,12 +69,14 @@ SELECT * FROM (
   UNION ALL SELECT 'TIME_GAP', count(*) FILTER (WHERE TIME_GAP IS NULL) FROM sparse)
 WHERE missing > 0""")
 def q_missing(spark, sf_dir):
+    """E5: nulls per column, only columns with at least one."""
     return profile.missing_counts(_sparse(spark, sf_dir))
 
 
 @query("class_counts", with_views(TRAVEL_OBS) + """
 SELECT BUSROUTE_ID, count(*) AS n FROM obs GROUP BY 1""")
 def q_class_counts(spark, sf_dir):
+    """Value counts of the route, descending."""
     return profile.class_counts(A.travel_obs(spark, sf_dir), "BUSROUTE_ID")
 
 
@@ -90,6 +95,7 @@ def _corr_sql():
 
 @query("corr_matrix", _corr_sql())
 def q_corr_matrix(spark, sf_dir):
+    """Pearson correlation of every column pair."""
     return profile.corr_matrix(A.line_obs(spark, sf_dir), list(_CORR_COLS))
 
 
@@ -134,6 +140,7 @@ def q_time_profile(spark, sf_dir):
 
 @query("combos", with_views(TRAVEL_OBS) + "SELECT DISTINCT BUSROUTE_ID, BUSINFOUNIT_ID FROM obs")
 def q_combos(spark, sf_dir):
+    """Distinct (route, segment) combinations."""
     return profile.combos(A.travel_obs(spark, sf_dir), ["BUSROUTE_ID", "BUSINFOUNIT_ID"])
 
 
@@ -149,4 +156,5 @@ def q_bucket_collisions(spark, sf_dir):
 @query("singletons", with_views(LINE_OBS) + """
 SELECT BUSROUTE_ID, BUSINFOUNIT_ID FROM lobs GROUP BY ALL HAVING count(*) = 1""")
 def q_singletons(spark, sf_dir):
+    """(route, segment) keys seen exactly once."""
     return profile.singletons(A.line_obs(spark, sf_dir), ["BUSROUTE_ID", "BUSINFOUNIT_ID"])
