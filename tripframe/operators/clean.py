@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripframe.functions import clock
-from tripframe.operators.positions import nullsafe_join
+from tripframe.operators.positions import attach_scalars, nullsafe_join
 
 KEY = "obs_id"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -177,7 +177,8 @@ def travel_quality_audit(df: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(n).alias("rule"),
                               r.cast("bigint").alias("removed"))
                      for s, n, r in zip(steps, labels, removed)])
-    return n_in.crossJoin(per_rule).crossJoin(tail).select(F.inline(rows))
+    one = attach_scalars(attach_scalars(per_rule, n_in), tail)
+    return one.select(F.inline(rows))
 
 
 # B7 ------------------------------------------------------------------------
@@ -226,7 +227,7 @@ def drop_audit(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows dropped between two tables, count and percent of the original."""
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))
     a = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    return (b.crossJoin(a)
+    return (attach_scalars(a, b).select("rows_before", "rows_after")
              .withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
              .withColumn("pct_dropped", F.try_divide(F.col("rows_dropped") * F.lit(100.0),
                                                      F.col("rows_before"))))
@@ -256,7 +257,7 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean",
         def fn(c):
             return F.percentile_approx(c, F.lit(0.5), 10000)
     fit = df.agg(*[fn(F.col(c).cast("double")).alias(f"_fill_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(fit))  # one row: size bound is structural
+    out = attach_scalars(df, fit)
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")))
     return out.drop(*[f"_fill_{c}" for c in cols])

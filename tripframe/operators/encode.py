@@ -1,8 +1,8 @@
 """Fitted encoders and scalers (F13-F19) as fit tables.
 
 A fit is an aggregate that yields a small table (one row for scalers, one
-row per distinct label for vocabularies); applying it is a join. One-row
-fit tables are broadcast by construction; vocabularies are left to AQE,
+row per distinct label for vocabularies). One-row fit tables reach the
+rows as scalar subqueries (no join); vocabularies are joined and left to AQE,
 which broadcasts them only when their measured size is under the
 threshold and otherwise keeps a shuffle join.
 """
@@ -36,7 +36,7 @@ def fit_standard(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 def _attach(df: DataFrame, fit: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         return positions.nullsafe_join(df, fit, list(by))
-    return df.crossJoin(F.broadcast(fit))  # one-row fit table
+    return positions.attach_scalars(df, fit)  # one-row fit table
 
 
 def apply_standard(df: DataFrame, fit: DataFrame, cols: Sequence[str],
@@ -65,7 +65,7 @@ def apply_minmax(df: DataFrame, fit: DataFrame, cols: Sequence[str],
                  suffix: str = "_mm") -> DataFrame:
     """(x - min) / (max - min); a zero range divides by 1. Values outside
     the fitted range leave [0, 1], as with a scaler fit on train only."""
-    x = df.crossJoin(F.broadcast(fit))
+    x = positions.attach_scalars(df, fit)
     for c in cols:
         rng = F.col(f"max_{c}") - F.col(f"min_{c}")
         x = x.withColumn(f"{c}{suffix}", (F.col(c) - F.col(f"min_{c}")) /
@@ -133,6 +133,6 @@ def extend_vocabulary(vocab: DataFrame, df: DataFrame, col: str) -> DataFrame:
     new = unknown_labels(df, vocab, col)
     new_codes = label_vocabulary(new, "value")
     top = vocab.agg(F.coalesce(F.max("code"), F.lit(-1)).alias("_max"))
-    added = (new_codes.crossJoin(F.broadcast(top))  # one row
+    added = (positions.attach_scalars(new_codes, top)
                       .select("value", (F.col("code") + F.col("_max") + 1).cast("int").alias("code")))
     return vocab.unionByName(added)

@@ -23,7 +23,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripframe.operators.positions import nullsafe_join
+from tripframe.operators.positions import attach_scalars, nullsafe_join
 
 
 # Group-mean predictor -------------------------------------------------------
@@ -55,7 +55,7 @@ def score_group_mean(df: DataFrame, fit: DataFrame, levels: Sequence[Sequence[st
         if lvl:
             x = nullsafe_join(x, part, list(lvl), "left")
         else:
-            x = x.crossJoin(F.broadcast(part))  # global mean: one row
+            x = attach_scalars(x, part)  # global mean: one value
     pred = F.coalesce(*[F.col(f"_m{i}") for i in range(len(levels))])
     return x.withColumn(out, pred).drop(*[f"_m{i}" for i in range(len(levels))])
 

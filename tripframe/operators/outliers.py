@@ -2,8 +2,8 @@
 
 Fences come from one-row fit tables (exact ``percentile`` by default, which
 keeps a value->count map per column: right for integer seconds; pass
-``exact=False`` for unbounded doubles). One-row tables are broadcast by
-construction. Group statistics are hash aggregates joined back on the
+``exact=False`` for unbounded doubles). One-row fences reach the rows as
+scalar subqueries (computed once, no join). Group statistics are hash aggregates joined back on the
 group key, never a window: a hot group is partially aggregated map-side
 and its single stats row is what the join replicates.
 """
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripframe.operators.positions import nullsafe_join
+from tripframe.operators.positions import attach_scalars, nullsafe_join
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
@@ -38,7 +38,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
 
 
 def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(bounds))  # one row by construction
+    return attach_scalars(df, bounds)
 
 
 def iqr_split(df: DataFrame, cols: Sequence[str], k: float = 1.5,
@@ -64,7 +64,7 @@ def iqr_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     s = iqr_split(df, cols, k)
     tot = df.agg(F.count(F.lit(1)).alias("total"))
     n = s.agg(F.count_if(F.col("iqr_set") == "outlier").alias("outliers"))
-    return (tot.crossJoin(n)
+    return (attach_scalars(n, tot).select("total", "outliers")
                .withColumn("pct", F.try_divide(F.col("outliers") * F.lit(100.0), F.col("total"))))
 
 

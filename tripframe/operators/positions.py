@@ -26,12 +26,22 @@ from pyspark.sql import functions as F
 OFF, BN, GN = "_off", "_bn", "_gn"
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None = None
+                   ) -> DataFrame:
+    """Add the columns of a one-row aggregate (fit statistics, fences,
+    totals) to every row as scalar subqueries: no join, the value is
+    computed once, Catalyst merges subqueries over the same aggregate and
+    the value can prune scans like a literal."""
+    cols = list(cols) if cols is not None else one_row.columns
+    return df.withColumns({c: one_row.select(c).scalar() for c in cols})
+
+
 def nullsafe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                   how: str = "inner") -> DataFrame:
     """Equi-join where null keys match null keys (pandas groupby-like)."""
     keys = list(keys)
     if not keys:
-        return left.crossJoin(right)
+        raise ValueError("nullsafe_join needs at least one key")
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")

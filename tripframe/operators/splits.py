@@ -109,7 +109,7 @@ def stratified_split_fallback(df: DataFrame, keys: Sequence[str], key: str = "ob
     flags = split.agg(
         (F.count_if(F.col(DATASET) == VAL) == 0).alias("_val_empty"),
         (F.count_if(F.col(DATASET) == TEST) == 0).alias("_test_empty"))
-    x = split.crossJoin(F.broadcast(flags))  # one row by construction
+    x = positions.attach_scalars(split, flags)
     any_empty = F.col("_val_empty") | F.col("_test_empty")
     x = x.withColumn(DATASET, F.when((F.col(DATASET) == "") & any_empty, F.lit(TEST))
                      .otherwise(F.col(DATASET)))
@@ -178,7 +178,7 @@ def split_report(df: DataFrame, col: str = DATASET) -> DataFrame:
     """Rows and share per set."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     tot = counts.agg(F.sum("n").alias("_t"))
-    return (counts.crossJoin(F.broadcast(tot))  # one row
+    return (positions.attach_scalars(counts, tot)
                   .select(col, "n", (F.col("n") / F.col("_t")).alias("ratio")))
 
 

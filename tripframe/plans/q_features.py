@@ -12,6 +12,7 @@ from tripframe.functions import clock, features, featuresets
 from tripframe.functions.hashing import md5_mod
 from tripframe.functions.text import composite_key
 from tripframe.operators import encode, splits
+from tripframe.operators.positions import attach_scalars
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_splits import OBS_SMALL, RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
@@ -350,7 +351,7 @@ def q_clip_zero(spark, sf_dir):
     """negative values (here centred TIME_GAP) clipped to 0."""
     obs = _obs(spark, sf_dir)
     mu = obs.agg(F.avg("TIME_GAP").alias("mu"))
-    x = obs.crossJoin(F.broadcast(mu)).withColumn("centred", F.col("TIME_GAP") - F.col("mu"))
+    x = attach_scalars(obs, mu).withColumn("centred", F.col("TIME_GAP") - F.col("mu"))
     return x.select("obs_id", "centred", features.clip_zero("centred").alias("clipped"))
 
 
