@@ -20,17 +20,19 @@ def _mins(t: str) -> int:
     return int(hh) * 60 + int(mm)
 
 
-def grid_labels(slots=clock.TIME_SLOTS) -> Column:
-    """H1 as an expression: array of every ``HH:mm`` of the inclusive slots."""
-    arrays = [F.sequence(F.lit(_mins(a)), F.lit(_mins(b))) for a, b in slots]
-    return F.transform(F.array_distinct(F.concat(*arrays)),
-                       lambda m: F.format_string("%02d:%02d", (m / 60).cast("int"),
-                                                 (m % 60).cast("int")))
+def grid_minutes(slots=clock.TIME_SLOTS) -> Column:
+    """H1 as an expression: array of the minutes of day of the inclusive slots."""
+    return F.array_distinct(F.concat(*[F.sequence(F.lit(_mins(a)), F.lit(_mins(b)))
+                                       for a, b in slots]))
+
+
+def minute_label(m: Column) -> Column:
+    return F.format_string("%02d:%02d", (m / 60).cast("int"), (m % 60).cast("int"))
 
 
 def minute_grid(spark: SparkSession, slots=clock.TIME_SLOTS, name: str = "DEP_TIME") -> DataFrame:
     """H1: every ``HH:mm`` label of the inclusive slots (3 x 121 = 363)."""
-    return spark.range(1).select(F.explode(grid_labels(slots)).alias(name))
+    return spark.range(1).select(minute_label(F.explode(grid_minutes(slots))).alias(name))
 
 
 def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str],
@@ -47,7 +49,8 @@ def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str]
                   .agg(F.min_by(F.struct(*[F.col(c) for c in first_cols]), F.col(order)).alias("_f"))
                   .select(*keys, "_f.*"))
     # each id row generates its grid minutes (<= 1440) in place: no join
-    candidates = firsts.withColumn(time_col, F.explode(grid_labels(slots)))
+    candidates = (firsts.withColumn("_m", F.explode(grid_minutes(slots)))
+                        .withColumn(time_col, minute_label(F.col("_m"))).drop("_m"))
     # distinct pairs are partially aggregated map-side: the anti join
     # shuffles at most ids x grid pairs, not every observed row
     present = observed.select(*keys, time_col).distinct()
