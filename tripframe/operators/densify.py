@@ -32,7 +32,8 @@ def minute_label(m: Column) -> Column:
 
 def minute_grid(spark: SparkSession, slots=clock.TIME_SLOTS, name: str = "DEP_TIME") -> DataFrame:
     """H1: every ``HH:mm`` label of the inclusive slots (3 x 121 = 363)."""
-    return spark.range(1).select(minute_label(F.explode(grid_minutes(slots))).alias(name))
+    g = spark.range(1).select(F.explode(grid_minutes(slots)).alias("_m"))
+    return g.select(minute_label(F.col("_m")).alias(name))
 
 
 def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str],
