@@ -44,8 +44,8 @@ def main() -> None:
     from tripframe.plans import load_all
     from tripframe.session import get_spark
     spark = get_spark(f"local[{cpus}]", "tripframe-bench",
-                      {"spark.sql.shuffle.partitions": str(max(8, 2 * cpus)),
-                       "spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+                      {"spark.sql.shuffle.partitions": os.environ.get("BENCH_SHUFFLE", str(max(4, cpus))),
+                       "spark.driver.memory": os.environ.get("BENCH_MEM", "4g")})
     queries, _ = load_all()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in queries]
 
