@@ -122,7 +122,8 @@ def incumbent_bins(comp: DataFrame, event: str, ai: str, bis: str, upper_minutes
     x = x.withColumn("bin", F.floor("_min").cast("int"))
     agg = x.groupBy("bin").agg(F.avg("_ai").alias("_a"), F.avg("_bis").alias("_b"),
                                F.count(F.lit(1)).alias("_n"))
-    top = x.agg(F.max("bin").alias("_top"))
+    # the grid bound comes from the (small) per-bin aggregate, not a rescan
+    top = agg.agg(F.max("bin").alias("_top"))
     grid = top.select(F.explode(F.sequence(F.lit(0), F.col("_top"))).alias("bin"))
     out = grid.join(agg, "bin", "left")
     label = F.format_string(BIN_LABEL, F.col("bin"), F.col("bin") + 1)

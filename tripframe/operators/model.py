@@ -44,6 +44,14 @@ def fit_group_mean(train: DataFrame, levels: Sequence[Sequence[str]], target: st
     return fit.withColumn("_level", gid_to_level).drop("_gid")
 
 
+def score_level(df: DataFrame, fit: DataFrame, level: int, keys: Sequence[str],
+                out: str) -> DataFrame:
+    """The mean of one fitted level only (no fallback), e.g. to compare two
+    predictors fitted in the same pass."""
+    part = fit.filter(F.col("_level") == level).select(*keys, F.col("_mean").alias(out))
+    return nullsafe_join(df, part, list(keys), "left")
+
+
 def score_group_mean(df: DataFrame, fit: DataFrame, levels: Sequence[Sequence[str]],
                      out: str = "prediction") -> DataFrame:
     """Mean of the most specific level that has the row's group. The fit

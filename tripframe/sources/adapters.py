@@ -151,10 +151,10 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     obs = travel_obs(spark, sf_dir).withColumn(
         "tod_class", clock.tod_class(clock.hour_of("DEP_TIME")))
-    ai_lvls = [["BUSINFOUNIT_ID", "tod_class"]]
-    bis_lvls = [["BUSINFOUNIT_ID"]]
-    x = model.score_group_mean(obs, model.fit_group_mean(obs, ai_lvls), ai_lvls, "_ai")
-    x = model.score_group_mean(x, model.fit_group_mean(obs, bis_lvls), bis_lvls, "_bis")
+    levels = [["BUSINFOUNIT_ID", "tod_class"], ["BUSINFOUNIT_ID"]]
+    fit = model.fit_group_mean(obs, levels)  # both predictors in one pass
+    x = model.score_level(obs, fit, 0, levels[0], "_ai")
+    x = model.score_level(x, fit, 1, levels[1], "_bis")
     tg = F.col("TIME_GAP").cast("double")
     is_travel = F.col("DATA_TYPE") == "EVENT"
     d_ai = F.abs(tg - F.col("_ai"))
