@@ -15,6 +15,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+EXACT = False
+
+
 def _norm(v):
     if v is None:
         return None
@@ -29,6 +32,8 @@ def _norm(v):
             return None
         if abs(v) < 1e-9:
             return 0.0
+        if EXACT:
+            return v
         return float(f"{v:.6g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
@@ -71,13 +76,21 @@ def compare(spark_pdf, oracle_pdf) -> str | None:
 
 
 def main(argv):
+    global EXACT
+    if "--exact" in argv:
+        EXACT = True
+        argv = [a for a in argv if a != "--exact"]
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/")]
     import duckdb
 
     from tripframe.plans import load_all
+    from tripframe.plans.doubles import DOUBLE_COLUMNS
+    from tripframe.plans.registry import round_doubles, round_sql
     from tripframe.session import get_spark
-    queries, oracle = load_all()
+    raw_q, raw_o = load_all()
+    queries = {n: (lambda f: lambda s, d: round_doubles(f(s, d)))(f) for n, f in raw_q.items()}
+    oracle = {n: round_sql(sql, DOUBLE_COLUMNS.get(n, ())) for n, sql in raw_o.items()}
     spark = get_spark("local[8]", extra={"spark.sql.shuffle.partitions": "8"})
     con = duckdb.connect()
     for t in TABLES:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tripframe.functions import clock, features, featuresets
 from tripframe.functions.hashing import md5_mod
 from tripframe.functions.text import composite_key
-from tripframe.operators import encode, splits
+from tripframe.operators import clean, encode, splits
 from tripframe.operators.positions import attach_scalars
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_splits import OBS_SMALL, RATIO_CUTS, TVT, sql_assign
@@ -135,7 +135,8 @@ def q_md5_bucket(spark, sf_dir):
 
 # F13-F15 -------------------------------------------------------------------
 SPLIT_SQL = "s AS (" + sql_assign("small2", [], 42, RATIO_CUTS, TVT) + ")"
-SMALL2 = "small2 AS (SELECT obs_id, LEN, TIME_GAP, BUSINFOUNIT_ID, BUSROUTE_ID FROM obs)"
+SMALL2 = ("small2 AS (SELECT obs_id, LEN, TIME_GAP, BUSINFOUNIT_ID, BUSROUTE_ID FROM obs "
+          "WHERE coalesce(LEN <> 0, true) AND coalesce(TIME_GAP <> 0, true))")
 STD_FIT = """fit AS (SELECT avg(LEN) AS mean_LEN, stddev_pop(LEN) AS sd_LEN,
                     avg(TIME_GAP) AS mean_TG, stddev_pop(TIME_GAP) AS sd_TG FROM s WHERE dataset = 'train'),
 fit2 AS (SELECT mean_LEN, CASE WHEN sd_LEN IS NULL OR sd_LEN = 0 THEN 1.0 ELSE sd_LEN END AS sc_LEN,
@@ -143,7 +144,8 @@ fit2 AS (SELECT mean_LEN, CASE WHEN sd_LEN IS NULL OR sd_LEN = 0 THEN 1.0 ELSE s
 
 
 def _split_small(spark, sf_dir):
-    obs = _obs(spark, sf_dir).select("obs_id", "LEN", "TIME_GAP", "BUSINFOUNIT_ID", "BUSROUTE_ID")
+    obs = clean.zero_filter(_obs(spark, sf_dir), ["LEN", "TIME_GAP"]).select(
+        "obs_id", "LEN", "TIME_GAP", "BUSINFOUNIT_ID", "BUSROUTE_ID")
     return files.stage_table(splits.random_split(obs), "small_split")
 
 
@@ -316,7 +318,7 @@ def q_weights(spark, sf_dir):
 
 
 # F24-F26 -------------------------------------------------------------------
-@query("feature_matrix", with_views(TRAVEL_OBS, "small2 AS (SELECT * FROM obs)", SPLIT_SQL, STD_FIT) + f"""
+@query("feature_matrix", with_views(TRAVEL_OBS, "small2 AS (SELECT * FROM obs WHERE coalesce(LEN <> 0, true) AND coalesce(TIME_GAP <> 0, true))", SPLIT_SQL, STD_FIT) + f"""
 SELECT obs_id, dataset, {H} AS dep_hour, {P.minute('DEP_TIME')} AS dep_minute,
   (LEN - mean_LEN) / sc_LEN AS LEN_scaled,
   sin({TWO_PI}::DOUBLE * {H} / 24.0::DOUBLE) AS dep_time_sin,
@@ -329,7 +331,8 @@ FROM s, fit2""")
 def q_feature_matrix(spark, sf_dir):
     """the ordered 9-column travel feature set plus the hashed segment id
     (LEN scaler fit on the train split)."""
-    s = files.stage_table(splits.random_split(_obs(spark, sf_dir)), "feature_split")
+    obs = clean.zero_filter(_obs(spark, sf_dir), ["LEN", "TIME_GAP"])
+    s = files.stage_table(splits.random_split(obs), "feature_split")
     fit = encode.fit_standard(s.filter(F.col("dataset") == "train"), ["LEN"])
     x = featuresets.travel_features(encode.apply_standard(s, fit, ["LEN"]))
     return x.select("obs_id", "dataset", *featuresets.TRAVEL_FEATURES, "unit_hash")

@@ -8,7 +8,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tripframe.functions import clock, features, featuresets
-from tripframe.operators import encode, evaluate, model, splits
+from tripframe.operators import clean, encode, evaluate, model, splits
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_splits import RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
@@ -21,7 +21,8 @@ LEVELS = [["BUSINFOUNIT_ID", "tod_class"], ["BUSINFOUNIT_ID"], []]
 
 SCORED_SQL = [
     f"""o3 AS (SELECT obs_id, BUSROUTE_ID, BUSINFOUNIT_ID, DEP_TIME, LEN, TIME_GAP,
-                  {P.tod_class(P.hour('DEP_TIME'))} AS tod_class FROM obs)""",
+                  {P.tod_class(P.hour('DEP_TIME'))} AS tod_class FROM obs
+          WHERE coalesce(LEN <> 0, true) AND coalesce(TIME_GAP <> 0, true))""",
     "s AS (" + sql_assign("o3", [], 42, RATIO_CUTS, TVT) + ")",
     """m0 AS (SELECT BUSINFOUNIT_ID, tod_class, avg(TIME_GAP) AS _m0 FROM s WHERE dataset = 'train' GROUP BY ALL),
 m1 AS (SELECT BUSINFOUNIT_ID, avg(TIME_GAP) AS _m1 FROM s WHERE dataset = 'train' GROUP BY ALL),
@@ -32,7 +33,9 @@ scored AS (SELECT s.* EXCLUDE (dataset), coalesce(_m0, _m1, _m2) AS prediction
 
 
 def _split(spark, sf_dir):
-    obs = A.travel_obs(spark, sf_dir).select(
+    """Zero-filtered (B1 on LEN, TIME_GAP, as the training loader does)
+    observations split 70/15/15 and staged once for fits and scoring."""
+    obs = clean.zero_filter(A.travel_obs(spark, sf_dir), ["LEN", "TIME_GAP"]).select(
         "obs_id", "BUSROUTE_ID", "BUSINFOUNIT_ID", "DEP_TIME", "LEN", "TIME_GAP",
         clock.tod_class(clock.hour_of("DEP_TIME")).alias("tod_class"))
     return files.stage_table(splits.random_split(obs), "travel_split", "dataset")
@@ -245,7 +248,8 @@ MOD = f"({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')})"
 
 
 @query("per_group_regression", with_views(TRAVEL_OBS, f"""
-o4 AS (SELECT obs_id, BUSINFOUNIT_ID, DAY_TYPE, {MOD} AS minute_of_day, TIME_GAP FROM obs)""",
+o4 AS (SELECT obs_id, BUSINFOUNIT_ID, DAY_TYPE, {MOD} AS minute_of_day, TIME_GAP FROM obs
+       WHERE coalesce(LEN <> 0, true) AND coalesce(TIME_GAP <> 0, true))""",
     "s AS (" + sql_assign("o4", [], 42, RATIO_CUTS, TVT) + ")", """
 fit AS (SELECT BUSINFOUNIT_ID, DAY_TYPE, regr_slope(TIME_GAP, minute_of_day) AS slope,
                regr_intercept(TIME_GAP, minute_of_day) AS intercept
@@ -257,7 +261,7 @@ WHERE dataset = 'validation'""")
 def q_per_group_regression(spark, sf_dir):
     """One least-squares line (TIME_GAP on minute of day) per (segment,
     day type), fit on train; groups with < 2 rows on either side skipped."""
-    obs = A.travel_obs(spark, sf_dir).select(
+    obs = clean.zero_filter(A.travel_obs(spark, sf_dir), ["LEN", "TIME_GAP"]).select(
         "obs_id", "BUSINFOUNIT_ID", "DAY_TYPE", clock.minute_of_day("DEP_TIME").alias("minute_of_day"),
         "TIME_GAP")
     s = files.stage_table(splits.random_split(obs), "regression_split")
@@ -272,7 +276,8 @@ def q_per_group_regression(spark, sf_dir):
 
 # Spark ML fits (rows-only) ------------------------------------
 def _ml_frame(spark, sf_dir):
-    s = files.stage_table(splits.random_split(A.travel_obs(spark, sf_dir)), "ml_split")
+    obs = clean.zero_filter(A.travel_obs(spark, sf_dir), ["LEN", "TIME_GAP"])
+    s = files.stage_table(splits.random_split(obs), "ml_split")
     fit = encode.fit_standard(s.filter(F.col("dataset") == "train"), ["LEN"])
     x = featuresets.travel_features(encode.apply_standard(s, fit, ["LEN"]))
     return x.withColumn("w", features.distance_weight("LEN")).withColumn(
