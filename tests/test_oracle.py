@@ -1,14 +1,17 @@
-"""Every registered query against its DuckDB oracle (sf0.001 for speed; the
-driver gate runs sf0.01), plus the entry-point contract."""
+"""Every registered query against its DuckDB oracle through the driver
+contract (__spark_entry__.queries / oracle_sql, doubles reported to 1e-6),
+compared exactly (sf0.001 for speed; the driver gate runs sf0.01), plus the
+entry-point contract."""
 
 import duckdb
 import pytest
 
+import __spark_entry__ as E
 from conftest import SF_SMALL
-from tripframe.plans import load_all
+from tripframe.plans import check
 from tripframe.plans.check import TABLES, compare
 
-QUERIES, ORACLE = load_all()
+QUERIES, ORACLE = E.queries(), E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +23,8 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_matches_oracle(spark, con, name):
+def test_query_matches_oracle(spark, con, name, monkeypatch):
+    monkeypatch.setattr(check, "EXACT", True)
     got = QUERIES[name](spark, SF_SMALL).toPandas()
     want = con.sql(ORACLE[name]).df()
     msg = compare(got, want)
@@ -33,7 +37,6 @@ def test_rows_only_queries_run(spark, name):
 
 
 def test_entry_contract(spark):
-    import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
