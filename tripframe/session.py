@@ -14,6 +14,12 @@ from pyspark.sql import SparkSession
 # Defaults tuned for large inputs: AQE re-plans joins and partition counts at
 # run time from real shuffle sizes, skew join splits hot keys, and the
 # broadcast threshold is the size check behind every implicit broadcast.
+#
+# Sizing at 100 TB (set by the cluster, never overridden here): scans split
+# at 128 MB (~800k tasks); ``spark.sql.shuffle.partitions`` should be about
+# the largest shuffle's bytes / 256 MB (e.g. 20 000-50 000 for a full-table
+# shuffle) so every reducer fits executor memory; AQE then coalesces the
+# small shuffles (aggregates, fit tables) towards the 128 MB advisory size.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
