@@ -36,13 +36,32 @@ DEFAULTS = {
 
 def get_spark(master: str | None = None, app: str = "tripframe",
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session; defaults apply only where unset."""
+    """Build (or reuse) a session.
+
+    An active session is reused as configured (``extra`` runtime settings
+    are applied to it). Otherwise ``DEFAULTS`` fill only keys the cluster's
+    submit-time configuration (``SparkConf()``: spark-submit arguments,
+    spark-defaults.conf) leaves unset, and ``master`` only when none is set;
+    ``extra`` is the caller's explicit choice and always applies."""
+    from pyspark import SparkConf
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        for key, value in (extra or {}).items():
+            try:
+                active.conf.set(key, value)
+            except Exception:  # noqa: BLE001 - static settings cannot change at run time
+                pass
+        ensure_checkpoint_dir(active)
+        return active
+    base = SparkConf()
     builder = SparkSession.builder.appName(app)
-    if master:
+    if master and not base.contains("spark.master"):
         builder = builder.master(master)
-    conf = dict(DEFAULTS)
-    conf.update(extra or {})
-    for key, value in conf.items():
+    for key, value in DEFAULTS.items():
+        if not base.contains(key):
+            builder = builder.config(key, value)
+    for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
