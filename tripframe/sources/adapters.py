@@ -37,11 +37,14 @@ def spread(df: DataFrame) -> DataFrame:
     A large input already splits into many tasks and is returned as is; a
     scan that yields fewer partitions than the session's parallelism (a
     small file written as one row group) would run every per-row
-    expression in a handful of tasks, so it is spread round-robin. The
-    extra shuffle is bounded by that small input."""
+    expression in a handful of tasks, so it is hash-spread on a seeded
+    ``rand``: the same input split gives the same values on a recomputed
+    task, and unlike round-robin no per-task sort is needed. The extra
+    shuffle is bounded by that small input (filters are not pushed below it,
+    which only matters for large inputs, and those are never spread)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, F.rand(42))
     return df
 
 
