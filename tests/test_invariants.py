@@ -42,8 +42,9 @@ def test_stratified_fallback_fills_validation(spark):
 
 def test_chunked_sequences_match_plain_window(spark):
     obs = A.travel_obs(spark, SF_ORACLE).select("obs_id", "BUSROUTE_ID", "DEP_TIME", "TIME_GAP")
+    # hot_rows=1990: two routes (1981, 1982 rows) take the plain path, three the chunked one
     ours = sequence.sliding_sequences(obs, ["BUSROUTE_ID"], ["DEP_TIME"], ["TIME_GAP"],
-                                      length=5, chunk=37)
+                                      length=5, chunk=37, hot_rows=1990)
     w = (Window.partitionBy("BUSROUTE_ID").orderBy("DEP_TIME", "obs_id").rowsBetween(-5, -1))
     ref = (obs.withColumn("ref", F.collect_list("TIME_GAP").over(w))
               .filter(F.size("ref") == 5).select("obs_id", "ref"))
@@ -90,7 +91,7 @@ def test_sequences_hot_segment_small_blocks(spark):
     obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "DEP_TIME", "TIME_GAP") \
         .withColumn("seg", F.lit("hot"))
     ours = sequence.sliding_sequences(obs, ["seg"], ["DEP_TIME"], ["TIME_GAP"], length=5,
-                                      chunk=11, key_block=3)
+                                      chunk=11, key_block=3, hot_rows=0)
     w = Window.partitionBy("seg").orderBy("DEP_TIME", "obs_id").rowsBetween(-5, -1)
     ref = (obs.withColumn("ref", F.collect_list("TIME_GAP").over(w))
               .filter(F.size("ref") == 5).select("obs_id", "ref"))
