@@ -75,3 +75,20 @@ def test_null_target_in_metrics(spark):
                                "obs_id long, TIME_GAP int, prediction double")
     m = evaluate.metrics(df).first()
     assert m.n == 3 and abs(m.mae - 2.5) < 1e-12
+
+
+def test_tune_picks_lowest_validation_rmse(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    from tripframe.operators import model
+    rows = [(float(x), 2.0 * x + 1.0) for x in range(40)]
+    df = spark.createDataFrame(rows, "x double, TIME_GAP double")
+    lr = LinearRegression(featuresCol="f", labelCol="TIME_GAP")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="f"), lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, [1000.0, 0.0]).build()
+    best, scores = model.tune(pipe, grid, df.filter("x < 30"), df.filter("x >= 30"))
+    assert best.stages[-1].getRegParam() == 0.0
+    assert len(scores) == 2 and min(r for _, r in scores) < 1e-6

@@ -126,16 +126,25 @@ def global_regressor(dense_cols: Sequence[str], hash_col: str, hash_size: int,
 
 
 def tune(pipeline: Pipeline, param_maps, train: DataFrame, val: DataFrame,
-         label: str = "TIME_GAP", metric: str = "rmse"):
-    """I4: fit every parameter map on train (``fitMultiple`` shares the
-    prepared input), score on the fixed validation set, keep the best.
-    Returns (best model, [(params, metric)])."""
+         label: str = "TIME_GAP", metric: str = "rmse", parallelism: int = 2):
+    """I4: fit every parameter map on train, score on the fixed validation
+    set, keep the best (lowest ``metric``). Candidates are fitted as
+    concurrent Spark jobs by ``parallelism`` threads pulling from
+    ``fitMultiple`` (whose iterator is thread-safe), as TrainValidationSplit
+    does. Returns (best model, [(params, metric)])."""
+    from concurrent.futures import ThreadPoolExecutor
+
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    results = {}
-    models = {}
-    for idx, model in pipeline.fitMultiple(train, param_maps):
-        results[idx] = ev.evaluate(model.transform(val))
-        models[idx] = model
+    fits = pipeline.fitMultiple(train, param_maps)
+
+    def one(_):
+        idx, m = next(fits)
+        return idx, m, ev.evaluate(m.transform(val))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = list(pool.map(one, range(len(param_maps))))
+    results = {idx: r for idx, _, r in done}
+    models = {idx: m for idx, m, _ in done}
     best = min(results, key=results.get)
     return models[best], [(param_maps[i], results[i]) for i in sorted(results)]
 
