@@ -1,6 +1,7 @@
 """Invariants: split sizes and determinism, exact positions, chunked
 sequences, audit reconciliation, densify coverage."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -114,3 +115,18 @@ def test_group_sigma_hot_group(spark):
         .filter((F.col("TIME_GAP") >= F.col("_m") - 2 * F.col("_s"))
                 & (F.col("TIME_GAP") <= F.col("_m") + 2 * F.col("_s")))
     assert sorted(r.obs_id for r in ours.collect()) == sorted(r.obs_id for r in ref.collect())
+
+
+@pytest.mark.parametrize("hot_rows", [0, 10 ** 9])
+def test_kfold_and_split_paths_agree(spark, monkeypatch, hot_rows):
+    """k-fold and stratified labels are identical whether strata take the
+    bucketed (hot) path or the per-stratum window path."""
+    from tripframe.operators import positions
+    obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "BUSROUTE_ID", "DAY_TYPE")
+    monkeypatch.setattr(positions, "HOT_ROWS", 10 ** 9)
+    ref_f = {r.obs_id: r.fold for r in splits.kfold(obs, ["BUSROUTE_ID"]).collect()}
+    ref_s = {r.obs_id: r.dataset for r in splits.stratified_split(obs, ["BUSROUTE_ID", "DAY_TYPE"]).collect()}
+    monkeypatch.setattr(positions, "HOT_ROWS", hot_rows)
+    got_f = {r.obs_id: r.fold for r in splits.kfold(obs, ["BUSROUTE_ID"]).collect()}
+    got_s = {r.obs_id: r.dataset for r in splits.stratified_split(obs, ["BUSROUTE_ID", "DAY_TYPE"]).collect()}
+    assert got_f == ref_f and got_s == ref_s

@@ -5,6 +5,8 @@ and the watermarked streaming aggregate."""
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -49,7 +51,12 @@ def test_random_split_has_no_global_window(spark):
             assert "_bkt" in line
 
 
-def test_hot_stratum_split_is_exact(spark):
+@pytest.mark.parametrize("hot_rows", [0, 10 ** 9])
+def test_hot_stratum_split_is_exact(spark, monkeypatch, hot_rows):
+    """Both the bucketed path (every stratum hot) and the plain per-stratum
+    window give exact floor(.7n) / floor(.15n) counts."""
+    from tripframe.operators import positions
+    monkeypatch.setattr(positions, "HOT_ROWS", hot_rows)
     ev = A.table(spark, SF_SMALL, "events").select(
         F.col("event_id").alias("obs_id"),
         F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.col("event_type")).alias("k"))

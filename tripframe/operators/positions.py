@@ -25,6 +25,22 @@ from pyspark.sql import functions as F
 
 OFF, BN, GN = "_off", "_bn", "_gn"
 
+# Groups above this many rows are "hot": they take the bucketed path. Smaller
+# groups are ranked by one window per group (one shuffle, bounded tasks).
+HOT_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, group_cols: Sequence[str], hot_rows: int
+              ) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of hot groups). Group sizes are a
+    partial aggregate; the hot-key list has at most n / hot_rows entries,
+    which bounds its broadcast."""
+    group_cols = list(group_cols)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gsz"))
+    hot = F.broadcast(sizes.filter(F.col("_gsz") > hot_rows).select(*group_cols))
+    return (nullsafe_join(df, hot, group_cols, "left_anti"),
+            nullsafe_join(df, hot, group_cols, "left_semi"))
+
 
 def attach_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None = None
                    ) -> DataFrame:
@@ -75,8 +91,19 @@ def exact_position(df_off: DataFrame, group_cols: Sequence[str], bucket: str,
 
 def position(df: DataFrame, group_cols: Sequence[str], bucket: Column,
              order_cols: Sequence[str], name: str = "_pos",
-             keep_counts: bool = False) -> DataFrame:
-    """Exact 0-based position of every row in ``order_cols`` within its group."""
+             keep_counts: bool = False, hot_rows: int | None = None) -> DataFrame:
+    """Exact 0-based position of every row in ``order_cols`` within its group.
+
+    With ``hot_rows``, ordinary groups are ranked by one window per group
+    and only hot groups take the bucketed path."""
+    if group_cols and hot_rows is not None:
+        normal, hot = split_hot(df, group_cols, hot_rows)
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        plain = normal.withColumn(name, F.row_number().over(w) - 1)
+        if keep_counts:
+            plain = plain.withColumn(GN, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
+        rest = position(hot, group_cols, bucket, order_cols, name, keep_counts, None)
+        return plain.unionByName(rest.select(*plain.columns))
     b = "_bkt"
     out = exact_position(with_offsets(df.withColumn(b, bucket), group_cols, b),
                          group_cols, b, order_cols, name)
@@ -94,14 +121,26 @@ def label_at(pos: Column, cuts: Sequence[Column], labels: Sequence) -> Column:
 
 def assign_by_cuts(df: DataFrame, group_cols: Sequence[str], bucket: Column,
                    order_cols: Sequence[str], cuts_of_n, labels: Sequence,
-                   name: str) -> DataFrame:
+                   name: str, hot_rows: int | None = None) -> DataFrame:
     """Label rows by position against cut points that depend on group size.
 
     ``cuts_of_n(gn)`` returns nondecreasing Columns. Rows in buckets lying
     wholly between two cuts take the label of their bucket offset; only
-    rows in buckets that straddle a cut are ranked by a window.
+    rows in buckets that straddle a cut are ranked by a window. With
+    ``hot_rows``, ordinary groups are instead ranked by one window per group
+    (cheaper when there are many small groups) and only hot groups take the
+    bucketed path.
     """
     group_cols = list(group_cols)
+    if group_cols and hot_rows is not None:
+        normal, hot = split_hot(df, group_cols, hot_rows)
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        x = (normal.withColumn("_pos", F.row_number().over(w) - 1)
+                   .withColumn(GN, F.count(F.lit(1)).over(Window.partitionBy(*group_cols))))
+        plain = x.withColumn(name, label_at(F.col("_pos"), cuts_of_n(F.col(GN)), labels))
+        cols = df.columns + [name]
+        rest = assign_by_cuts(hot, group_cols, bucket, order_cols, cuts_of_n, labels, name)
+        return plain.select(*cols).unionByName(rest.select(*cols))
     b = "_bkt"
     off = with_offsets(df.withColumn(b, bucket), group_cols, b)
     cuts = cuts_of_n(F.col(GN))

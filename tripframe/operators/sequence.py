@@ -23,11 +23,12 @@ from tripframe.operators import positions
 def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       step_cols: Sequence[str], length: int = 5, key: str = "obs_id",
                       chunk: int = 4096, bucket: Column | None = None,
-                      key_block: int = 1 << 20, hot_rows: int = 1_000_000) -> DataFrame:
+                      key_block: int = 1 << 20, hot_rows: int | None = None) -> DataFrame:
     """One row per target row that has ``length`` predecessors, with
     ``seq`` = array of structs(step_cols), oldest first, and its ``obs_id``.
 
-    Groups of at most ``hot_rows`` rows use one window per group (one
+    Groups of at most ``hot_rows`` rows (default ``positions.HOT_ROWS``) use
+    one window per group (one
     shuffle). Larger ("hot") groups, found by a partial aggregate of group
     sizes, take the chunked path so no task holds a whole hot group; their
     key list has at most n / ``hot_rows`` entries, which bounds its
@@ -39,10 +40,8 @@ def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = list(keys), list(order)
     if chunk <= length:
         raise ValueError("chunk must exceed the sequence length")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsz"))
-    hot = F.broadcast(sizes.filter(F.col("_gsz") > hot_rows).select(*keys))
-    normal = positions.nullsafe_join(df, hot, keys, "left_anti")
-    hot_rows_df = positions.nullsafe_join(df, hot, keys, "left_semi")
+    hot_rows = positions.HOT_ROWS if hot_rows is None else hot_rows
+    normal, hot_rows_df = positions.split_hot(df, keys, hot_rows)
     steps = F.struct(*[F.col(c) for c in step_cols])
 
     w = Window.partitionBy(*keys).orderBy(*order, key).rowsBetween(-length, -1)

@@ -43,7 +43,8 @@ def _assign(df: DataFrame, groups: Sequence[str], key: str, seed: int, cuts_of_n
             labels: Sequence, name: str = DATASET, hex_digits: int = 4) -> DataFrame:
     h = _hashed(df, key, seed)
     out = positions.assign_by_cuts(h, groups, hash_prefix_bucket(F.col("_h"), hex_digits),
-                                   ["_h", key], cuts_of_n, labels, name)
+                                   ["_h", key], cuts_of_n, labels, name,
+                                   hot_rows=positions.HOT_ROWS)
     return out.drop("_h")
 
 
@@ -146,13 +147,16 @@ def singleton_split(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
     """Keys seen once -> train; per key floor((1-temp)n) train, rest to a
     temporary set; keys seen once there -> train; the rest halves into
     validation / test per key. Per-stratum floors replace sklearn's
-    allocation (counts may differ by one per stratum)."""
+    allocation (counts may differ by one per stratum). The first pass is
+    checkpointed to the shared checkpoint folder."""
     keys = list(keys)
     x = _count_by(df, keys, "_n1")
     once = x.filter(F.col("_n1") == 1).drop("_n1").withColumn(DATASET, F.lit(TRAIN))
     many = x.filter(F.col("_n1") > 1).drop("_n1")
+    # the first pass feeds two consumers: checkpoint it (shared folder,
+    # reliable) so the second pass does not re-run it
     first = _assign(many, keys, key, seed,
-                    lambda n: [F.floor(F.lit(1.0 - temp) * n)], [TRAIN, "_temp"])
+                    lambda n: [F.floor(F.lit(1.0 - temp) * n)], [TRAIN, "_temp"]).checkpoint()
     tmp = _count_by(first.filter(F.col(DATASET) == "_temp").drop(DATASET), keys, "_n2")
     tmp_once = tmp.filter(F.col("_n2") == 1).drop("_n2").withColumn(DATASET, F.lit(TRAIN))
     tmp_many = tmp.filter(F.col("_n2") > 1).drop("_n2")
@@ -200,5 +204,6 @@ def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, key: str = "obs_id",
           seed: int = 42) -> DataFrame:
     """Stratified fold = position in the seeded order within the stratum mod k."""
     h = _hashed(df, key, seed)
-    pos = positions.position(h, keys, hash_prefix_bucket(F.col("_h"), 4), ["_h", key])
+    pos = positions.position(h, keys, hash_prefix_bucket(F.col("_h"), 4), ["_h", key],
+                             hot_rows=positions.HOT_ROWS)
     return pos.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_pos", "_h")
