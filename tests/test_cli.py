@@ -43,3 +43,30 @@ def test_split_and_densify_cli(spark):
     d = spark.read.parquet(os.path.join(out, "d"))
     ids = A.travel_obs(spark, SF_SMALL).select("BUSINFOUNIT_ID").distinct().count()
     assert d.select("BUSINFOUNIT_ID", "DEP_TIME").distinct().count() == ids * 363
+
+
+def test_other_stages_run(spark):
+    out = tempfile.mkdtemp(prefix="tf-cli-out-")
+    src = _csv_input(spark)
+    hold = tempfile.mkdtemp(prefix="tf-cli-hold-")
+    A.holding_obs(spark, SF_SMALL).drop("obs_id").coalesce(1).write.mode("overwrite") \
+        .option("header", True).csv(hold)
+    cmp_dir = tempfile.mkdtemp(prefix="tf-cli-cmp-")
+    A.comparison(spark, SF_SMALL).drop("obs_id").coalesce(1).write.mode("overwrite") \
+        .option("header", True).csv(cmp_dir)
+    runs = [
+        (["clean-holding", "--input", hold], "h"),
+        (["outliers", "--input", src, "--columns", "TIME_GAP,LEN"], "o"),
+        (["profile", "--input", src], "p"),
+        (["compare", "--input", cmp_dir], "c"),
+        (["split", "--input", src, "--mode", "stratified", "--keys", "DAY_TYPE,BUSROUTE_ID"], "s"),
+    ]
+    for args, name in runs:
+        assert cli.main(args + ["--output", os.path.join(out, name)]) == 0
+    n = A.holding_obs(spark, SF_SMALL).filter("TIME_GAP > 0 AND TIME_GAP <= 120").count()
+    assert 0 < spark.read.parquet(os.path.join(out, "h")).count() <= n
+    assert spark.read.parquet(os.path.join(out, "o")).count() > 0
+    assert spark.read.parquet(os.path.join(out, "p", "describe")).count() == 1
+    assert spark.read.parquet(os.path.join(out, "c", "travel_bins")).count() > 0
+    s = spark.read.parquet(os.path.join(out, "s"))
+    assert s.count() == A.travel_obs(spark, SF_SMALL).count()
