@@ -77,3 +77,18 @@ def test_windowed_stream_means(spark):
     # append mode emits only windows closed by the watermark; each is final
     assert res.filter(F.col("n") <= 0).count() == 0
     assert set(res.columns) == {"window_start", "window_end", "BUSINFOUNIT_ID", "mean_time_gap", "n"}
+
+
+def test_no_query_plans_a_cross_or_nested_loop_join(spark):
+    """One-row fits are scalar subqueries and grids are generated per row, so
+    no registered query needs a cartesian product or nested-loop join."""
+    from tripframe.plans import load_all
+    queries, _ = load_all()
+    fits = {"gbt_fit_score", "weighted_fit_score", "tuned_fit_score"}
+    bad = []
+    for name, fn in queries.items():
+        if name in fits:
+            continue
+        plan = _plan(fn(spark, SF_SMALL))
+        bad += [(name, op) for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+    assert bad == []
