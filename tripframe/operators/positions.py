@@ -14,6 +14,11 @@ per-group one puts a hot group (a third of all rows) in one task. Instead:
 When only cut points matter (splits, top-k per group), rows of buckets that
 lie wholly on one side of every cut are labelled from the offset alone and
 only the few straddling buckets run a window at all.
+
+With ``hot_rows`` (``HOT_ROWS`` by default in the split operators), groups
+are first sized by a partial aggregate: ordinary groups are ranked by one
+window per group, which is the cheapest plan for many small groups, and
+only hot groups take the bucketed path above.
 """
 
 from __future__ import annotations

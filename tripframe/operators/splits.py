@@ -5,7 +5,8 @@ under recomputation and repartitioning (a lost executor recomputes the
 same split), and reproducible in SQL. Positions in that order come from
 ``positions.assign_by_cuts``: bucket counts plus offsets, with a window
 only over the few buckets that straddle a cut, so neither a global split
-nor a hot stratum is sorted in one task.
+nor a hot stratum is sorted in one task; ordinary strata (up to
+``positions.HOT_ROWS`` rows) are ranked by one window per stratum.
 """
 
 from __future__ import annotations
