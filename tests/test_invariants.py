@@ -130,3 +130,21 @@ def test_kfold_and_split_paths_agree(spark, monkeypatch, hot_rows):
     got_f = {r.obs_id: r.fold for r in splits.kfold(obs, ["BUSROUTE_ID"]).collect()}
     got_s = {r.obs_id: r.dataset for r in splits.stratified_split(obs, ["BUSROUTE_ID", "DAY_TYPE"]).collect()}
     assert got_f == ref_f and got_s == ref_s
+
+
+def test_largest_remainder_allocation(spark):
+    """D5 allocation: totals hold out exactly ceil(test * N) rows and each
+    key gets floor or ceil of its proportional share."""
+    import math
+    from tripframe.operators.splits import _largest_remainder
+    obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "BUSINFOUNIT_ID")
+    sizes = {r.BUSINFOUNIT_ID: r["count"] for r in obs.groupBy("BUSINFOUNIT_ID").count().collect()}
+    n = sum(sizes.values())
+    n_train = n - math.ceil(0.3 * n)
+    counts = obs.groupBy("BUSINFOUNIT_ID").agg(F.count(F.lit(1)).alias("_c"))
+    alloc = {r.BUSINFOUNIT_ID: r._ni
+             for r in _largest_remainder(counts, ["BUSINFOUNIT_ID"], 0.3, 42).collect()}
+    assert sum(alloc.values()) == n_train
+    for k, c in sizes.items():
+        share = c / n * n_train
+        assert math.floor(share) <= alloc[k] <= math.floor(share) + 1

@@ -143,28 +143,63 @@ def _count_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return nullsafe_join(df, counts, keys)
 
 
+def _largest_remainder(counts: DataFrame, keys: Sequence[str], test: float, seed: int) -> DataFrame:
+    """Per key (``counts``: keys + ``_c`` rows), the train-side count of a
+    stratified split that holds out ceil(test * N) rows in total:
+    floor(c / N * n_train) plus one for the keys with the largest
+    remainders (ties in seeded key order; the source draws them at random).
+    The class table is ranked with ``positions`` (bucketed by remainder),
+    never in one task."""
+    keys = list(keys)
+    counts = positions.attach_scalars(counts, counts.agg(F.sum("_c").alias("_N")))
+    n_train = F.col("_N") - F.ceil(F.lit(float(test)) * F.col("_N"))
+    cont = F.col("_c") / F.col("_N") * n_train
+    counts = (counts.withColumn("_fl", F.floor(cont)).withColumn("_rem", cont - F.floor(cont))
+                    .withColumn("_ntr", n_train))
+    need = counts.agg((F.max("_ntr") - F.sum("_fl")).alias("_need"))
+    kh = seeded_hash(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), seed)
+    ranked = positions.position(
+        counts.withColumn("_kh", kh).withColumn("_ord", F.lit(1.0) - F.col("_rem")), [],
+        F.floor(F.col("_ord") * F.lit(65536.0)), ["_ord", "_kh"], name="_rank")
+    ranked = positions.attach_scalars(ranked, need)
+    return ranked.select(*keys, (F.col("_fl") + F.when(F.col("_rank") < F.col("_need"), 1)
+                                 .otherwise(0)).cast("long").alias("_ni"))
+
+
+def _stratified_pass(rows: DataFrame, keys: Sequence[str], test: float, key: str, seed: int,
+                     labels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of keys seen once, the other rows labelled by a largest-remainder
+    stratified split). Class sizes are counted once and the allocation runs
+    on that small class table."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    x = nullsafe_join(rows, counts, keys)
+    once = x.filter(F.col("_c") == 1).drop("_c")
+    # one row per key: materialized once (shared checkpoint folder) so the
+    # split's several consumers read it instead of re-ranking the classes
+    alloc = _largest_remainder(counts.filter(F.col("_c") > 1), keys, test, seed).checkpoint()
+    many = nullsafe_join(x.filter(F.col("_c") > 1).drop("_c"), alloc, keys)
+    split = _assign(many, keys, key, seed, lambda n: [F.col("_ni")], list(labels)).drop("_ni")
+    return once, split
+
+
 def singleton_split(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
                     seed: int = 42, temp: float = 0.3) -> DataFrame:
-    """Keys seen once -> train; per key floor((1-temp)n) train, rest to a
-    temporary set; keys seen once there -> train; the rest halves into
-    validation / test per key. Per-stratum floors replace sklearn's
-    allocation (counts may differ by one per stratum). The first pass is
-    checkpointed to the shared checkpoint folder."""
+    """Keys seen once -> train; a stratified split holds out ceil(temp*N)
+    rows of the rest (largest-remainder allocation per key, as the source's
+    stratified train_test_split does); keys seen once in the held-out part
+    -> train; the rest halves into validation / test the same way. Rows
+    inside a key are taken in seeded order. The first pass is checkpointed
+    to the shared checkpoint folder."""
     keys = list(keys)
-    x = _count_by(df, keys, "_n1")
-    once = x.filter(F.col("_n1") == 1).drop("_n1").withColumn(DATASET, F.lit(TRAIN))
-    many = x.filter(F.col("_n1") > 1).drop("_n1")
+    once, first = _stratified_pass(df, keys, temp, key, seed, [TRAIN, "_temp"])
     # the first pass feeds two consumers: checkpoint it (shared folder,
     # reliable) so the second pass does not re-run it
-    first = _assign(many, keys, key, seed,
-                    lambda n: [F.floor(F.lit(1.0 - temp) * n)], [TRAIN, "_temp"]).checkpoint()
-    tmp = _count_by(first.filter(F.col(DATASET) == "_temp").drop(DATASET), keys, "_n2")
-    tmp_once = tmp.filter(F.col("_n2") == 1).drop("_n2").withColumn(DATASET, F.lit(TRAIN))
-    tmp_many = tmp.filter(F.col("_n2") > 1).drop("_n2")
-    second = _assign(tmp_many, keys, key, seed + 1,
-                     lambda n: [F.floor(F.lit(0.5) * n)], [VAL, TEST])
+    first = first.checkpoint()
+    held = first.filter(F.col(DATASET) == "_temp").drop(DATASET)
+    tmp_once, second = _stratified_pass(held, keys, 0.5, key, seed + 1, [VAL, TEST])
     return (first.filter(F.col(DATASET) == TRAIN).unionByName(second)
-                 .unionByName(tmp_once).unionByName(once))
+                 .unionByName(tmp_once.withColumn(DATASET, F.lit(TRAIN)))
+                 .unionByName(once.withColumn(DATASET, F.lit(TRAIN))))
 
 
 def date_split(df: DataFrame, date_col: str = "COLLECT_DATE", train: float = 0.7,

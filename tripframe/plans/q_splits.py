@@ -110,12 +110,37 @@ def q_split_timegroup(spark, sf_dir):
 
 HOLD_KEYED = """hk AS (SELECT obs_id, BUSROUTE_ID || '_' || BUSSTOP_ID AS route_stop, TIME_GAP FROM hobs),
 c1 AS (SELECT *, count(*) OVER (PARTITION BY route_stop) AS _n1 FROM hk)"""
-SINGLETON_SQL = with_views(HOLDING_OBS, HOLD_KEYED, "a1 AS (" + sql_assign(
-    "(SELECT * EXCLUDE (_n1) FROM c1 WHERE _n1 > 1)", ["route_stop"], 42,
-    ["floor(0.7::DOUBLE * n)"], ["'train'", "'_temp'"]) + ")",
+
+
+def _lr_sql(src: str, test: float, seed: int, name: str) -> str:
+    """Largest-remainder train-side count per route_stop (ties: seeded md5)."""
+    return f"""{name}_c AS (SELECT route_stop, count(*) AS _c FROM {src} GROUP BY 1),
+{name}_b AS (SELECT *, floor(cont) AS _fl, cont - floor(cont) AS _rem FROM (
+   SELECT route_stop, _c, _N - ceil({test}::DOUBLE * _N) AS _ntr,
+          _c / _N * (_N - ceil({test}::DOUBLE * _N)) AS cont
+   FROM {name}_c, (SELECT sum(_c) AS _N FROM {name}_c))),
+{name} AS (SELECT route_stop, CAST(_fl + CASE WHEN _rank < (SELECT max(_ntr) - sum(_fl) FROM {name}_b)
+                                          THEN 1 ELSE 0 END AS BIGINT) AS _ni FROM (
+   SELECT *, row_number() OVER (ORDER BY 1.0::DOUBLE - _rem, md5('{seed}|' || route_stop)) - 1 AS _rank
+   FROM {name}_b))"""
+
+
+def _pick_sql(src: str, ni: str, seed: int, first: str, rest: str) -> str:
+    return f"""SELECT obs_id, route_stop, TIME_GAP, CASE WHEN _p < _ni THEN {first} ELSE {rest} END AS dataset
+FROM (SELECT {src}.*, _ni, row_number() OVER (PARTITION BY route_stop
+        ORDER BY md5('{seed}|' || CAST(obs_id AS VARCHAR)), obs_id) - 1 AS _p
+      FROM {src} JOIN {ni} USING (route_stop))"""
+
+
+SINGLETON_SQL = with_views(
+    HOLDING_OBS, HOLD_KEYED,
+    "m1 AS (SELECT * EXCLUDE (_n1) FROM c1 WHERE _n1 > 1)",
+    _lr_sql("m1", 0.3, 42, "ni1"),
+    "a1 AS (" + _pick_sql("m1", "ni1", 42, "'train'", "'_temp'") + ")",
     "t2 AS (SELECT * EXCLUDE (dataset), count(*) OVER (PARTITION BY route_stop) AS _n2 FROM a1 WHERE dataset = '_temp')",
-    "a2 AS (" + sql_assign("(SELECT * EXCLUDE (_n2) FROM t2 WHERE _n2 > 1)", ["route_stop"], 43,
-                           ["floor(0.5::DOUBLE * n)"], ["'validation'", "'test'"]) + ")") + """
+    "m2 AS (SELECT * EXCLUDE (_n2) FROM t2 WHERE _n2 > 1)",
+    _lr_sql("m2", 0.5, 43, "ni2"),
+    "a2 AS (" + _pick_sql("m2", "ni2", 43, "'validation'", "'test'") + ")") + """
 SELECT * FROM a1 WHERE dataset = 'train'
 UNION ALL SELECT * FROM a2
 UNION ALL SELECT * EXCLUDE (_n2), 'train' FROM t2 WHERE _n2 = 1
