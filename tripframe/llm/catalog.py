@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripframe.llm import bpe, mixing, secrets, tokens, toxicity, urls
+from tripframe.llm import bpe, mixing, partenum, secrets, tokens, toxicity, urls
 from tripframe.llm import common as C
 
 OVER = 512
@@ -52,6 +52,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(C.table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar word shingle sets."""
+    return partenum.join(C.table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against the rules and the list of canonical URLs."""
     pages = C.table(spark, sf_dir, "pages")
@@ -61,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op2_token_counts, op3_mix_sources, op6_bpe_roundtrip, op7_toxicity, op8_secrets,
-    op10_url_filter)}
+    op9_ngram_join, op10_url_filter)}
 
 _URL_SQL = r"""
 WITH rest AS (
