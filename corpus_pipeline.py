@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripframe.llm import bpe, mixing, secrets, toxicity
+from tripframe.llm import bpe, mixing, partenum, secrets, toxicity
 from tripframe.llm import common as C
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,4 +27,48 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-STAGES: list = []
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below 0.5 (lexicon learned from
+    the labelled documents among them)."""
+    model = toxicity.fit(docs, C.table(spark, sf_dir, "labels"))
+    kept = toxicity.scored(docs.select(*COLUMNS), model, name="_score").filter("_score < 0.5")
+    return kept.select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every component of similar
+    documents. Rows that repeat an id are one document; rows without an id
+    stay."""
+    found = partenum.join(docs)
+    kept = C.stage(found.filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-kept")
+    docs = docs.select(*COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(
+        docs.filter("doc_id is null"))
+
+
+def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their secrets masked and ``n_chars`` brought in line."""
+    return (secrets.masked(docs.select(*COLUMNS))
+            .withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast("long"))
+            .select(*COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the documents to target weights of their sources: each as
+    often as the mix takes it (never, once or twice)."""
+    taken = mixing.mix(mixing.of_source(docs)).filter("passes_taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes_taken").alias("_times"))
+    return (docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+            .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids and whether they decode to its very bytes."""
+    got = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                     public_tokenizers.PATTERN, decoded=True)
+    return got.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", toxic), ("ngram_join", near_copies), ("secrets", secret),
+          ("mixing", mixed), ("bpe", encoded)]

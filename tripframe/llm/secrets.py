@@ -176,6 +176,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         run, "doc_id long, spans array<struct<kind string, start long, end long>>, masked string")
 
 
+def masked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its own columns and every secret in ``text`` masked."""
+    C.bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([mask(t, find(t)) for t in texts.to_pylist()], pa.string())
+
+    return docs.withColumn(text, clean(C.column(text).cast("string")))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from the operator's spans."""
     def joined(spans):

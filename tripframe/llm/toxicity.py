@@ -230,6 +230,23 @@ def features(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFra
     return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with its own columns and the score of each whole text."""
+    C.bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<a double, b double>")
+    def both(texts: pa.Array) -> pa.Array:
+        m = Matcher(model.lexicon, model.exceptions)
+        f = [m.features(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in f], pa.float64()),
+                                           pa.array([x for _, x in f], pa.float64())], names=["a", "b"])
+
+    c0, c1, c2 = model.coef
+    out = docs.withColumn("_tox", both(C.column(text).cast("string")))
+    z = F.lit(c0) + F.lit(c1) * F.col("_tox.a") + F.lit(c2) * F.col("_tox.b")
+    return out.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("_tox")
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``score`` in [0, 1], ``predicted``."""
     C.bound_batches(docs.sparkSession)
