@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripframe.llm import bpe, mixing, partenum, secrets, toxicity
+from tripframe.llm import bpe, mixing, partenum, secret_scan, toxicity
 from tripframe.llm import common as C
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -48,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their secrets masked and ``n_chars`` brought in line."""
-    return (secrets.masked(docs.select(*COLUMNS))
+    return (secret_scan.masked(docs.select(*COLUMNS))
             .withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast("long"))
             .select(*COLUMNS))
 

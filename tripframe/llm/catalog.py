@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripframe.llm import bpe, mixing, partenum, secrets, tokens, toxicity, urls
+from tripframe.llm import bpe, caps, mixing, partenum, secret_scan, tokens, toxicity, urls
 from tripframe.llm import common as C
 
 OVER = 512
@@ -30,6 +30,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixed)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with equal labels."""
+    return caps.link(C.table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file and decoded again."""
     return bpe.digest(bpe.encode(
@@ -49,7 +54,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
-    return secrets.digest(secrets.scan(C.table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(C.table(spark, sf_dir, "documents")))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_mix_sources, op6_bpe_roundtrip, op7_toxicity, op8_secrets,
+    op2_token_counts, op3_mix_sources, op4_embedding_dedup, op6_bpe_roundtrip, op7_toxicity, op8_secrets,
     op9_ngram_join, op10_url_filter)}
 
 _URL_SQL = r"""
