@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripframe.llm import bpe, caps, mixing, partenum, secret_scan, tokens, toxicity, urls
+from tripframe.llm import bpe, caps, mixing, partenum, passages, secret_scan, tokens, toxicity, urls
 from tripframe.llm import common as C
 
 OVER = 512
@@ -35,6 +35,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.link(C.table(spark, sf_dir, "embeddings"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that repeat earlier documents."""
+    return passages.find(C.table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file and decoded again."""
     return bpe.digest(bpe.encode(
@@ -70,7 +75,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_mix_sources, op4_embedding_dedup, op6_bpe_roundtrip, op7_toxicity, op8_secrets,
+    op2_token_counts, op3_mix_sources, op4_embedding_dedup, op5_passages, op6_bpe_roundtrip,
+    op7_toxicity, op8_secrets,
     op9_ngram_join, op10_url_filter)}
 
 _URL_SQL = r"""
