@@ -7,10 +7,11 @@
   Walsh-Hadamard transform, twice) and cut into ``BLOCKS`` blocks. Every block has a
   codebook of ``CODES`` random directions; a filter direction is one code
   per block, so ``CODES ** BLOCKS`` directions need only ``BLOCKS * CODES``
-  inner products. A vector belongs to *all* filters whose direction it
-  exceeds by ``CUT`` standard deviations; they are list-decoded block by
-  block, dropping prefixes that can't reach the cut any more. ``TABLES``
-  independent rotations raise recall.
+  inner products. A vector belongs to *all* filters whose direction it exceeds
+  by ``CUT`` times its inner product with its best direction; they are
+  list-decoded block by block, dropping prefixes that can't reach the cut any
+  more. A cut relative to the best direction gives every vector some filters,
+  and near vectors mostly the same. ``TABLES`` rotations can be used.
 * Join: vectors that share a filter (of one label and length) meet in one
   Spark partition. A filter of more than ``BLOCK`` vectors is dealt out as
   pairs of blocks, so no task gets an unbounded group.
@@ -43,7 +44,7 @@ from tripframe.llm import wordhash as W
 from tripframe.llm.components import components
 
 LEAST = 0.93
-BLOCKS, CODES, CUT, TABLES = 3, 64, 3.6, 3
+BLOCKS, CODES, CUT, TABLES = 3, 64, 0.9, 1
 BLOCK = 2048
 SEED = 7
 _SLICE = 256
@@ -77,15 +78,15 @@ def decode(unit: np.ndarray, cut: float = CUT, tables: int = TABLES, seed: int =
             c = rng.standard_normal((CODES, len(range(b, wide, BLOCKS))))
             c /= np.linalg.norm(c, axis=1)[:, None]
             score.append(x[:, b::BLOCKS] @ c.T / np.sqrt(BLOCKS))
-        least = min(cut / np.sqrt(d), 0.95)
         for lo in range(0, len(unit), _SLICE):
             s = [v[lo:lo + _SLICE] for v in score]
             best = [v.max(axis=1) for v in s]
+            least = cut * sum(best)
             n = len(s[0])
             row, val, code = np.arange(n), np.zeros(n), np.zeros(n, np.int64)
             for b in range(BLOCKS):
                 rest = sum(best[b + 1:], np.zeros(n))
-                i, k = np.nonzero(val[:, None] + s[b][row] >= (least - rest[row])[:, None])
+                i, k = np.nonzero(val[:, None] + s[b][row] >= (least - rest)[row][:, None] - 1e-12)
                 row, val, code = row[i], val[i] + s[b][row[i], k], code[i] * CODES + k
             rows.append(row + lo)
             filters.append(code + t * CODES ** BLOCKS)
@@ -160,10 +161,10 @@ def _send(lists: DataFrame, places: DataFrame, parts: int) -> DataFrame:
                 m = b.column(2).to_numpy()
                 vec = _matrix(b.column(1))
                 lists_ = b.column(3)
-                n = np.diff(lists_.offsets.to_numpy()) if len(lists_) else np.empty(0, np.int64)
+                n = np.diff(lists_.offsets.to_numpy())
                 width = int(n.max()) if len(n) else 0
                 flat = np.full((len(n), max(1, width)), -1, dtype="<i8")
-                flat[np.arange(width)[None, :] < n[:, None]] = lists_.flatten().to_numpy()
+                flat[np.arange(flat.shape[1])[None, :] < n[:, None]] = lists_.flatten().to_numpy()
                 pl = b.column(4)
                 owner = np.repeat(np.arange(len(own)), np.diff(pl.offsets.to_numpy()))
                 s = pl.flatten()
@@ -189,6 +190,8 @@ class _Tally:
         self.own, self.m, self.unit, self.lists, self.least = own, m, unit, lists, least
         self.links = np.zeros(len(own), dtype=np.int64)
         self.root = np.arange(len(own))
+        row, k = np.nonzero(lists >= 0)
+        self.has = np.sort(W.mix(lists[row, k].astype(np.uint64) ^ W.mix(row.astype(np.uint64) + np.uint64(1))))
 
     def add(self, x: np.ndarray, y: np.ndarray, f: np.ndarray) -> None:
         """Candidate pairs with the filter they met in."""
@@ -198,17 +201,28 @@ class _Tally:
             a, b, g = a[near], b[near], g[near]
             if not len(a):
                 continue
-            p, q = self.lists[a], self.lists[b]
-            low = np.full(len(a), np.iinfo(np.int64).max)
-            for k in range(p.shape[1]):              # smallest common filter
-                hit = (p[:, k] >= 0) & (q == p[:, k:k + 1]).any(axis=1)
-                low = np.where(hit, np.minimum(low, p[:, k]), low)
-            first = low == g
+            first = self._is_first(a, b, g)
             a, b = a[first], b[first]
             np.add.at(self.links, a, self.m[b])
             np.add.at(self.links, b, self.m[a])
             self._hang(a, b)
 
+    def _is_first(self, a, b, g) -> np.ndarray:
+        """Whether ``g`` is the smallest filter that the vectors share: their
+        ascending lists are searched only as far as needed."""
+        out = np.zeros(len(a), dtype=bool)
+        open_ = np.arange(len(a))
+        for k in range(self.lists.shape[1]):
+            f = self.lists[a[open_], k]
+            here = f == g[open_]
+            out[open_[here]] = True
+            key = W.mix(f.astype(np.uint64) ^ W.mix(b[open_].astype(np.uint64) + np.uint64(1)))
+            at = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
+            open_ = open_[~here & (self.has[at] != key)]
+            if not len(open_):
+                break
+        return out
+
     def _hang(self, a, b) -> None:
         while True:
             ra, rb = self.root[a], self.root[b]
@@ -250,7 +264,18 @@ def _count(sent: DataFrame, least: float) -> DataFrame:
             by = np.argsort(key, kind="stable")
             key, owner, f, blk, diag = key[by], owner[by], f[by], blk[by], diag[by]
             s, c = X.run_lengths(key)
-            for k in np.unique(c[c > 1]):
+            for at, k in zip(s[c > 64], c[c > 64]):    # crowded filters by matrix products
+                mem = owner[at:at + k]
+                for lo in range(0, k, 1024):
+                    for hi in range(lo, k, 1024):
+                        near = tally.unit[mem[lo:lo + 1024]] @ tally.unit[mem[hi:hi + 1024]].T >= least - 1e-9
+                        if lo == hi:
+                            near &= np.tri(*near.shape, -1, dtype=bool).T
+                        x, y = np.nonzero(near)
+                        x, y = x + at + lo, y + at + hi
+                        ok = (diag[x] == 1) | (blk[x] != blk[y])
+                        tally.add(owner[x[ok]], owner[y[ok]], f[x[ok]])
+            for k in np.unique(c[(c > 1) & (c <= 64)]):
                 i, j = np.triu_indices(k, 1)
                 starts = s[c == k]
                 step = max(1, (1 << 18) // len(i))
