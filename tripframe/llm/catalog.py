@@ -11,12 +11,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripframe.llm import bpe, caps, mixing, partenum, passages, secret_scan, tokens, toxicity, urls
+from tripframe.llm import bpe, caps, knn, mixing, partenum, passages, secret_scan, tokens, toxicity, urls
 from tripframe.llm import common as C
 
 OVER = 512
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best embeddings of every query row."""
+    return knn.search(C.table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(50)) == 0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary file."""
     got = tokens.count(C.table(spark, sf_dir, "documents"),
@@ -75,7 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_mix_sources, op4_embedding_dedup, op5_passages, op6_bpe_roundtrip,
+    op1_topk_search, op2_token_counts, op3_mix_sources, op4_embedding_dedup, op5_passages, op6_bpe_roundtrip,
     op7_toxicity, op8_secrets,
     op9_ngram_join, op10_url_filter)}
 
@@ -112,4 +117,22 @@ SELECT page_id, host, path, rule,
 FROM fit LEFT JOIN listed l USING (c)
 """
 
-ORACLE = {"op10_url_filter": _URL_SQL}
+_TOPK_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE = {"op1_topk_search": _TOPK_SQL, "op10_url_filter": _URL_SQL}
