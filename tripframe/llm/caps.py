@@ -65,7 +65,7 @@ def decode(unit: np.ndarray, cut: float = CUT, tables: int = TABLES, seed: int =
            ) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter number) of all filters that unit vectors exceed."""
     d = unit.shape[1]
-    wide = max(BLOCKS, 1 << (d - 1).bit_length())
+    wide = max(4, 1 << (d - 1).bit_length())      # a power of two, at least BLOCKS
     padded = np.zeros((len(unit), wide))
     padded[:, :d] = unit
     rows, filters = [], []
