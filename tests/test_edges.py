@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tripframe.functions import clock
+from conftest import SF_SMALL
+from tripframe.functions import clock, features
 from tripframe.operators import clean, encode, evaluate, outliers, splits
+from tripframe.plans import load_all
+from tripframe.sources import adapters
 
 
 def test_null_stratum_key_stays_unassigned(spark):
@@ -74,7 +77,7 @@ def test_null_target_in_metrics(spark):
     df = spark.createDataFrame([(1, 10, 12.0), (2, None, 5.0), (3, 20, 17.0)],
                                "obs_id long, TIME_GAP int, prediction double")
     m = evaluate.metrics(df).first()
-    assert m.n == 3 and abs(m.mae - 2.5) < 1e-12
+    assert m.n == 2 and abs(m.mae - 2.5) < 1e-12
 
 
 def test_tune_picks_lowest_validation_rmse(spark):
@@ -92,3 +95,53 @@ def test_tune_picks_lowest_validation_rmse(spark):
     best, scores = model.tune(pipe, grid, df.filter("x < 30"), df.filter("x >= 30"))
     assert best.stages[-1].getRegParam() == 0.0
     assert len(scores) == 2 and min(r for _, r in scores) < 1e-6
+
+
+def test_malformed_clock_is_null(spark):
+    df = spark.createDataFrame([("07:30:15",), ("ab:cd",), ("7:5",), (None,), ("07:30:x",)], "t string")
+    got = [tuple(r) for r in df.select(*clock.split_hms("t")).collect()]
+    assert got == [(7, 30, 15), (None, None, 0), (7, 5, 0), (None, None, 0), (7, 30, None)]
+
+
+def test_date_split_keeps_a_day_together(spark):
+    rows = [(i, f"2024-01-{i % 20 + 1:02d} {i % 24:02d}:00:00") for i in range(400)] + [(999, "n/a"), (998, None)]
+    got = splits.date_split(spark.createDataFrame(rows, "obs_id long, COLLECT_DATE string")).collect()
+    days = {}
+    for r in got:
+        days.setdefault(r.COLLECT_DATE[:10], set()).add(r.dataset)
+    assert len(got) == 400 and len(days) == 20 and all(len(s) == 1 for s in days.values())
+
+
+def test_outliers_are_distinct(spark):
+    rows = [(float(i % 10), "a") for i in range(100)] + [(1e6, "b")] * 3
+    df = spark.createDataFrame(rows, "v double, k string")
+    assert outliers.iqr_split(df, ["v"]).filter("iqr_set = 'outlier'").count() == 1
+    assert outliers.iqr_stats(df, ["v"]).first().outliers == 1
+
+
+def test_null_flags_are_zero(spark):
+    df = spark.createDataFrame([(None,)], "x int")
+    r = df.select(clock.weekend_flag(F.col("x")), clock.peak_flag(F.col("x")), *features.onehot("x", [1, 2])).first()
+    assert tuple(r) == (0, 0, 0.0, 0.0)
+
+
+def test_stream_reads_file_and_folder(spark, tmp_path):
+    from tripframe.streaming import live
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for i, d in enumerate((SF_SMALL, str(tmp_path))):
+        out, ck = str(tmp_path / f"out{i}"), str(tmp_path / f"ck{i}")
+        live.run_to_parquet(live.events_stream(spark, d), out, ck)
+        assert spark.read.parquet(out).count() == ev.count()
+
+
+def test_checked_branches_are_not_empty(spark):
+    """Inputs of the dedup and outlier queries have duplicates and both tails."""
+    x = adapters.line_coarse(spark, SF_SMALL)
+    assert x.distinct().count() < x.count()
+    q = {n: load_all()[0][n] for n in ("duplicates", "iqr_split", "clamp_outliers")}
+    assert q["duplicates"](spark, SF_SMALL).count() > 0
+    out = q["iqr_split"](spark, SF_SMALL).filter("iqr_set = 'outlier'")
+    assert out.filter("TIME_GAP > 1000").count() and out.filter("TIME_GAP < 100").count()
+    got = q["clamp_outliers"](spark, SF_SMALL).agg(F.max("TIME_GAP"), F.min("TIME_GAP")).first()
+    assert got[0] < 4000 and got[1] > 10

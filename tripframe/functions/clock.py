@@ -40,11 +40,13 @@ def minute_of_day(c) -> Column:
 
 
 def split_hms(c) -> tuple[Column, Column, Column]:
-    """``HH:mm:ss`` split into three integers (missing seconds -> 0)."""
+    """``HH:mm:ss`` split into three integers (missing seconds -> 0; a part
+    that is no number -> null)."""
     parts = F.split(_col(c), ":")
-    return (F.try_element_at(parts, F.lit(1)).cast("int"),
-            F.try_element_at(parts, F.lit(2)).cast("int"),
-            F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0)))
+    sec = F.try_element_at(parts, F.lit(3))
+    return (F.try_element_at(parts, F.lit(1)).try_cast("int"),
+            F.try_element_at(parts, F.lit(2)).try_cast("int"),
+            F.when(sec.isNull(), F.lit(0)).otherwise(sec.try_cast("int")))
 
 
 def clock_in_range(hh: Column, mm: Column, ss: Column) -> Column:
@@ -94,11 +96,11 @@ def tod_class(hour: Column, default: int = 2) -> Column:
 
 
 def peak_flag(hour: Column, evening_start: int = 18) -> Column:
-    """7 <= h < 10 or evening_start <= h < 20 (holding uses 17)."""
-    return (((hour >= 7) & (hour < 10)) |
-            ((hour >= evening_start) & (hour < 20))).cast("int")
+    """7 <= h < 10 or evening_start <= h < 20 (holding uses 17); null -> 0."""
+    return F.coalesce((((hour >= 7) & (hour < 10)) |
+                       ((hour >= evening_start) & (hour < 20))).cast("int"), F.lit(0))
 
 
 def weekend_flag(day_type: Column) -> Column:
-    """DAY_TYPE 1 (Sunday) or 7 (Saturday)."""
-    return day_type.isin(1, 7).cast("int")
+    """DAY_TYPE 1 (Sunday) or 7 (Saturday); null -> 0."""
+    return F.coalesce(day_type.isin(1, 7).cast("int"), F.lit(0))

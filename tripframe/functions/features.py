@@ -46,9 +46,10 @@ def distance_class(length, cuts=TRAVEL_DISTANCE_CUTS) -> Column:
 
 
 def onehot(c, values) -> list[Column]:
-    """One 0/1 double column per value, in the given order."""
+    """One 0/1 double column per value, in the given order (F11, F11b); null
+    has no category, so all of them are 0."""
     c = _col(c)
-    return [(c == F.lit(v)).cast("double") for v in values]
+    return [F.coalesce((c == F.lit(v)).cast("double"), F.lit(0.0)) for v in values]
 
 
 def distance_weight(length, variant: str = "travel") -> Column:

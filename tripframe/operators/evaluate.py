@@ -40,10 +40,11 @@ def _err(pred: str, actual: str) -> Column:
 
 def metrics(df: DataFrame, pred: str = "prediction", actual: str = "TIME_GAP",
             eps: float = 1e-8) -> DataFrame:
-    """I7/I9 global: n, MAE, MSE, RMSE, MAPE (%, +eps in the denominator)."""
+    """I7/I9 global: n (rows with prediction and actual, which the means are
+    over), MAE, MSE, RMSE, MAPE (%, +eps in the denominator)."""
     e = _err(pred, actual)
     return df.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"),
+        F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (F.avg(F.abs(e) / (F.abs(F.col(actual).cast("double")) + F.lit(eps))) * 100).alias("mape"))
 

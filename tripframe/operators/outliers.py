@@ -44,8 +44,10 @@ def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
 def iqr_split(df: DataFrame, cols: Sequence[str], k: float = 1.5,
               name: str = "iqr_set", exact: bool = True) -> DataFrame:
     """``kept`` = inside every fence (inclusive), ``outlier`` = outside any
-    fence. Bounds always come from the input table. A null value is neither
-    kept nor (by itself) an outlier, so such rows may land in no set."""
+    fence; equal outlier rows are kept once (the distinct union of the
+    outliers of all columns). Bounds always come from the input table. A null
+    value is neither kept nor (by itself) an outlier, so such rows may land in
+    no set."""
     b = iqr_bounds(df, cols, k, exact)
     x = _with_bounds(df, b)
     kept = F.lit(True)
@@ -55,8 +57,9 @@ def iqr_split(df: DataFrame, cols: Sequence[str], k: float = 1.5,
         kept = kept & F.coalesce((v >= F.col(f"lo_{c}")) & (v <= F.col(f"hi_{c}")), F.lit(False))
         out = out | F.coalesce((v < F.col(f"lo_{c}")) | (v > F.col(f"hi_{c}")), F.lit(False))
     lab = F.when(kept, F.lit("kept")).when(out, F.lit("outlier"))
-    return (x.withColumn(name, lab).filter(F.col(name).isNotNull())
-             .select(*df.columns, name))
+    x = x.withColumn(name, lab).select(*df.columns, name)
+    return (x.filter(F.col(name) == "kept")
+            .unionByName(x.filter(F.col(name) == "outlier").distinct()))
 
 
 def iqr_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:

@@ -205,13 +205,15 @@ def singleton_split(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
 def date_split(df: DataFrame, date_col: str = "COLLECT_DATE", train: float = 0.7,
                val: float = 0.15) -> DataFrame:
     """Distinct dates in order; first int(.7k) dates train, next int(.15k)
-    validation, the rest test. The date table is bounded by the calendar
-    (366 rows a year), so it is broadcast back to the rows."""
-    dates = df.select(F.col(date_col).alias("_d")).filter(F.col("_d").isNotNull()).distinct()
+    validation, the rest test. The column is cut to its first ten characters
+    and parsed first, so all times of a day land in one set; rows without a
+    date land in none. Spark broadcasts the date table only if it is small."""
+    day = clock.date_text(date_col)
+    dates = df.select(day.alias("_d")).filter(F.col("_d").isNotNull()).distinct()
     labelled = positions.assign_by_cuts(
         dates, [], F.substring("_d", 1, 4), ["_d"], _ratio_cuts(train, val),
         [TRAIN, VAL, TEST], DATASET)
-    return df.join(F.broadcast(labelled), df[date_col] == labelled["_d"], "inner").drop("_d")
+    return df.withColumn("_day", day).join(labelled, F.col("_day") == F.col("_d"), "inner").drop("_d", "_day")
 
 
 def split_report(df: DataFrame, col: str = DATASET) -> DataFrame:

@@ -8,7 +8,7 @@ from tripframe.functions import clock
 from tripframe.operators import clean
 from tripframe.plans import sqlparts as P
 from tripframe.plans.registry import query
-from tripframe.plans.sqlviews import HOLDING_OBS, LINE_OBS, RAW_EVENTS, TRAVEL_OBS, with_views
+from tripframe.plans.sqlviews import HOLDING_OBS, LINE_COARSE, RAW_EVENTS, TRAVEL_OBS, with_views
 from tripframe.sources import adapters as A
 
 # --------------------------------------------------------------------------
@@ -179,10 +179,10 @@ def q_clock_range(spark, sf_dir):
 
 
 # B9-B11 --------------------------------------------------------------------
-@query("dedup_exact", with_views(LINE_OBS) + "SELECT DISTINCT * FROM lobs")
+@query("dedup_exact", with_views(LINE_COARSE) + "SELECT DISTINCT * FROM lobs")
 def q_dedup_exact(spark, sf_dir):
     """Exact duplicates removed (line observations, no row key)."""
-    return clean.dedup_exact(A.line_obs(spark, sf_dir), key=None)
+    return clean.dedup_exact(A.line_coarse(spark, sf_dir), key=None)
 
 
 @query("dedup_first", with_views(TRAVEL_OBS) + f"""
@@ -194,11 +194,11 @@ def q_dedup_first(spark, sf_dir):
     return clean.dedup_first(A.travel_obs(spark, sf_dir), list(clean.TRAVEL_KEY))
 
 
-@query("duplicates", with_views(LINE_OBS) + """
+@query("duplicates", with_views(LINE_COARSE) + """
 SELECT *, count(*) - 1 AS copies FROM lobs GROUP BY ALL HAVING count(*) > 1""")
 def q_duplicates(spark, sf_dir):
     """Duplicated rows with their number of extra copies."""
-    return clean.duplicates(A.line_obs(spark, sf_dir), key=None)
+    return clean.duplicates(A.line_coarse(spark, sf_dir), key=None)
 
 
 @query("duplicates_keyed", with_views(TRAVEL_OBS) + f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripframe.operators import clean, outliers
 from tripframe.plans.registry import query
-from tripframe.plans.sqlviews import LINE_OBS, TRAVEL_OBS, with_views
+from tripframe.plans.sqlviews import LINE_COARSE, TRAVEL_OBS, with_views
 from tripframe.sources import adapters as A
 
 LINE_BOUNDS = """
@@ -22,20 +22,21 @@ lab AS (SELECT lobs.*, CASE
         FROM lobs, bb)"""
 
 
-@query("iqr_split", with_views(LINE_OBS, LINE_BOUNDS) + """
-SELECT * FROM lab WHERE iqr_set IS NOT NULL""")
+@query("iqr_split", with_views(LINE_COARSE, LINE_BOUNDS) + """
+SELECT * FROM lab WHERE iqr_set = 'kept'
+UNION ALL SELECT DISTINCT * FROM lab WHERE iqr_set = 'outlier'""")
 def q_iqr_split(spark, sf_dir):
-    """IQR fences per column; kept / outlier sets (null in neither)."""
-    return outliers.iqr_split(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN"])
+    """IQR fences per column; kept rows and distinct outliers (null in neither)."""
+    return outliers.iqr_split(A.line_coarse(spark, sf_dir), ["TIME_GAP", "LEN"])
 
 
-@query("iqr_stats", with_views(LINE_OBS, LINE_BOUNDS) + """
-SELECT (SELECT count(*) FROM lobs) AS total, count(*) FILTER (WHERE iqr_set = 'outlier') AS outliers,
-       count(*) FILTER (WHERE iqr_set = 'outlier') * 100.0::DOUBLE / (SELECT count(*) FROM lobs) AS pct
-FROM lab""")
+@query("iqr_stats", with_views(LINE_COARSE, LINE_BOUNDS) + """
+SELECT (SELECT count(*) FROM lobs) AS total, count(*) AS outliers,
+       count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lobs) AS pct
+FROM (SELECT DISTINCT * FROM lab WHERE iqr_set = 'outlier')""")
 def q_iqr_stats(spark, sf_dir):
     """Total rows, outlier rows and percentage."""
-    return outliers.iqr_stats(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN"])
+    return outliers.iqr_stats(A.line_coarse(spark, sf_dir), ["TIME_GAP", "LEN"])
 
 
 OBS_TG_BOUNDS = """
@@ -117,7 +118,7 @@ def q_group_sizes(spark, sf_dir):
     return outliers.group_sizes(_sigma(spark, sf_dir), ["BUSINFOUNIT_ID", "DAY_TYPE"])
 
 
-@query("clamp_outliers", with_views(LINE_OBS, """
+@query("clamp_outliers", with_views(LINE_COARSE, """
 q AS (SELECT quantile_cont(TIME_GAP, 0.25) AS q1, quantile_cont(TIME_GAP, 0.75) AS q3 FROM lobs)""") + """
 SELECT DAY_TYPE, BUSROUTE_ID, BUSINFOUNIT_ID, LEN, COLLECT_DATE,
        least(greatest(CAST(TIME_GAP AS DOUBLE), q1 - 1.5::DOUBLE * (q3 - q1)), q3 + 1.5::DOUBLE * (q3 - q1)) AS TIME_GAP,
@@ -125,4 +126,4 @@ SELECT DAY_TYPE, BUSROUTE_ID, BUSINFOUNIT_ID, LEN, COLLECT_DATE,
 FROM lobs, q""")
 def q_clamp_outliers(spark, sf_dir):
     """Values outside the fences replaced by the fence (stated only)."""
-    return outliers.clamp_outliers(A.line_obs(spark, sf_dir), ["TIME_GAP"])
+    return outliers.clamp_outliers(A.line_coarse(spark, sf_dir), ["TIME_GAP"])

@@ -73,5 +73,20 @@ lobs AS (
 )"""
 
 
+LINE_COARSE = f"""
+lobs AS (
+  SELECT CAST(month(l_shipdate) % 7 + 1 AS TINYINT) AS DAY_TYPE,
+         CAST(l_suppkey % 5 AS VARCHAR) AS BUSROUTE_ID,
+         {ZFILL9.format(c="CAST(l_partkey % 20 AS VARCHAR)")} AS BUSINFOUNIT_ID,
+         CAST(floor(l_extendedprice / 5000) * 100 + 100 AS INTEGER) AS LEN,
+         strftime(l_shipdate, '%Y-%m-01') AS COLLECT_DATE,
+         CAST(CASE WHEN l_partkey % 50 = 0 THEN 4000 + floor(l_quantity / 10) * 10
+                   WHEN l_partkey % 50 = 1 THEN floor(l_quantity / 10)
+                   ELSE 200 + floor(l_quantity / 10) * 10 END AS INTEGER) AS TIME_GAP,
+         l_returnflag AS FLAG
+  FROM lineitem
+)"""
+
+
 def with_views(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)

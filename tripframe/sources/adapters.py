@@ -3,7 +3,7 @@
 They only rename and retype columns (a projection per row, no shuffle), so
 every operator downstream reads real rows whose volume grows with the
 tables. The same mappings are written in DuckDB SQL in
-``tripframe.plans.oracle`` for the correctness gate.
+``tripframe.plans.sqlviews`` for the correctness gate.
 """
 
 from __future__ import annotations
@@ -15,37 +15,10 @@ from tripframe.functions import clock
 from tripframe.functions.text import zfill
 
 
-_READS: dict[str, tuple[SparkSession, DataFrame]] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table ``name`` (read once per session and path: the file
-    listing, footers and the partition decision are reused; the frame is
-    immutable, so callers cannot disturb each other)."""
-    path = f"{sf_dir}/{name}.parquet"
-    hit = _READS.get(path)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = spread(spark.read.parquet(path))
-    _READS[path] = (spark, df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one task per core.
-
-    A large input already splits into many tasks and is returned as is; a
-    scan that yields fewer partitions than the session's parallelism (a
-    small file written as one row group) would run every per-row
-    expression in a handful of tasks, so it is hash-spread on a seeded
-    ``rand``: the same input split gives the same values on a recomputed
-    task, and unlike round-robin no per-task sort is needed. The extra
-    shuffle is bounded by that small input (filters are not pushed below it,
-    which only matters for large inputs, and those are never spread)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, F.rand(42))
-    return df
+    """The driver table ``name``: a plain scan, so filters and column lists of
+    a query reach it at every size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _k(props: Column) -> Column:
@@ -124,7 +97,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scale-run observations from ``lineitem`` (no row key: it has true duplicates).
+    """Scale-run observations from ``lineitem`` (no row key).
 
     route = supplier, segment = part, date = ship date, TIME_GAP = quantity,
     LEN = extended price / 50. Every ship date is at midnight.
@@ -141,6 +114,23 @@ def line_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as observations of few routes, segments and months, so that
+    equal rows and values beyond both fences occur (no row key)."""
+    li = table(spark, sf_dir, "lineitem")
+    tens = (F.floor(F.col("l_quantity") / 10) * 10).cast("int")
+    return li.select(
+        (F.month("l_shipdate") % 7 + 1).cast("tinyint").alias("DAY_TYPE"),
+        (F.col("l_suppkey") % 5).cast("string").alias("BUSROUTE_ID"),
+        zfill((F.col("l_partkey") % 20).cast("string"), 9).alias("BUSINFOUNIT_ID"),
+        (F.floor(F.col("l_extendedprice") / 5000) * 100 + 100).cast("int").alias("LEN"),
+        F.date_format("l_shipdate", "yyyy-MM-01").alias("COLLECT_DATE"),
+        F.when(F.col("l_partkey") % 50 == 0, 4000 + tens).when(F.col("l_partkey") % 50 == 1, tens / 10)
+         .otherwise(200 + tens).cast("int").alias("TIME_GAP"),
+        F.col("l_returnflag").alias("FLAG"),
+    )
+
+
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 ``comparison``: actual event times and absolute errors of a model
     and of an incumbent predictor, derived from ``travel_obs``.

@@ -18,10 +18,11 @@ from tripframe.sources import adapters as A
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The ``events`` parquet folder as a stream (schema from the table)."""
+    """The ``events`` table as a stream (schema from the table). The path is a
+    pattern, which lists a single file as well as a folder of files."""
     schema = A.table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def clean_stream(obs: DataFrame) -> DataFrame:
