@@ -1,12 +1,11 @@
 """Invariants: split sizes and determinism, exact positions, chunked
 sequences, audit reconciliation, densify coverage."""
 
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE, SF_SMALL
-from tripframe.functions.hashing import hash_prefix_bucket, seeded_hash
+from tripframe.functions.hashing import seeded_hash
 from tripframe.operators import clean, densify, outliers, positions, sequence, splits
 from tripframe.sources import adapters as A
 
@@ -14,7 +13,7 @@ from tripframe.sources import adapters as A
 def test_position_equals_global_row_number(spark):
     ev = A.table(spark, SF_ORACLE, "events").select("event_id", "value")
     h = ev.withColumn("_h", seeded_hash("event_id"))
-    ours = positions.position(h, [], hash_prefix_bucket(F.col("_h"), 2), ["_h", "event_id"])
+    ours = positions.position(h, [], ["_h", "event_id"])
     ref = h.withColumn("_ref", F.row_number().over(Window.orderBy("_h", "event_id")) - 1)
     j = ours.join(ref.select("event_id", "_ref"), "event_id")
     assert j.filter(F.col("_pos") != F.col("_ref")).count() == 0
@@ -43,9 +42,8 @@ def test_stratified_fallback_fills_validation(spark):
 
 def test_chunked_sequences_match_plain_window(spark):
     obs = A.travel_obs(spark, SF_ORACLE).select("obs_id", "BUSROUTE_ID", "DEP_TIME", "TIME_GAP")
-    # hot_rows=1990: two routes (1981, 1982 rows) take the plain path, three the chunked one
     ours = sequence.sliding_sequences(obs, ["BUSROUTE_ID"], ["DEP_TIME"], ["TIME_GAP"],
-                                      length=5, chunk=37, hot_rows=1990)
+                                      length=5, chunk=37)
     w = (Window.partitionBy("BUSROUTE_ID").orderBy("DEP_TIME", "obs_id").rowsBetween(-5, -1))
     ref = (obs.withColumn("ref", F.collect_list("TIME_GAP").over(w))
               .filter(F.size("ref") == 5).select("obs_id", "ref"))
@@ -87,12 +85,12 @@ def test_banded_sample_bounded(spark):
 
 
 def test_sequences_hot_segment_small_blocks(spark):
-    """One segment holds every row; tiny chunks and key blocks force many
-    buckets and chunk borders, and the result still equals a plain window."""
+    """One segment holds every row; tiny chunks force many chunk borders, and
+    the result still equals a plain window."""
     obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "DEP_TIME", "TIME_GAP") \
         .withColumn("seg", F.lit("hot"))
     ours = sequence.sliding_sequences(obs, ["seg"], ["DEP_TIME"], ["TIME_GAP"], length=5,
-                                      chunk=11, key_block=3, hot_rows=0)
+                                      chunk=11)
     w = Window.partitionBy("seg").orderBy("DEP_TIME", "obs_id").rowsBetween(-5, -1)
     ref = (obs.withColumn("ref", F.collect_list("TIME_GAP").over(w))
               .filter(F.size("ref") == 5).select("obs_id", "ref"))
@@ -117,19 +115,28 @@ def test_group_sigma_hot_group(spark):
     assert sorted(r.obs_id for r in ours.collect()) == sorted(r.obs_id for r in ref.collect())
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10 ** 9])
-def test_kfold_and_split_paths_agree(spark, monkeypatch, hot_rows):
-    """k-fold and stratified labels are identical whether strata take the
-    bucketed (hot) path or the per-stratum window path."""
-    from tripframe.operators import positions
+def test_kfold_and_splits_equal_plain_windows(spark):
+    """k-fold and stratified labels are those of a plain window per stratum."""
     obs = A.travel_obs(spark, SF_SMALL).select("obs_id", "BUSROUTE_ID", "DAY_TYPE")
-    monkeypatch.setattr(positions, "HOT_ROWS", 10 ** 9)
-    ref_f = {r.obs_id: r.fold for r in splits.kfold(obs, ["BUSROUTE_ID"]).collect()}
-    ref_s = {r.obs_id: r.dataset for r in splits.stratified_split(obs, ["BUSROUTE_ID", "DAY_TYPE"]).collect()}
-    monkeypatch.setattr(positions, "HOT_ROWS", hot_rows)
-    got_f = {r.obs_id: r.fold for r in splits.kfold(obs, ["BUSROUTE_ID"]).collect()}
-    got_s = {r.obs_id: r.dataset for r in splits.stratified_split(obs, ["BUSROUTE_ID", "DAY_TYPE"]).collect()}
-    assert got_f == ref_f and got_s == ref_s
+    w = Window.partitionBy("BUSROUTE_ID").orderBy("_h", "obs_id")
+    ref = obs.withColumn("_h", seeded_hash("obs_id", 42)).withColumn("f", (F.row_number().over(w) - 1) % 5)
+    got = {r.obs_id: r.fold for r in splits.kfold(obs, ["BUSROUTE_ID"]).collect()}
+    assert got == {r.obs_id: r.f for r in ref.collect()}
+    s = splits.stratified_split(obs, ["BUSROUTE_ID", "DAY_TYPE"])
+    sizes = {(r[0], r[1]): r[2] for r in obs.groupBy("BUSROUTE_ID", "DAY_TYPE").count().collect()}
+    for r in s.filter("dataset = 'train'").groupBy("BUSROUTE_ID", "DAY_TYPE").count().collect():
+        assert r[2] == int(0.7 * sizes[r[0], r[1]])
+
+
+def test_positions_spread_a_group_of_all_rows(spark):
+    """One group of all rows, hashed ids and one order value: ranges stay even
+    and no window partition holds more than its range."""
+    from tripframe.operators import positions
+    df = spark.range(8000).selectExpr("xxhash64(id) as id", "1 as g", "7 as o")
+    pos = positions.position(df, ["g"], ["o", "id"], parts=16)
+    assert sorted(r._pos for r in pos.select("_pos").collect()) == list(range(8000))
+    ranged = df.repartitionByRange(16, "g", "o", "id").groupBy(F.spark_partition_id().alias("p")).count()
+    assert ranged.agg(F.max("count")).first()[0] < 8000 / 16 * 2
 
 
 def test_largest_remainder_allocation(spark):

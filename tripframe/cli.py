@@ -52,7 +52,7 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     df = (df.withColumn("_f", F.col("_metadata.file_name"))
             .withColumn("_b", F.col("_metadata.file_block_start"))
             .withColumn("_m", F.monotonically_increasing_id()))
-    df = positions.position(df, [], F.struct("_f", "_b"), ["_f", "_b", "_m"], name="obs_id")
+    df = positions.position(df, [], ["_f", "_b", "_m"], name="obs_id")
     return clean.tighten_types(df.select(F.col("obs_id").cast("long"), *cols),
                                [c for c in ("TIME_GAP",) if c in cols],
                                [c for c in ("SPEED",) if c in cols])

@@ -92,19 +92,12 @@ def minmax_by_group(df: DataFrame, cols: Sequence[str], keys: Sequence[str],
 def label_vocabulary(df: DataFrame, col: str, parts: int | None = None) -> DataFrame:
     """F16: sorted distinct (string) values -> codes 0..n-1.
 
-    The distinct values are range-partitioned and checkpointed to the shared
-    checkpoint folder, which pins each value's range bucket; codes are then
-    bucket offset + row number inside the bucket, so no task ever holds
-    the whole vocabulary."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Codes are exact positions in value order (``positions``), so no task ever
+    holds the whole vocabulary."""
     vals = (df.select(F.col(col).cast("string").alias("value"))
               .filter(F.col("value").isNotNull()).distinct())
-    ranged = (vals.repartitionByRange(parts, "value")
-                  .withColumn("_bkt", F.spark_partition_id())
-                  .checkpoint())
-    return positions.position(ranged, [], F.col("_bkt"), ["value"], name="_code") \
-        .select("value", F.col("_code").cast("int").alias("code"))
+    return (positions.position(vals, [], ["value"], name="_code", parts=parts)
+            .select("value", F.col("_code").cast("int").alias("code")))
 
 
 def encode_known(df: DataFrame, vocab: DataFrame, col: str, out: str = "code") -> DataFrame:

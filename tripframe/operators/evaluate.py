@@ -1,7 +1,7 @@
 """Evaluation and comparison reports.
 
 Everything is an aggregate over scored rows. Batch-averaged metrics use
-exact row positions from ``positions.position`` (bucketed offsets), never
+exact row positions from ``positions.position``, never
 a one-partition window; bin grids come from ``sequence`` on a one-row
 aggregate.
 """
@@ -50,13 +50,12 @@ def metrics(df: DataFrame, pred: str = "prediction", actual: str = "TIME_GAP",
 
 
 def metrics_batched(df: DataFrame, pred: str = "prediction", actual: str = "TIME_GAP",
-                    order: str = "obs_id", batch: int = 32, bucket_width: int = 65536,
+                    order: str = "obs_id", batch: int = 32,
                     eps: float = 1e-8) -> DataFrame:
     """I7 batch mode: rows in ``order`` cut into batches of ``batch``; MAE,
     RMSE and MAPE are the unweighted means of the per-batch values (the
     source's loader averaging). Positions are exact and distributed."""
-    bkt = F.floor(F.col(order) / bucket_width)
-    pos = positions.position(df, [], bkt, [order], name="_pos")
+    pos = positions.position(df, [], [order], name="_pos")
     e = _err(pred, actual)
     per = (pos.withColumn("_batch", F.floor(F.col("_pos") / batch))
               .groupBy("_batch")

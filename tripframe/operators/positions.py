@@ -1,24 +1,19 @@
-"""Exact positions in an order without one-partition windows (helper H0).
+"""Exact positions in an order without one-task windows (helper H0).
 
 A global ``row_number() over (order by ...)`` runs in a single task, and a
-per-group one puts a hot group (a third of all rows) in one task. Instead:
-
-1. every row gets a *bucket*: a coarse key that is monotone in the order
-   (leading hex digits of an md5 order key, a minute of day, an id range);
-2. one partially-aggregated ``groupBy(group, bucket).count()`` gives bucket
-   sizes; running sums over that small table (one partition per group,
-   at most ``16**hex_digits`` rows each) give each bucket's offset;
-3. the offsets are joined back (AQE broadcasts them when small); the
-   exact position is ``offset + row_number()`` inside one (group, bucket).
-
-When only cut points matter (splits, top-k per group), rows of buckets that
-lie wholly on one side of every cut are labelled from the offset alone and
-only the few straddling buckets run a window at all.
-
-With ``hot_rows`` (``HOT_ROWS`` by default in the split operators), groups
-are first sized by a partial aggregate: ordinary groups are ranked by one
-window per group, which is the cheapest plan for many small groups, and
-only hot groups take the bucketed path above.
+per-group one puts a hot group (a third of all rows) in one task. One plan
+serves groups of every size instead:
+
+1. rows are range-partitioned on (group, order); the order ends in the row
+   key, so ties and hot groups are cut wherever the ranges fall;
+2. the ranged rows are written once (shared checkpoint folder) with their
+   range number, which pins the ranges for the steps below;
+3. one partially aggregated ``groupBy(group, range).count()`` gives sizes, and
+   a running sum over that table (for a group, at most one row per range)
+   the offset of each (group, range);
+4. the position is ``offset + row_number()`` inside one (group, range).
+
+The input is read twice: once to find the range borders, once to write.
 """
 
 from __future__ import annotations
@@ -28,23 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OFF, BN, GN = "_off", "_bn", "_gn"
-
-# Groups above this many rows are "hot": they take the bucketed path. Smaller
-# groups are ranked by one window per group (one shuffle, bounded tasks).
-HOT_ROWS = 1_000_000
-
-
-def split_hot(df: DataFrame, group_cols: Sequence[str], hot_rows: int
-              ) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of hot groups). Group sizes are a
-    partial aggregate; the hot-key list has at most n / hot_rows entries,
-    which bounds its broadcast."""
-    group_cols = list(group_cols)
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gsz"))
-    hot = F.broadcast(sizes.filter(F.col("_gsz") > hot_rows).select(*group_cols))
-    return (nullsafe_join(df, hot, group_cols, "left_anti"),
-            nullsafe_join(df, hot, group_cols, "left_semi"))
+OFF, GN, RANGE = "_off", "_gn", "_range"
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None = None
@@ -74,46 +53,26 @@ def nullsafe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def with_offsets(df: DataFrame, group_cols: Sequence[str], bucket: str) -> DataFrame:
-    """Attach ``_off`` (rows of the group in earlier buckets), ``_bn`` (rows in
-    this bucket) and ``_gn`` (rows in the group) to every row."""
-    group_cols = list(group_cols)
-    counts = df.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias(BN))
-    w = Window.partitionBy(*group_cols).orderBy(bucket)
-    counts = (counts
-              .withColumn(OFF, F.coalesce(F.sum(BN).over(
-                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn(GN, F.sum(BN).over(Window.partitionBy(*group_cols))))
-    return nullsafe_join(df, counts, group_cols + [bucket])
-
-
-def exact_position(df_off: DataFrame, group_cols: Sequence[str], bucket: str,
-                   order_cols: Sequence[str], name: str = "_pos") -> DataFrame:
-    """0-based position in (group, order) for rows carrying offsets."""
-    w = Window.partitionBy(*group_cols, bucket).orderBy(*order_cols)
-    return df_off.withColumn(name, F.col(OFF) + F.row_number().over(w) - 1)
-
-
-def position(df: DataFrame, group_cols: Sequence[str], bucket: Column,
-             order_cols: Sequence[str], name: str = "_pos",
-             keep_counts: bool = False, hot_rows: int | None = None) -> DataFrame:
-    """Exact 0-based position of every row in ``order_cols`` within its group.
-
-    With ``hot_rows``, ordinary groups are ranked by one window per group
-    and only hot groups take the bucketed path."""
-    if group_cols and hot_rows is not None:
-        normal, hot = split_hot(df, group_cols, hot_rows)
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        plain = normal.withColumn(name, F.row_number().over(w) - 1)
-        if keep_counts:
-            plain = plain.withColumn(GN, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
-        rest = position(hot, group_cols, bucket, order_cols, name, keep_counts, None)
-        return plain.unionByName(rest.select(*plain.columns))
-    b = "_bkt"
-    out = exact_position(with_offsets(df.withColumn(b, bucket), group_cols, b),
-                         group_cols, b, order_cols, name)
-    drop = [b, OFF, BN] + ([] if keep_counts else [GN])
-    return out.drop(*drop)
+def position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+             name: str = "_pos", keep_counts: bool = False, parts: int | None = None) -> DataFrame:
+    """Exact 0-based position of every row in ``order_cols`` within its group
+    (null keys form groups of their own). ``order_cols`` must end in a key
+    that tells the group's rows apart. ``keep_counts`` adds the group size."""
+    from tripframe.sources.files import stage_table
+
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage_table(df.repartitionByRange(parts, *group_cols, *order_cols)
+                         .withColumn(RANGE, F.spark_partition_id()), "positions")
+    counts = ranged.groupBy(*group_cols, RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group_cols)
+    counts = counts.select(
+        *group_cols, RANGE, F.sum("_n").over(w).alias(GN),
+        (F.sum("_n").over(w.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias(OFF))
+    inside = Window.partitionBy(*group_cols, RANGE).orderBy(*order_cols)
+    out = nullsafe_join(ranged, counts, [*group_cols, RANGE]).withColumn(
+        name, F.col(OFF) + F.row_number().over(inside) - 1)
+    return out.drop(RANGE, OFF, *([] if keep_counts else [GN]))
 
 
 def label_at(pos: Column, cuts: Sequence[Column], labels: Sequence) -> Column:
@@ -124,40 +83,9 @@ def label_at(pos: Column, cuts: Sequence[Column], labels: Sequence) -> Column:
     return expr
 
 
-def assign_by_cuts(df: DataFrame, group_cols: Sequence[str], bucket: Column,
-                   order_cols: Sequence[str], cuts_of_n, labels: Sequence,
-                   name: str, hot_rows: int | None = None) -> DataFrame:
+def assign_by_cuts(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                   cuts_of_n, labels: Sequence, name: str) -> DataFrame:
     """Label rows by position against cut points that depend on group size.
-
-    ``cuts_of_n(gn)`` returns nondecreasing Columns. Rows in buckets lying
-    wholly between two cuts take the label of their bucket offset; only
-    rows in buckets that straddle a cut are ranked by a window. With
-    ``hot_rows``, ordinary groups are instead ranked by one window per group
-    (cheaper when there are many small groups) and only hot groups take the
-    bucketed path.
-    """
-    group_cols = list(group_cols)
-    if group_cols and hot_rows is not None:
-        normal, hot = split_hot(df, group_cols, hot_rows)
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        x = (normal.withColumn("_pos", F.row_number().over(w) - 1)
-                   .withColumn(GN, F.count(F.lit(1)).over(Window.partitionBy(*group_cols))))
-        plain = x.withColumn(name, label_at(F.col("_pos"), cuts_of_n(F.col(GN)), labels))
-        cols = df.columns + [name]
-        rest = assign_by_cuts(hot, group_cols, bucket, order_cols, cuts_of_n, labels, name)
-        return plain.select(*cols).unionByName(rest.select(*cols))
-    b = "_bkt"
-    off = with_offsets(df.withColumn(b, bucket), group_cols, b)
-    cuts = cuts_of_n(F.col(GN))
-    end = F.col(OFF) + F.col(BN)
-    straddle = F.lit(False)
-    for c in cuts:
-        straddle = straddle | ((F.col(OFF) < c) & (c < end))
-    off = off.withColumn("_straddle", straddle)
-    sure = (off.filter(~F.col("_straddle"))
-               .withColumn(name, label_at(F.col(OFF), cuts, labels)))
-    edge = exact_position(off.filter(F.col("_straddle")), group_cols, b,
-                          order_cols, "_pos")
-    edge = edge.withColumn(name, label_at(F.col("_pos"), cuts, labels)).drop("_pos")
-    cols = df.columns + [name]
-    return sure.select(*cols).unionByName(edge.select(*cols))
+    ``cuts_of_n(gn)`` returns nondecreasing Columns."""
+    x = position(df, group_cols, order_cols, "_pos", keep_counts=True)
+    return x.withColumn(name, label_at(F.col("_pos"), cuts_of_n(F.col(GN)), labels)).select(*df.columns, name)

@@ -2,12 +2,10 @@
 
 A row's input is the ``length`` rows before it in its group (by departure
 time, then row key); groups with at most ``length`` rows give nothing.
-Ordinary groups use one window per group. A hot group (more than
-``hot_rows`` rows) would be sorted in one task by such a window, so its
-order is cut into chunks of ``chunk`` positions (exact positions from
-``positions.position``); the last ``length`` rows of each chunk are copied
-into the next chunk as context, and the sliding window runs per (group,
-chunk). Work per task is bounded by ``chunk + length`` rows.
+The order of a group of any size is cut into chunks of ``chunk`` positions
+(exact positions from ``positions.position``); the last ``length`` rows of each
+chunk are copied into the next chunk as context, and the sliding window runs
+per (group, chunk). Work per task is bounded by ``chunk + length`` rows.
 """
 
 from __future__ import annotations
@@ -22,35 +20,14 @@ from tripframe.operators import positions
 
 def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       step_cols: Sequence[str], length: int = 5, key: str = "obs_id",
-                      chunk: int = 4096, bucket: Column | None = None,
-                      key_block: int = 1 << 20, hot_rows: int | None = None) -> DataFrame:
+                      chunk: int = 4096) -> DataFrame:
     """One row per target row that has ``length`` predecessors, with
-    ``seq`` = array of structs(step_cols), oldest first, and its ``obs_id``.
-
-    Groups of at most ``hot_rows`` rows (default ``positions.HOT_ROWS``) use
-    one window per group (one
-    shuffle). Larger ("hot") groups, found by a partial aggregate of group
-    sizes, take the chunked path so no task holds a whole hot group; their
-    key list has at most n / ``hot_rows`` entries, which bounds its
-    broadcast. ``bucket`` must be monotone in (order, key); the default is
-    the order columns plus a block of ``key_block`` row keys, so rows tied
-    on the departure minute of a hot segment are still ranked in bounded
-    partitions.
-    """
+    ``seq`` = array of structs(step_cols), oldest first, and its ``obs_id``."""
     keys, order = list(keys), list(order)
     if chunk <= length:
         raise ValueError("chunk must exceed the sequence length")
-    hot_rows = positions.HOT_ROWS if hot_rows is None else hot_rows
-    normal, hot_rows_df = positions.split_hot(df, keys, hot_rows)
     steps = F.struct(*[F.col(c) for c in step_cols])
-
-    w = Window.partitionBy(*keys).orderBy(*order, key).rowsBetween(-length, -1)
-    plain = (normal.withColumn("seq", F.collect_list(steps).over(w))
-                   .filter(F.size("seq") == length))
-
-    b = bucket if bucket is not None else F.struct(
-        *[F.col(c) for c in order], F.floor(F.col(key) / F.lit(key_block)).alias("_blk"))
-    pos = positions.position(hot_rows_df, keys, b, order + [key], name="_pos")
+    pos = positions.position(df, keys, order + [key], name="_pos")
     ch = F.floor(F.col("_pos") / chunk)
     tail = (F.col("_pos") % chunk) >= (chunk - length)
     copies = F.when(tail, F.array(F.struct(ch.alias("_chunk"), F.lit(False).alias("_ctx")),
@@ -59,10 +36,9 @@ def sliding_sequences(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     x = pos.withColumn("_c", F.explode(copies)).select("*", "_c._chunk", "_c._ctx").drop("_c")
     wc = (Window.partitionBy(*keys, "_chunk").orderBy("_pos")
                 .rowsBetween(-length, -1))
-    chunked = (x.withColumn("seq", F.collect_list(steps).over(wc))
-                .filter(~F.col("_ctx") & (F.size("seq") == length))
-                .drop("_pos", "_chunk", "_ctx"))
-    return plain.unionByName(chunked.select(*plain.columns))
+    return (x.withColumn("seq", F.collect_list(steps).over(wc))
+             .filter(~F.col("_ctx") & (F.size("seq") == length))
+             .drop("_pos", "_chunk", "_ctx"))
 
 
 def backfill(rows: DataFrame, scored: DataFrame, est_col: str = "TIME_GAP_ESTIMATE",

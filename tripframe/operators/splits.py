@@ -3,10 +3,8 @@
 "Shuffle with seed 42" is a seeded md5 order of the row key: deterministic
 under recomputation and repartitioning (a lost executor recomputes the
 same split), and reproducible in SQL. Positions in that order come from
-``positions.assign_by_cuts``: bucket counts plus offsets, with a window
-only over the few buckets that straddle a cut, so neither a global split
-nor a hot stratum is sorted in one task; ordinary strata (up to
-``positions.HOT_ROWS`` rows) are ranked by one window per stratum.
+``positions``: one range-partitioned plan for strata of every size, so neither
+a global split nor a hot stratum is sorted in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripframe.functions import clock
-from tripframe.functions.hashing import hash_prefix_bucket, seeded_hash
+from tripframe.functions.hashing import seeded_hash
 from tripframe.operators import positions
 from tripframe.operators.positions import nullsafe_join
 
@@ -41,12 +39,9 @@ def _ratio_cuts(train: float, val: float):
 
 
 def _assign(df: DataFrame, groups: Sequence[str], key: str, seed: int, cuts_of_n,
-            labels: Sequence, name: str = DATASET, hex_digits: int = 4) -> DataFrame:
+            labels: Sequence, name: str = DATASET) -> DataFrame:
     h = _hashed(df, key, seed)
-    out = positions.assign_by_cuts(h, groups, hash_prefix_bucket(F.col("_h"), hex_digits),
-                                   ["_h", key], cuts_of_n, labels, name,
-                                   hot_rows=positions.HOT_ROWS)
-    return out.drop("_h")
+    return positions.assign_by_cuts(h, groups, ["_h", key], cuts_of_n, labels, name).drop("_h")
 
 
 def random_split(df: DataFrame, key: str = "obs_id", seed: int = 42,
@@ -148,8 +143,8 @@ def _largest_remainder(counts: DataFrame, keys: Sequence[str], test: float, seed
     stratified split that holds out ceil(test * N) rows in total:
     floor(c / N * n_train) plus one for the keys with the largest
     remainders (ties in seeded key order; the source draws them at random).
-    The class table is ranked with ``positions`` (bucketed by remainder),
-    never in one task."""
+    The class table is ranked with ``positions``, by remainder and then by a
+    hash of the key, never in one task."""
     keys = list(keys)
     counts = positions.attach_scalars(counts, counts.agg(F.sum("_c").alias("_N")))
     n_train = F.col("_N") - F.ceil(F.lit(float(test)) * F.col("_N"))
@@ -157,10 +152,10 @@ def _largest_remainder(counts: DataFrame, keys: Sequence[str], test: float, seed
     counts = (counts.withColumn("_fl", F.floor(cont)).withColumn("_rem", cont - F.floor(cont))
                     .withColumn("_ntr", n_train))
     need = counts.agg((F.max("_ntr") - F.sum("_fl")).alias("_need"))
-    kh = seeded_hash(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), seed)
+    kh = seeded_hash(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), seed)
     ranked = positions.position(
         counts.withColumn("_kh", kh).withColumn("_ord", F.lit(1.0) - F.col("_rem")), [],
-        F.floor(F.col("_ord") * F.lit(65536.0)), ["_ord", "_kh"], name="_rank")
+        ["_ord", "_kh", *keys], name="_rank")
     ranked = positions.attach_scalars(ranked, need)
     return ranked.select(*keys, (F.col("_fl") + F.when(F.col("_rank") < F.col("_need"), 1)
                                  .otherwise(0)).cast("long").alias("_ni"))
@@ -211,7 +206,7 @@ def date_split(df: DataFrame, date_col: str = "COLLECT_DATE", train: float = 0.7
     day = clock.date_text(date_col)
     dates = df.select(day.alias("_d")).filter(F.col("_d").isNotNull()).distinct()
     labelled = positions.assign_by_cuts(
-        dates, [], F.substring("_d", 1, 4), ["_d"], _ratio_cuts(train, val),
+        dates, [], ["_d"], _ratio_cuts(train, val),
         [TRAIN, VAL, TEST], DATASET)
     return df.withColumn("_day", day).join(labelled, F.col("_day") == F.col("_d"), "inner").drop("_d", "_day")
 
@@ -242,6 +237,5 @@ def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, key: str = "obs_id",
           seed: int = 42) -> DataFrame:
     """Stratified fold = position in the seeded order within the stratum mod k."""
     h = _hashed(df, key, seed)
-    pos = positions.position(h, keys, hash_prefix_bucket(F.col("_h"), 4), ["_h", key],
-                             hot_rows=positions.HOT_ROWS)
+    pos = positions.position(h, keys, ["_h", key])
     return pos.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_pos", "_h")
