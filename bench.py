@@ -25,12 +25,14 @@ HEADLINE = [
     "group_sigma_filter",
     "split_random",
     "split_stratified",
+    "split_singleton",
     "split_dates",
     "sizes_by_keys",
     "describe_num",
     "feature_matrix",
     "label_encode",
     "sequences",
+    "sequence_weight",
     "fill_minutes_travel",
     "prediction_report",
     "metrics_batch",
