@@ -251,64 +251,70 @@ def _pruned(shared: DataFrame) -> DataFrame:
 PAIRS = "a long, b long"
 
 
-def _spread(cand: DataFrame, parts: int, extra: bool) -> DataFrame:
-    """Signatures of candidate sets, by signature. With ``extra``, component
-    and bitmap of the set travel once per target."""
+#: Said once per set on its way to a signature: set hash, earliest id, size.
+_MEMBER = ("<u8", "<i8", "<u4")
+#: Said once per set and run owner: the run's earliest set, the set, their sizes.
+_UNDER = ("<u8", "<u8", "<u4", "<u4")
+
+
+def _by_signature(cand: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             sigs = [np.frombuffer(x, "<u8") for x in b.column(4).to_pylist()]
             owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
             key = np.concatenate(sigs) if sigs else np.empty(0, "<u8")
-            part = X.part_of(W.mix(key), parts)
-            by = np.lexsort((owner, part))
-            part, owner, key = part[by], owner[by], key[by]
-            cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]) if len(part) else []
-            o = owner[cut] if len(part) else owner
-            out = [pa.array(part[cut] if len(part) else part, pa.int32())]
-            out += [pa.array(c[o]) for c in cols]
-            out.append(pa.array([key[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(key)])], pa.binary()))
-            names = ["part", "own", "n", "rep", "g", "payload"]
-            if extra:
-                out += [b.column(5).take(pa.array(o)), b.column(6).take(pa.array(o))]
-                names += ["comp", "bits"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    schema = "part int, own long, n int, rep long, g int, payload binary" + ", comp long, bits binary" * extra
-    return cand.mapInArrow(run, schema).repartitionById(parts, F.col("part"))
-
-
-def _members(batches: Iterator[pa.RecordBatch], more: int = 0):
-    """Of one partition: signature runs over member rows, and their columns."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    t = pa.Table.from_batches(got)
-    cols = [t.column(i).to_numpy() for i in (1, 2, 3, 4)]
-    sigs = [np.frombuffer(x, "<u8") for x in t.column(5).to_pylist()]
-    owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-    key = np.concatenate(sigs)
-    by = np.lexsort((cols[0][owner], cols[2][owner], key))     # the earliest set first
-    key, owner = key[by], owner[by]
-    s, c = X.run_lengths(key)
-    return cols, owner, s[c > 1], c[c > 1], [t.column(6 + i) for i in range(more)]
-
-
-def _stars(cand: DataFrame, parts: int, scheme: Scheme) -> DataFrame:
-    """Pairs of each run's earliest set and its other sets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _members(batches)
-        if m is None:
-            return
-        (own, n, _, _), owner, s, c, _ = m
-        first = np.repeat(owner[s], c - 1)
-        rest = np.repeat(s + 1, c - 1) + np.arange(int((c - 1).sum())) - np.repeat(np.cumsum(c - 1) - (c - 1), c - 1)
-        rest = owner[rest]
-        fit = scheme.sizes_fit(n[first].astype(np.int64), n[rest].astype(np.int64)) & (own[first] != own[rest])
-        e = np.unique(np.stack([own[first[fit]], own[rest[fit]]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+            table = [b.column(0).to_numpy().view("<u8"), b.column(2).to_numpy(),
+                     b.column(1).to_numpy().astype("<u4")]
+            got = list(X.scatter(X.part_of(W.mix(key), parts), key, owner, table))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()),
+                                              pa.array([x for _, x in got], pa.binary())], names=["part", "payload"])
+
+    return cand.mapInArrow(run, "part int, payload binary").repartitionById(parts, F.col("part"))
+
+
+def _runs(cand: DataFrame, parts: int, scheme: Scheme) -> DataFrame:
+    """Sets that share signatures, gathered under the earliest set of each run:
+    ``center, own, n, fit`` (may its size be linked with the center's), ``sigs``.
+    A set stands under few centers, though it may have many signatures."""
+    def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads = [x for b in batches for x in b.column(1).to_pylist()]
+        key, owner, (own, rep, n), _ = X.gather(payloads, _MEMBER)
+        by = np.argsort(key, kind="stable")
+        key, owner = key[by], owner[by]
+        s, c = X.run_lengths(key)
+        several = np.repeat(c > 1, c)
+        key, owner = key[several], owner[several]
+        by = np.lexsort((own[owner], rep[owner], key))
+        key, owner = key[by], owner[by]
+        s, c = X.run_lengths(key)
+        head = owner[np.repeat(s, c)]
+        pair = W.mix(own[head] ^ W.mix(own[owner] + _G2))
+        _, first, inv = np.unique(pair, return_index=True, return_inverse=True)
+        table = [own[head][first], own[owner][first], n[head][first], n[owner][first]]
+        got = list(X.scatter(X.part_of(W.mix(own[head]), parts), key, inv, table))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()),
+                                          pa.array([x for _, x in got], pa.binary())], names=["part", "payload"])
+
+    def under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads = [x for b in batches for x in b.column(1).to_pylist()]
+        key, owner, (center, own, m, n), _ = X.gather(payloads, _UNDER)
+        by = np.lexsort((key, own[owner], center[owner]))
+        key, owner = key[by], owner[by]
+        pair = W.mix(center[owner] ^ W.mix(own[owner] + _G2))
+        s, c = X.run_lengths(pair)
+        o = owner[s]
+        fit = scheme.sizes_fit(m[o].astype(np.int64), n[o].astype(np.int64))
+        for lo in range(0, len(s), 4000):
+            q = slice(lo, lo + 4000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(center[o[q]].view(np.int64)), pa.array(own[o[q]].view(np.int64)),
+                 pa.array(n[o[q]].astype(np.int32)), pa.array(fit[q]),
+                 pa.array([key[i:i + k].tobytes() for i, k in zip(s[q], c[q])], pa.binary())],
+                names=["center", "own", "n", "fit", "sigs"])
 
-    return _spread(cand, parts, False).mapInArrow(run, PAIRS).distinct()
+    return (_by_signature(cand, parts).mapInArrow(earliest, "part int, payload binary")
+            .repartitionById(parts, F.col("part"))
+            .mapInArrow(under, "center long, own long, n int, fit boolean, sigs binary"))
 
 
 def _fold(bits: bytes, size: int) -> np.ndarray:
@@ -318,53 +324,75 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _across(cand: DataFrame, parts: int, scheme: Scheme) -> DataFrame:
+def _together(sigs: list[np.ndarray], block: int = 512, wide: int = 16384
+              ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in ``sigs`` that share a signature, each once, by
+    products of 0/1 matrices: blocks of members by blocks of signatures."""
+    flat = np.concatenate(sigs)
+    names, col = np.unique(flat, return_inverse=True)
+    off = np.r_[0, np.cumsum([len(s) for s in sigs])]
+
+    def dense(i: int, s0: int) -> np.ndarray:
+        lo, hi = off[i], off[min(i + block, len(sigs))]
+        c = col[lo:hi]
+        r = np.repeat(np.arange(min(block, len(sigs) - i)), np.diff(off[i:i + block + 1]))
+        ok = (c >= s0) & (c < s0 + wide)
+        out = np.zeros((min(block, len(sigs) - i), min(wide, len(names) - s0)), dtype=np.float32)
+        out[r[ok], c[ok] - s0] = 1
+        return out
+
+    for i in range(0, len(sigs), block):
+        for j in range(0, i + 1, block):
+            both = sum(dense(i, s0) @ dense(j, s0).T for s0 in range(0, len(names), wide))
+            x, y = np.nonzero(both > 0)
+            x, y = x + i, y + j
+            yield x[x > y], y[x > y]
+
+
+def _across(runs: DataFrame, comp: DataFrame, sets: DataFrame, parts: int, scheme: Scheme) -> DataFrame:
     """Pairs of a run in different components that their bitmaps allow."""
+    # A center was compared with all its sets already, so it stays out here.
+    known = runs.filter("center <> own").join(comp.withColumnRenamed("node", "own"), "own", "left").select(
+        "center", "own", "n", "sigs", F.coalesce("root", "own").alias("comp"))
+    mixed = (known.groupBy("center").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("lo < hi").select("center"))
+    known = (known.join(mixed, "center", "left_semi").join(sets.select("own", "bits"), "own")
+             .select("center", "own", "n", "comp", "sigs", "bits")
+             .repartition(parts, "center"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _members(batches, 2)
-        if m is None:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        (own, n, _, _), owner, s, c, (comp, bits) = m
-        comp = comp.to_numpy()
-        bits = bits.to_pylist()
+        t = pa.Table.from_batches(got)
+        center, own, n, comp = (t.column(i).to_numpy() for i in range(4))
         n = n.astype(np.int64)
-        lots: list[np.ndarray] = []
-        size = 0
-        for at, k in zip(s, c):
-            mem = owner[at:at + k]
-            if (comp[mem] == comp[mem[0]]).all():
-                continue
-            for i in range(0, k, 512):                # blocks keep memory bounded
-                for j in range(i, k, 512):
-                    a, b = np.meshgrid(mem[i:i + 512], mem[j:j + 512], indexing="ij")
-                    ok = (comp[a] != comp[b]) & scheme.sizes_fit(n[a], n[b])
-                    if i == j:
-                        ok &= np.tri(*ok.shape, -1, dtype=bool)
-                    a, b = a[ok], b[ok]
-                    lots.append(np.unique(np.minimum(a, b) * len(own) + np.maximum(a, b)))
-                    size += len(lots[-1])
-            if size > 4_000_000:
-                lots = [np.unique(np.concatenate(lots))]
-                size = len(lots[0])
-        if not lots:
-            return
-        pairs = np.unique(np.concatenate(lots))
-        x, y = pairs // len(own), pairs % len(own)
+        bits = t.column(5).to_pylist()
+        sigs = t.column(4).to_pylist()
         width = np.array([len(v) // 8 for v in bits])
-        limit = scheme.differ(n[x], n[y])
-        keep = np.zeros(len(x), dtype=bool)
-        common = np.minimum(width[x], width[y])
-        for w in np.unique(common):
-            at = np.flatnonzero(common == w)
-            used, inv = np.unique(np.r_[x[at], y[at]], return_inverse=True)
-            block = np.stack([_fold(bits[u], w) for u in used])
-            for lo in range(0, len(at), 65536):
-                q = np.arange(lo, min(lo + 65536, len(at)))
-                far = np.bitwise_count(block[inv[q]] ^ block[inv[len(at) + q]]).sum(axis=1, dtype=np.int64)
-                keep[at[q]] = far <= limit[at[q]]
-        yield pa.RecordBatch.from_arrays([pa.array(own[x[keep]]), pa.array(own[y[keep]])], names=["a", "b"])
-
-    return (_spread(cand, parts, True).mapInArrow(run, PAIRS)
+        by = np.lexsort((own, center))
+        for lo, k in zip(*X.run_lengths(center[by])):
+            mem = by[lo:lo + k]
+            for x, y in _together([np.frombuffer(sigs[m], "<u8") for m in mem]):
+                x, y = mem[x], mem[y]
+                ok = (comp[x] != comp[y]) & scheme.sizes_fit(n[x], n[y])
+                x, y = x[ok], y[ok]
+                keep = np.zeros(len(x), dtype=bool)
+                limit = scheme.differ(n[x], n[y])
+                common = np.minimum(width[x], width[y])
+                for w in np.unique(common):
+                    at = np.flatnonzero(common == w)
+                    used, inv = np.unique(np.r_[x[at], y[at]], return_inverse=True)
+                    block = np.stack([_fold(bits[u], w) for u in used])
+                    for at0 in range(0, len(at), 16384):
+                        q = np.arange(at0, min(at0 + 16384, len(at)))
+                        far = np.bitwise_count(block[inv[q]] ^ block[inv[len(at) + q]]).sum(axis=1, dtype=np.int64)
+                        keep[at[q]] = far <= limit[at[q]]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(own[x[keep]]), pa.array(own[y[keep]])],
+                                                     names=["a", "b"])
+
+    return (known.mapInArrow(run, PAIRS)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -456,12 +484,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     rows = base.filter("g = -1").select("doc_id", "own", "n")
     cand = base.filter("g >= 0").select("own", "n", "rep", "g", "payload")
     sets = C.stage(_sets(texts, cand, words), "ngram-sets")
-    links = C.stage(_verify(_stars(cand, parts, scheme), sets, percent), "ngram-links")
+    runs = C.stage(_runs(cand, parts, scheme), "ngram-runs")
+    stars = runs.filter("fit and center <> own").select(F.col("center").alias("a"), F.col("own").alias("b"))
+    links = C.stage(_verify(stars, sets, percent), "ngram-links")
     comp = components(links)
-    known = (cand.join(comp.withColumnRenamed("node", "own"), "own", "left")
-             .join(sets.select("own", "bits"), "own")
-             .select("own", "n", "rep", "g", "payload", F.coalesce("root", "own").alias("comp"), "bits"))
-    more = C.stage(_verify(_across(known, parts, scheme), sets, percent), "ngram-links")
+    more = C.stage(_verify(_across(runs, comp, sets, parts, scheme), sets, percent), "ngram-links")
     if more.limit(1).count():
         comp = components(links.union(more))
     x = rows.join(comp.withColumnRenamed("node", "own"), "own", "left").select(
