@@ -145,3 +145,24 @@ def test_checked_branches_are_not_empty(spark):
     assert out.filter("TIME_GAP > 1000").count() and out.filter("TIME_GAP < 100").count()
     got = q["clamp_outliers"](spark, SF_SMALL).agg(F.max("TIME_GAP"), F.min("TIME_GAP")).first()
     assert got[0] < 4000 and got[1] > 10
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    """Reordered, extra, absent and malformed columns; files that differ."""
+    import pytest
+    from pyspark.sql import types as T
+    from tripframe.sources import files
+    want = T.StructType([T.StructField("ID", T.StringType()), T.StructField("LEN", T.IntegerType()),
+                         T.StructField("DAY", T.StringType())])
+    for name, text in (("a", "LEN,JUNK, ID,DAY\n5,x,000010004,d1\nzz,y,7,\n"), ("b", "ID,LEN\n000000001,9\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.CSV").write_text(text)
+    paths = [str(tmp_path / n) for n in "ab"]
+    got = files.read_typed_csv(spark, paths, want, glob="*.{csv,CSV}", optional=["DAY"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [("000010004", 5, "d1"), ("7", None, None), ("000000001", 9, None)], key=str)
+    with pytest.raises(ValueError):
+        files.read_typed_csv(spark, paths[1], want)
+    (tmp_path / "a" / "g.csv").write_text("ID,LEN,JUNK,DAY\n1,2,3,4\n")
+    with pytest.raises(Exception):
+        files.read_typed_csv(spark, paths[0], want).collect()

@@ -45,7 +45,8 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = files.read_typed_csv(spark, path, _raw_schema(schema), glob="*.{csv,CSV}")
+        df = files.read_typed_csv(spark, path, _raw_schema(schema), glob="*.{csv,CSV}",
+                                  optional=schema.fieldNames())
     if "obs_id" in df.columns:
         return df
     cols = df.columns

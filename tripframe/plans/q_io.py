@@ -68,9 +68,7 @@ def q_file_audit(spark, sf_dir):
     obs.write.mode("overwrite").partitionBy("DAY_TYPE").option("header", True).csv(path)
     df = files.read_typed_csv(spark, path, NARROW_DAY,
                               glob="*.{csv,CSV}", with_file=True)
-    per_file = df.groupBy("DAY_TYPE", "source_file").agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(F.col("SPEED").isNotNull()).alias("rows_kept"))
+    per_file = files.file_audit(df, ["SPEED"], by=("DAY_TYPE", "source_file"))
     return per_file.groupBy("DAY_TYPE").agg(F.sum("rows_read").alias("rows_read"),
                                             F.sum("rows_kept").alias("rows_kept"))
 

@@ -14,33 +14,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType,
+def read_typed_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
                    cols: Sequence[str] | None = None, glob: str | None = None,
-                   with_file: bool = False) -> DataFrame:
-    """A1/A2/A3/A4: header CSV with a declared schema. Spaces after the
-    separator are trimmed, blank lines skipped, a folder (optionally
-    filtered by ``glob``, e.g. ``*.{csv,CSV}``) reads every matching file.
-    ``with_file`` adds the source file name (A5)."""
-    reader = (spark.read.schema(schema).option("header", True)
-              .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE"))
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.csv(path)
+                   with_file: bool = False, optional: Sequence[str] = ()) -> DataFrame:
+    """A1/A2/A3/A4: header CSV with declared types, columns found by name.
+
+    The header (of the first file; one small read) names the columns, which are
+    read as text and selected by name, so files may have other columns or
+    another order. Values that don't fit their type become null. A column that
+    the header lacks is an error, or null if it is in ``optional``. Spark checks
+    the header of every file against the first one and fails on a difference
+    rather than shifting columns; folders with different headers are given as
+    a list of paths and stacked by name. Spaces after the separator are
+    trimmed, blank lines skipped; a folder (optionally filtered by ``glob``,
+    e.g. ``*.{csv,CSV}``) reads every matching file. ``with_file`` adds the
+    source file name (A5)."""
+    if not isinstance(path, str):
+        parts = [read_typed_csv(spark, p, schema, cols, glob, with_file, optional) for p in path]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def reader():
+        r = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
+             .option("mode", "PERMISSIVE"))
+        return r.option("pathGlobFilter", glob) if glob else r
+
+    names = reader().csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    df = reader().schema(text).option("enforceSchema", False).csv(path)
+    wanted = [f for f in schema.fields if cols is None or f.name in cols]
+    missing = [f.name for f in wanted if f.name not in names and f.name not in optional]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    out = [(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names
+            else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
     if with_file:
-        df = df.withColumn("source_file", F.col("_metadata.file_name"))
-    if cols:
-        df = df.select(*cols, *(["source_file"] if with_file else []))
-    return df
+        out.append(F.col("_metadata.file_name").alias("source_file"))
+    return df.select(*out).select(*(cols or [f.name for f in wanted]), *(["source_file"] if with_file else []))
 
 
-def file_audit(df: DataFrame, required: Sequence[str], by: str = "source_file") -> DataFrame:
+def file_audit(df: DataFrame, required: Sequence[str],
+               by: str | Sequence[str] = "source_file") -> DataFrame:
     """A5: rows per file before and after dropping rows null or blank in
     ``required`` (one aggregation, no per-file loop)."""
     ok = F.lit(True)
     for c in required:
         ok = ok & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("rows_read"),
-                              F.count_if(ok).alias("rows_kept"))
+    keys = [by] if isinstance(by, str) else list(by)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_read"),
+                                 F.count_if(ok).alias("rows_kept"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
