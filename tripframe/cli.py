@@ -117,7 +117,7 @@ def main(argv=None) -> int:
             out = densify.fill_minutes(df, ["BUSINFOUNIT_ID"], ["DAY_TYPE", "LEN"],
                                        {"TIME_GAP": -1, "speed_kmh": 0},
                                        keep_cols=list(S.GRID_OUT_COLS))
-            out = densify.ordered(out, ["DEP_TIME"])
+            out = densify.ordered(out, ["DEP_TIME", "BUSINFOUNIT_ID"])
         else:
             df = _read(spark, a.input, a.format, S.HOLDING_OBS)
             out = densify.fill_minutes(df, ["BUSROUTE_ID", "BUSSTOP_ID"], ["DAY_TYPE"],

@@ -78,14 +78,15 @@ def prediction_report(df: DataFrame, pred: str = "prediction", actual: str = "TI
     """TIME_GAP_ESTIMATE = trunc(round-half-even(pred, est_digits));
     ERROR = |estimate - actual|; ERROR_RATE = round-half-even(ERROR / actual,
     rate_digits) (None = no rate; division by zero -> null); sorted
-    descending by ``order_by``."""
+    descending by ``order_by``, then by the row key if there is one, so rows
+    of equal value spread over the ranges of the sort."""
     est = np_round(F.col(pred).cast("double"), est_digits).cast("int")
     x = (df.withColumn("TIME_GAP_ESTIMATE", est)
            .withColumn("ERROR", F.abs(F.col("TIME_GAP_ESTIMATE") - F.col(actual)).cast("int")))
     if rate_digits is not None:
         x = x.withColumn("ERROR_RATE", np_round(F.try_divide(F.col("ERROR").cast("double"),
                                                              F.col(actual).cast("double")), rate_digits))
-    return x.orderBy(F.col(order_by).desc())
+    return x.orderBy(F.col(order_by).desc(), *[c for c in ("obs_id",) if c in x.columns])
 
 
 def band_of(actual: Column, bands=TRAVEL_BANDS) -> Column:

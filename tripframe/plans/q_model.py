@@ -119,12 +119,10 @@ def q_report_variants(spark, sf_dir):
     """Whole-number error rate; estimate rounded to 0 with an MAE
     column; ordered by TIME_GAP descending."""
     sc = _scored(spark, sf_dir)
-    whole = evaluate.prediction_report(sc, rate_digits=0).select(
-        "obs_id", F.col("ERROR_RATE").cast("bigint").alias("ERROR_RATE_WHOLE"))
     est = evaluate.np_round(F.col("prediction"))
-    v = (sc.select("obs_id", "TIME_GAP", est.alias("TIME_GAP_ESTIMATE"))
-           .withColumn("MAE", F.abs(F.col("TIME_GAP") - F.col("TIME_GAP_ESTIMATE"))))
-    return v.join(whole, "obs_id").orderBy(F.col("TIME_GAP").desc())
+    return evaluate.prediction_report(sc, rate_digits=0, order_by="TIME_GAP").select(
+        "obs_id", "TIME_GAP", est.alias("TIME_GAP_ESTIMATE"), F.abs(F.col("TIME_GAP") - est).alias("MAE"),
+        F.col("ERROR_RATE").cast("bigint").alias("ERROR_RATE_WHOLE"))
 
 
 @query("final_order_dedup", with_views(TRAVEL_OBS, *SCORED_SQL) + """

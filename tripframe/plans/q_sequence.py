@@ -108,7 +108,7 @@ def q_fill_minutes_travel(spark, sf_dir):
                                {"TIME_GAP": -1, "speed_kmh": 0},
                                keep_cols=["DAY_TYPE", "BUSINFOUNIT_ID", "LEN", "DEP_TIME",
                                           "TIME_GAP", "speed_kmh"])
-    return densify.ordered(out, ["DEP_TIME"])
+    return densify.ordered(out, ["DEP_TIME", "BUSINFOUNIT_ID"])
 
 
 @query("fill_minutes_holding", with_views(HOLDING_OBS, f"""
