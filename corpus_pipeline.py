@@ -58,7 +58,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     often as the mix takes it (never, once or twice)."""
     taken = mixing.mix(mixing.of_source(docs)).filter("passes_taken > 0")
     times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes_taken").alias("_times"))
-    return (docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Dealt by id at every size, so texts of small and large inputs travel alike.
+    return (docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
             .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS))
 
 
