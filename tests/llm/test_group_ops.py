@@ -246,6 +246,27 @@ def test_passages_find_planted(spark, frame):
     assert passages.find(frame([])).count() == 0
 
 
+def test_passages_between_later_documents(spark, frame):
+    """Earlier documents hold only pieces under MIN_WORDS of a passage that
+    later ones share, before the first and between the two."""
+    rng = np.random.default_rng(16)
+    words = [f"w{i}" for i in range(5000)]
+
+    def around(part):
+        return " ".join([*rng.choice(words, 60), *part, *rng.choice(words, 60)])
+
+    p, q = list(rng.choice(words, 60)), list(rng.choice(words, 40))
+    rows = [(1, around(p[:38])), (2, around(p[24:])), (8, around(p)), (9, around(p))]
+    rows += [(20 + i, around(q[i:][:39])) for i in range(2)] + [(30, around(q))]
+    rows += [(40 + i, around(q[3 * i:][:25])) for i in range(6)] + [(50, around(q))]
+    got = {(r.doc_id, r.source_id): r for r in passages.find(frame(rows)).collect()}
+    r = got[(9, 8)]
+    assert r.start <= 60 and r.end >= 120 and r.same >= 60
+    r = got[(50, 30)]
+    assert r.start <= 60 and r.end >= 100 and r.same >= 40
+    assert set(got) == {(9, 8), (50, 30)}
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(30):
