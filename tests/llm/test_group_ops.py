@@ -267,6 +267,20 @@ def test_passages_between_later_documents(spark, frame):
     assert set(got) == {(9, 8), (50, 30)}
 
 
+@pytest.mark.parametrize("every, words_", [(4, 63), (5, 60), (6, 60), (7, 60)])
+def test_passages_with_evenly_changed_words(spark, frame, every, words_):
+    rng = np.random.default_rng(every)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    p = list(rng.choice(words, words_))
+    for i in (1, 2):
+        q = [f"x{i}" if at % every == every - 1 else u for at, u in enumerate(p)]
+        rows.append((i, " ".join([*rng.choice(words, 50), *q, *rng.choice(words, 50)])))
+    got = passages.find(frame(rows)).collect()
+    assert [(r.doc_id, r.source_id) for r in got] == [(2, 1)]
+    assert got[0].start <= 51 and got[0].end >= 48 + words_ and 100 * got[0].same >= 75 * (got[0].end - got[0].start)
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(30):
