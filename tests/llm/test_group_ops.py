@@ -69,6 +69,41 @@ def test_ngram_join_large_group_of_near_copies(spark, frame):
     assert got == want
 
 
+def test_ngram_join_crowded_run_is_dealt_as_blocks(spark, frame):
+    """Sets that share most shingles, in many components, one of them large."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(160):
+        v = base + [f"y{i if i % 2 else 0}_{k}" for k in range(22 + i % 9)]
+        for _ in range(int(rng.integers(0, 5))):
+            v[int(rng.integers(0, 140))] = f"x{rng.integers(0, 10 ** 9)}"
+        rows.append((i, " ".join(v)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in pairs(sets) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = groups(links, sets)
+    for block in (8, 1024):
+        got = {r.doc_id: r.component_id for r in partenum.join(frame(rows), block=block).collect()}
+        assert got == want
+
+
+def test_ngram_join_blocks_are_bounded_and_meet_once(spark):
+    rows = [(7, i, 10, b"s", 1 if i < 100 else 2 if i < 140 else 1000 + i // 2) for i in range(200)]
+    rows += [(8, i, 10, b"s", 5) for i in range(50)]
+    known = spark.createDataFrame(rows, "center long, own long, n int, sigs binary, comp long")
+    bits = spark.range(200).selectExpr("id as own", "cast('b' as binary) as bits")
+    met = []
+    for r in partenum._dealt(known, bits, 20).collect():
+        one = [(m.own, m.comp) for m in r.one]
+        two = one if r.two is None else [(m.own, m.comp) for m in r.two]
+        assert max(len(one), len(two)) <= 60
+        assert len({c for _, c in one + two}) > 1
+        met += [(x[0], y[0]) if x < y else (y[0], x[0]) for x in one for y in two
+                if x[1] != y[1] and (r.two is not None or x < y)]
+    comp = {o: c for k, o, _, _, c in rows if k == 7}
+    assert sorted(tuple(sorted(m)) for m in met) == [(a, b) for a, b in pairs(range(200)) if comp[a] != comp[b]]
+
+
 def test_ngram_join_empty(spark, frame):
     assert partenum.join(frame([])).count() == 0
     got = partenum.join(frame([(1, None), (2, "")])).collect()

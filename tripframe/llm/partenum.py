@@ -23,7 +23,9 @@ different sets with ``100 * |A & B| >= percent * |A | B|`` and their components.
    compared; pairs whose exclusive-or bitmaps differ in more than ``k`` bits
    can't be linked and are dropped first, in the task. So copies and near
    copies cost work by their number, not all pairs, and no link between
-   components is missed.
+   components is missed. A run of more than ``BLOCK`` sets is dealt as pairs of
+   blocks over the cluster, a component of more than ``BLOCK`` sets in blocks of
+   its own, which meet only the blocks of others; so a task holds two blocks.
 
 Equal sets are one set from the start. Signatures travel packed
 (``exchange``), are matched by Spark partition, and verified on whole sets. All
@@ -56,6 +58,7 @@ from tripframe.llm.components import components
 PERCENT, WORDS = 75, 5
 NO_ID = (1 << 63) - 1
 BLOOM_BITS = 1 << 23
+BLOCK = 1024
 #: Columns said once per set and group: set hash, earliest id, size,
 #: signatures to leave out, group.
 TABLE = ("<u8", "<i8", "<u4", "<u4", "<u2")
@@ -324,10 +327,11 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _together(sigs: list[np.ndarray], block: int = 512, wide: int = 16384
+def _together(sigs: list[np.ndarray], cut: int = 0, block: int = 512, wide: int = 16384
               ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places in ``sigs`` that share a signature, each once, by
-    products of 0/1 matrices: blocks of members by blocks of signatures."""
+    products of 0/1 matrices: blocks of members by blocks of signatures. With
+    ``cut`` only pairs of a place from there on and one before it."""
     flat = np.concatenate(sigs)
     names, col = np.unique(flat, return_inverse=True)
     off = np.r_[0, np.cumsum([len(s) for s in sigs])]
@@ -341,40 +345,62 @@ def _together(sigs: list[np.ndarray], block: int = 512, wide: int = 16384
         out[r[ok], c[ok] - s0] = 1
         return out
 
-    for i in range(0, len(sigs), block):
-        for j in range(0, i + 1, block):
+    for i in range(cut, len(sigs), block):
+        for j in range(0, cut or i + 1, block):
             both = sum(dense(i, s0) @ dense(j, s0).T for s0 in range(0, len(names), wide))
             x, y = np.nonzero(both > 0)
             x, y = x + i, y + j
-            yield x[x > y], y[x > y]
-
-
-def _across(runs: DataFrame, comp: DataFrame, sets: DataFrame, parts: int, scheme: Scheme) -> DataFrame:
+            ok = y < (cut or x)
+            yield x[ok], y[ok]
+
+
+_MEMBERS = "array<struct<own:bigint,n:int,comp:bigint,sigs:binary,bits:binary>>"
+
+
+def _dealt(known: DataFrame, bits: DataFrame, block: int) -> DataFrame:
+    """Members of runs in different components, as pairs of blocks: ``one, two``
+    (lists of members; ``two`` is null where a block meets itself). Components of
+    more than ``block`` members have blocks of their own (``c``), the others share
+    some (``c`` is null there, said as ``big = 0``)."""
+    per = known.groupBy("center", "comp").agg(F.count(F.lit(1)).alias("k"))
+    per = per.withColumn("big", (F.col("k") > block).cast("int"))
+    run = (per.groupBy("center").agg(F.sum(F.when(F.col("big") == 0, F.col("k"))).alias("rest"),
+                                     F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+           .filter("lo < hi").select("center", "rest"))
+    per = per.join(run, "center").select(
+        "center", "comp", "big", F.when(F.col("big") == 1, F.col("comp")).otherwise(F.lit(0)).alias("c"),
+        F.ceil(F.when(F.col("big") == 1, F.col("k")).otherwise(F.col("rest")) / block).cast("int").alias("pieces"))
+    piece = F.pmod(F.xxhash64(F.when(F.col("big") == 1, F.col("own")).otherwise(F.col("comp"))), F.col("pieces"))
+    placed = known.join(per, ["center", "comp"]).withColumn("p", piece.cast("int")).join(bits, "own")
+    lots = C.stage(placed.groupBy("center", "big", "c", "p").agg(
+        F.collect_list(F.struct("own", "n", "comp", "sigs", "bits")).alias("members")), "ngram-blocks")
+    same = lots.filter("big = 0").select(F.col("members").alias("one"), F.lit(None).cast(_MEMBERS).alias("two"))
+    names = lots.select("center", F.struct("big", "c", "p").alias("at"))
+    x, y = names.withColumnRenamed("at", "x"), names.withColumnRenamed("at", "y")
+    # The blocks of a run, not its members, meet here.
+    meet = x.join(y, "center").filter("x < y and not (x.big = 1 and y.big = 1 and x.c = y.c)")
+    keyed = lots.select("center", F.struct("big", "c", "p").alias("at"), "members")
+    cross = (meet.join(keyed.toDF("center", "x", "one"), ["center", "x"])
+             .join(keyed.toDF("center", "y", "two"), ["center", "y"]).select("one", "two"))
+    return same.union(cross)
+
+
+def _across(runs: DataFrame, comp: DataFrame, sets: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
     """Pairs of a run in different components that their bitmaps allow."""
     # A center was compared with all its sets already, so it stays out here.
     known = runs.filter("center <> own").join(comp.withColumnRenamed("node", "own"), "own", "left").select(
         "center", "own", "n", "sigs", F.coalesce("root", "own").alias("comp"))
-    mixed = (known.groupBy("center").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("lo < hi").select("center"))
-    known = (known.join(mixed, "center", "left_semi").join(sets.select("own", "bits"), "own")
-             .select("center", "own", "n", "comp", "sigs", "bits")
-             .repartition(parts, "center"))
+    dealt = _dealt(known, sets.select("own", "bits"), block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        center, own, n, comp = (t.column(i).to_numpy() for i in range(4))
-        n = n.astype(np.int64)
-        bits = t.column(5).to_pylist()
-        sigs = t.column(4).to_pylist()
-        width = np.array([len(v) // 8 for v in bits])
-        by = np.lexsort((own, center))
-        for lo, k in zip(*X.run_lengths(center[by])):
-            mem = by[lo:lo + k]
-            for x, y in _together([np.frombuffer(sigs[m], "<u8") for m in mem]):
-                x, y = mem[x], mem[y]
+        for i in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            lists = [i.column(k).flatten() for k in (0, 1)]
+            cut = len(lists[0]) if len(lists[1]) else 0
+            own, n, comp = (np.concatenate([v.field(k).to_numpy() for v in lists]) for k in range(3))
+            n = n.astype(np.int64)
+            sigs, bits = (sum([v.field(k).to_pylist() for v in lists], []) for k in (3, 4))
+            width = np.array([len(v) // 8 for v in bits])
+            for x, y in _together([np.frombuffer(v, "<u8") for v in sigs], cut):
                 ok = (comp[x] != comp[y]) & scheme.sizes_fit(n[x], n[y])
                 x, y = x[ok], y[ok]
                 keep = np.zeros(len(x), dtype=bool)
@@ -383,16 +409,16 @@ def _across(runs: DataFrame, comp: DataFrame, sets: DataFrame, parts: int, schem
                 for w in np.unique(common):
                     at = np.flatnonzero(common == w)
                     used, inv = np.unique(np.r_[x[at], y[at]], return_inverse=True)
-                    block = np.stack([_fold(bits[u], w) for u in used])
+                    folded = np.stack([_fold(bits[u], w) for u in used])
                     for at0 in range(0, len(at), 16384):
                         q = np.arange(at0, min(at0 + 16384, len(at)))
-                        far = np.bitwise_count(block[inv[q]] ^ block[inv[len(at) + q]]).sum(axis=1, dtype=np.int64)
+                        far = np.bitwise_count(folded[inv[q]] ^ folded[inv[len(at) + q]]).sum(axis=1, dtype=np.int64)
                         keep[at[q]] = far <= limit[at[q]]
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(own[x[keep]]), pa.array(own[y[keep]])],
                                                      names=["a", "b"])
 
-    return (known.mapInArrow(run, PAIRS)
+    return (dealt.mapInArrow(run, PAIRS)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -471,7 +497,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
-         words: int = WORDS) -> DataFrame:
+         words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the
     smallest id that links reach, the row's own included)."""
     spark = docs.sparkSession
@@ -488,7 +514,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     stars = runs.filter("fit and center <> own").select(F.col("center").alias("a"), F.col("own").alias("b"))
     links = C.stage(_verify(stars, sets, percent), "ngram-links")
     comp = components(links)
-    more = C.stage(_verify(_across(runs, comp, sets, parts, scheme), sets, percent), "ngram-links")
+    more = C.stage(_verify(_across(runs, comp, sets, scheme, block), sets, percent), "ngram-links")
     if more.limit(1).count():
         comp = components(links.union(more))
     x = rows.join(comp.withColumnRenamed("node", "own"), "own", "left").select(
