@@ -121,6 +121,15 @@ def test_secrets_base_and_masks(spark, frame):
     assert masked[0] is None and "Zx8Qw2" not in masked[8] and masked[9] == SECRETS[9]
 
 
+def test_entropy_span_keeps_its_parts_outside_base_spans():
+    head, tail = "Zq7Kx2Wm9Rt4Yp6Lv8Bn3Hs5Jd1Gc0FkTwXuEoPiAzMQ", "0f3a9c7e5b1d8264"
+    text = f"see {head}{tail}Vy8Uj2Nh6Gt4Rf1Ed5Ws7Qa9 end"
+    assert secret_scan.find(f"see {head}{tail} end") == [("entropy", 4, 48), ("hex", 48, 64)]
+    spans = secret_scan.find(text)
+    assert [k for k, _, _ in spans] == ["entropy", "hex", "entropy"]
+    assert secret_scan.mask(text, spans) == "see [entropy][hex][entropy] end"
+
+
 def test_entropy_counts_match_brute_force():
     import math
     from collections import Counter

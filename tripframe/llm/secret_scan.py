@@ -16,8 +16,8 @@
   case holds no secret for this scan, however varied its letters are.
 * Allow-list: candidates that an allow rule matches give no entropy span (a
   UUID, a path or URL, a word list joined by ``-``, ``_`` or ``/``, a run that
-  counts up such as ``0123456789abcdef``), nor do spans that overlap a base
-  span. Base spans are never suppressed.
+  counts up such as ``0123456789abcdef``). Where an entropy span meets base
+  spans, its parts outside them remain. Base spans are never suppressed.
 
 Null texts count as empty and give no span. Repeated rows each get their own
 result, null ids are kept, extra columns are ignored.
@@ -121,13 +121,19 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     more = []
+    taken = sorted(base, key=lambda b: b[1:])
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if any(a.fullmatch(run) for a in ALLOW):
             continue
         for s, e in entropy_spans(run):
             s, e = s + m.start(), e + m.start()
-            if not any(s < y and x < e for _, x, y in base):
+            for _, x, y in taken:               # parts outside base spans
+                if s < y and x < e:
+                    if s < x:
+                        more.append(("entropy", s, x))
+                    s = max(s, y)
+            if s < e:
                 more.append(("entropy", s, e))
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
