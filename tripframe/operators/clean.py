@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tripframe.functions import clock
 from tripframe.operators.positions import attach_scalars, nullsafe_join
+from tripframe.operators.quantiles import exact_quantiles, quantile_name
 
 KEY = "obs_id"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -217,9 +218,17 @@ def parse_two_formats(df: DataFrame, cols: Sequence[str] = ("ARR_DATE", "DEP_DAT
 
 
 # B18 -----------------------------------------------------------------------
-def derived_speed(length="LEN", gap="TIME_GAP") -> Column:
-    """km/h from metres and seconds; division by zero gives null."""
-    return F.try_divide(F.col(length), F.col(gap)) * F.lit(3.6)
+def derived_speed(length="LEN", gap="TIME_GAP", zero_gap: str = "null") -> Column:
+    """km/h from metres and seconds; division by zero gives null, or with
+    ``zero_gap="infinity"`` infinity by the sign of the length (0 / 0 stays null)."""
+    if zero_gap not in ("null", "infinity"):
+        raise ValueError(zero_gap)
+    speed = F.try_divide(F.col(length), F.col(gap)) * F.lit(3.6)
+    if zero_gap == "null":
+        return speed
+    far = F.lit(float("inf"))
+    return (F.when(F.col(gap) != 0, speed).when((F.col(gap) == 0) & (F.col(length) > 0), far)
+            .when((F.col(gap) == 0) & (F.col(length) < 0), -far))
 
 
 # B19 -----------------------------------------------------------------------
@@ -242,21 +251,16 @@ def to_minutes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # B22 -----------------------------------------------------------------------
-def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean",
-           exact: bool = True) -> DataFrame:
-    """Fill nulls with the column mean or median (one-row fit table); the
-    exact median suits integer-valued columns, ``exact=False`` uses
-    ``percentile_approx`` for unbounded doubles."""
+def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean") -> DataFrame:
+    """Fill nulls with the column mean or median (one-row fit table; the median
+    is selected exactly, see ``quantiles``)."""
     if strategy not in ("mean", "median"):
         raise ValueError(strategy)
     if strategy == "mean":
-        fn = F.avg
-    elif exact:
-        fn = F.median
+        fit = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_fill_{c}") for c in cols])
     else:
-        def fn(c):
-            return F.percentile_approx(c, F.lit(0.5), 10000)
-    fit = df.agg(*[fn(F.col(c).cast("double")).alias(f"_fill_{c}") for c in cols])
+        fit = exact_quantiles(df, cols, (0.5,)).select(
+            *[F.col(quantile_name(c, 0.5)).alias(f"_fill_{c}") for c in cols])
     out = attach_scalars(df, fit)
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")))

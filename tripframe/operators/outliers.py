@@ -1,9 +1,8 @@
 """Outlier operators.
 
-Fences come from one-row fit tables (exact ``percentile`` by default, which
-keeps a value->count map per column: right for integer seconds; pass
-``exact=False`` for unbounded doubles). One-row fences reach the rows as
-scalar subqueries (computed once, no join). Group statistics are hash aggregates joined back on the
+Fences come from one-row fit tables of exact quantiles, selected without a value
+map in one task (``quantiles``). One-row fences reach the rows as scalar
+subqueries (computed once, no join). Group statistics are hash aggregates joined back on the
 group key, never a window: a hot group is partially aggregated map-side
 and its single stats row is what the join replicates.
 """
@@ -16,21 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripframe.operators.positions import attach_scalars, nullsafe_join
+from tripframe.operators.quantiles import exact_quantiles, quantile_name
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-               exact: bool = True) -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """One row: q1_c, q3_c, lo_c, hi_c per column (linear interpolation)."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if exact
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 100000))
-        aggs.append(q.alias(f"_q_{c}"))
-    fit = df.agg(*aggs)
+    fit = exact_quantiles(df, cols, (0.25, 0.75))
     sel = []
     for c in cols:
-        q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+        q1, q3 = (F.col(quantile_name(c, p)) for p in (0.25, 0.75))
         iqr = q3 - q1
         sel += [q1.alias(f"q1_{c}"), q3.alias(f"q3_{c}"),
                 (q1 - F.lit(k) * iqr).alias(f"lo_{c}"), (q3 + F.lit(k) * iqr).alias(f"hi_{c}")]
@@ -42,24 +35,20 @@ def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def iqr_split(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-              name: str = "iqr_set", exact: bool = True) -> DataFrame:
+              name: str = "iqr_set") -> DataFrame:
     """``kept`` = inside every fence (inclusive), ``outlier`` = outside any
     fence; equal outlier rows are kept once (the distinct union of the
     outliers of all columns). Bounds always come from the input table. A null
     value is neither kept nor (by itself) an outlier, so such rows may land in
     no set."""
-    b = iqr_bounds(df, cols, k, exact)
-    x = _with_bounds(df, b)
-    kept = F.lit(True)
-    out = F.lit(False)
+    x = _with_bounds(df, iqr_bounds(df, cols, k))
+    inside, outside = F.lit(True), F.lit(False)
     for c in cols:
-        v = F.col(c)
-        kept = kept & F.coalesce((v >= F.col(f"lo_{c}")) & (v <= F.col(f"hi_{c}")), F.lit(False))
-        out = out | F.coalesce((v < F.col(f"lo_{c}")) | (v > F.col(f"hi_{c}")), F.lit(False))
-    lab = F.when(kept, F.lit("kept")).when(out, F.lit("outlier"))
-    x = x.withColumn(name, lab).select(*df.columns, name)
-    return (x.filter(F.col(name) == "kept")
-            .unionByName(x.filter(F.col(name) == "outlier").distinct()))
+        v, lo, hi = F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        inside, outside = inside & (v >= lo) & (v <= hi), outside | (v < lo) | (v > hi)
+    kept, out = ((x.filter(test).select(*df.columns, F.lit(lab).alias(name)))
+                 for test, lab in ((inside, "kept"), (outside, "outlier")))
+    return kept.unionByName(out.distinct())
 
 
 def iqr_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
@@ -106,6 +95,20 @@ def fence_extremes(df: DataFrame, col: str, key: str = "obs_id", n_high: int = 2
     return both.withColumn("rank", F.row_number().over(w))  # at most n_high + n_low rows
 
 
+def outlier_list(df: DataFrame, col: str, key: str = "obs_id", n: int = 20, k: float = 1.5,
+                 bounds: DataFrame | None = None) -> DataFrame:
+    """The ``n`` largest of all outliers, upper and lower ones together
+    (ties by key): with few upper outliers the list goes on with lower ones.
+    ``bounds`` (from ``iqr_bounds``) may come from another table."""
+    b = iqr_bounds(df, [col], k) if bounds is None else bounds
+    v = F.col(col)
+    top = (_with_bounds(df, b).filter((v > F.col(f"hi_{col}")) | (v < F.col(f"lo_{col}")))
+           .select(*dict.fromkeys([key, col]), F.when(v > F.col(f"hi_{col}"), "upper").otherwise("lower").alias("side"))
+           .orderBy(v.desc(), F.col(key)).limit(n))
+    w = Window.partitionBy().orderBy(v.desc(), F.col(key))
+    return top.withColumn("rank", F.row_number().over(w))  # n rows
+
+
 def group_sigma_filter(df: DataFrame, keys: Sequence[str], col: str = "TIME_GAP",
                        num_std: float = 2.0) -> DataFrame:
     """Per group drop nulls, keep mean +- k * sample std (inclusive).

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tripframe.functions import clock
 from tripframe.functions.hashing import md5_mod
+from tripframe.operators.positions import attach_scalars
+from tripframe.operators.quantiles import exact_quantiles, quantile_name
 
 
 def sizes_by_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -45,22 +47,20 @@ def _unpivot(df: DataFrame, cols: Sequence[str], cast: str) -> Column:
                                         F.col(c).cast(cast).alias("value")) for c in cols]))
 
 
-def describe_num(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max per column.
-
-    Exact quartiles (pandas' linear interpolation) keep a value->count map
-    per column: right for integer-valued columns such as seconds or metres;
-    ``exact=False`` uses bounded-memory ``percentile_approx`` for doubles."""
-    long = df.select(_unpivot(df, cols, "double").alias("_kv")).select("_kv.*")
-    if exact:
-        q = [F.percentile("value", F.lit(p)) for p in (0.25, 0.5, 0.75)]
-    else:
-        q = [F.percentile_approx("value", F.lit(p), 10000).cast("double") for p in (0.25, 0.5, 0.75)]
-    return long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-        F.max("value").alias("max"))
+def describe_num(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count, mean, sample std, min, quartiles, max per column. Quartiles
+    (pandas' linear interpolation) are selected exactly (``quantiles``); the rest
+    is one aggregate over all columns side by side."""
+    cols = list(cols)
+    probs = (0.25, 0.5, 0.75)
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[fn(F.col(c).cast("double")).alias(f"{name}_{i}")
+                   for i, c in enumerate(cols) for name, fn in stats.items()])
+    row = attach_scalars(row, exact_quantiles(df, cols, probs))
+    each = [F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in ("count", "mean", "std", "min")],
+                     *[F.col(quantile_name(c, p)).alias(f"p{p * 100:g}") for p in probs],
+                     F.col(f"max_{i}").alias("max")) for i, c in enumerate(cols)]
+    return row.select(F.explode(F.array(*each)).alias("_d")).select("_d.*")
 
 
 def describe_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:

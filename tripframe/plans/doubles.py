@@ -36,6 +36,7 @@ DOUBLE_COLUMNS = {
     'report_variants': ['TIME_GAP_ESTIMATE', 'MAE'],
     'score_without_actuals': ['prediction'],
     'sequence_weight': ['weight'],
+    'speed_outlier_list': ['SPEED'],
     'speed_outliers': ['SPEED'],
     'split_report': ['ratio'],
     'standard_inverse': ['TIME_GAP_restored'],

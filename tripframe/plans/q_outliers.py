@@ -90,6 +90,39 @@ def q_speed_outliers(spark, sf_dir):
     return outliers.fence_extremes(sp, "SPEED", n_high=100, n_low=5)
 
 
+@query("outlier_list", with_views(LINE_COARSE, """
+tb AS (SELECT q1 - 1.5::DOUBLE * (q3 - q1) AS lo, q3 + 1.5::DOUBLE * (q3 - q1) AS hi
+       FROM (SELECT quantile_cont(TIME_GAP, 0.25) AS q1, quantile_cont(TIME_GAP, 0.75) AS q3 FROM lobs)),
+o AS (SELECT DISTINCT TIME_GAP, CASE WHEN TIME_GAP > hi THEN 'upper' ELSE 'lower' END AS side
+      FROM lobs, tb WHERE TIME_GAP > hi OR TIME_GAP < lo)""") + """
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY TIME_GAP DESC) AS INTEGER) AS rank FROM o) WHERE rank <= 20""")
+def q_outlier_list(spark, sf_dir):
+    """C4: the 20 largest of all distinct outlying TIME_GAP values; lower ones
+    follow where the upper ones are fewer."""
+    obs = A.line_coarse(spark, sf_dir)
+    bounds = outliers.iqr_bounds(obs, ["TIME_GAP"])
+    return outliers.outlier_list(obs.select("TIME_GAP").distinct(), "TIME_GAP", key="TIME_GAP", bounds=bounds)
+
+
+@query("speed_outlier_list", with_views(TRAVEL_OBS, """
+sp AS (SELECT obs_id, CASE WHEN TIME_GAP <> 0 THEN LEN / TIME_GAP * 3.6::DOUBLE WHEN TIME_GAP = 0 AND LEN > 0 THEN 'inf'::DOUBLE
+                           WHEN TIME_GAP = 0 AND LEN < 0 THEN '-inf'::DOUBLE END AS SPEED FROM
+       (SELECT obs_id, LEN, CASE WHEN obs_id % 97 = 0 THEN 0 ELSE TIME_GAP END AS TIME_GAP FROM obs)),
+sb AS (SELECT q1 - 1.5::DOUBLE * (q3 - q1) AS lo, q3 + 1.5::DOUBLE * (q3 - q1) AS hi
+       FROM (SELECT quantile_cont(SPEED, 0.25) AS q1, quantile_cont(SPEED, 0.75) AS q3 FROM sp))""") + """
+SELECT obs_id, SPEED, side, rank FROM (
+  SELECT *, CASE WHEN SPEED > hi THEN 'upper' ELSE 'lower' END AS side,
+         CAST(row_number() OVER (ORDER BY SPEED DESC, obs_id) AS INTEGER) AS rank
+  FROM sp, sb WHERE SPEED > hi OR SPEED < lo) WHERE rank <= 100""")
+def q_speed_outlier_list(spark, sf_dir):
+    """The 100 largest of all outlying speeds, a gap of zero (here every 97th
+    observation's) counted as infinitely fast."""
+    gap = F.when(F.col("obs_id") % 97 == 0, 0).otherwise(F.col("TIME_GAP")).alias("TIME_GAP")
+    obs = A.travel_obs(spark, sf_dir).select("obs_id", "LEN", gap)
+    sp = obs.select("obs_id", clean.derived_speed(zero_gap="infinity").alias("SPEED"))
+    return outliers.outlier_list(sp, "SPEED", n=100)
+
+
 SIGMA_SQL = """
 g0 AS (SELECT obs_id, BUSINFOUNIT_ID, DAY_TYPE, DEP_TIME, TIME_GAP, SPEED FROM obs
        WHERE SPEED IS NOT NULL),

@@ -124,7 +124,7 @@ def line_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 5).cast("string").alias("BUSROUTE_ID"),
         zfill((F.col("l_partkey") % 20).cast("string"), 9).alias("BUSINFOUNIT_ID"),
         (F.floor(F.col("l_extendedprice") / 5000) * 100 + 100).cast("int").alias("LEN"),
-        F.date_format("l_shipdate", "yyyy-MM-01").alias("COLLECT_DATE"),
+        F.trunc("l_shipdate", "MM").cast("string").alias("COLLECT_DATE"),
         F.when(F.col("l_partkey") % 50 == 0, 4000 + tens).when(F.col("l_partkey") % 50 == 1, tens / 10)
          .otherwise(200 + tens).cast("int").alias("TIME_GAP"),
         F.col("l_returnflag").alias("FLAG"),
