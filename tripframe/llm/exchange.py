@@ -26,31 +26,31 @@ def low48(h: np.ndarray) -> np.ndarray:
     return h & _LOW48
 
 
-def pack48(h: np.ndarray) -> bytes:
-    """The lower 48 bits of each value, six bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack48(h: np.ndarray, size: int = 6) -> bytes:
+    """The lower 48 bits (``size`` bytes) of each value."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unpack48(b: bytes) -> np.ndarray:
-    six = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), dtype=np.uint8)
-    out[:, :6] = six
+def unpack48(b: bytes, size: int = 6) -> np.ndarray:
+    low = np.frombuffer(b, dtype=np.uint8).reshape(-1, size)
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :size] = low
     return out.view("<u8").reshape(-1)
 
 
 def pack(key: np.ndarray, owner: np.ndarray, table: Sequence[np.ndarray],
-         extra: Sequence[np.ndarray] = ()) -> bytes:
-    """Records (48-bit key, owner as a row of ``table``, extra columns); only
-    the table's rows that are used are kept."""
+         extra: Sequence[np.ndarray] = (), size: int = 6) -> bytes:
+    """Records (key of ``size`` bytes, owner as a row of ``table``, extra columns);
+    only the table's rows that are used are kept."""
     used, idx = np.unique(owner, return_inverse=True)
     idx = idx.astype("<u2" if len(used) <= 65536 else "<u4")
     head = np.array([len(key), len(used), idx.itemsize], dtype="<u4")
-    return b"".join([head.tobytes(), pack48(key), idx.tobytes(),
+    return b"".join([head.tobytes(), pack48(key, size), idx.tobytes(),
                      *[np.ascontiguousarray(e).tobytes() for e in extra],
                      *[np.ascontiguousarray(t[used]).tobytes() for t in table]])
 
 
-def unpack(b: bytes, table: Sequence[str], extra: Sequence[str] = ()
+def unpack(b: bytes, table: Sequence[str], extra: Sequence[str] = (), size: int = 6
            ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     n, m, w = (int(x) for x in np.frombuffer(b, dtype="<u4", count=3))
     at = 12
@@ -61,32 +61,32 @@ def unpack(b: bytes, table: Sequence[str], extra: Sequence[str] = ()
         at += a.nbytes
         return a
 
-    key = unpack48(b[at:at + 6 * n])
-    at += 6 * n
+    key = unpack48(b[at:at + size * n], size)
+    at += size * n
     idx = take("<u2" if w == 2 else "<u4", n).astype(np.int64)
     more = [take(e, n) for e in extra]
     return key, idx, [take(t, m) for t in table], more
 
 
 def scatter(part: np.ndarray, key: np.ndarray, owner: np.ndarray, table: Sequence[np.ndarray],
-            extra: Sequence[np.ndarray] = ()) -> Iterator[tuple[int, bytes]]:
+            extra: Sequence[np.ndarray] = (), size: int = 6) -> Iterator[tuple[int, bytes]]:
     """(target, packed records) for every target partition that gets any."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
         o = order[lo:hi]
-        yield int(part[lo]), pack(key[o], owner[o], table, [e[o] for e in extra])
+        yield int(part[lo]), pack(key[o], owner[o], table, [e[o] for e in extra], size)
 
 
-def gather(payloads: Sequence[bytes], table: Sequence[str], extra: Sequence[str] = ()
+def gather(payloads: Sequence[bytes], table: Sequence[str], extra: Sequence[str] = (), size: int = 6
            ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """All records of a partition: keys, owners as rows of the joined table,
     the table's columns, extra columns."""
     keys, owners, tables, extras = [], [], [], []
     base = 0
     for p in payloads:
-        k, o, t, e = unpack(p, table, extra)
+        k, o, t, e = unpack(p, table, extra, size)
         keys.append(k)
         owners.append(o + base)
         tables.append(t)

@@ -28,8 +28,11 @@ different sets with ``100 * |A & B| >= percent * |A | B|`` and their components.
    its own, which meet only the blocks of others; so a task holds two blocks.
 
 Equal sets are one set from the start. Signatures travel packed
-(``exchange``), are matched by Spark partition, and verified on whole sets. All
-is exact up to coincidences of 48-bit hashes inside one pair of sets.
+(``exchange``), are matched by Spark partition, and verified on whole sets.
+Coincidences of short signature hashes only make more pairs to verify. Two
+coincidences could change a result: sets whose 63-bit hashes agree are taken as equal,
+unverified (about ``d * d / 2 ** 64`` such pairs among ``d`` different sets: 5e-6 at
+10^7, a few at 10^10), and shingles of one pair of sets whose 48-bit hashes agree count as one.
 
 Null or empty texts have no shingles and link with nothing. Rows that repeat an
 id count as one node for components (ids must tell documents apart); each row
@@ -59,9 +62,16 @@ PERCENT, WORDS = 75, 5
 NO_ID = (1 << 63) - 1
 BLOOM_BITS = 1 << 23
 BLOCK = 1024
-#: Columns said once per set and group: set hash, earliest id, size,
-#: signatures to leave out, group.
-TABLE = ("<u8", "<i8", "<u4", "<u4", "<u2")
+#: Bytes of signatures and bitmaps that a block of a crowded run may hold, and of text
+#: that is hashed at once.
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+#: Said once per set and group on the way to a signature: the set's hash, whose lowest
+#: bit (never set in the hash) tells which of its two groups. The rest is known where
+#: the set's documents are.
+TABLE = ("<u8",)
+#: Bytes of a signature on its way; with its partition that makes 48 bits and more.
+SIG_BYTES = 4
+_1, _32 = np.uint64(1), np.uint64(32)
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ROWS = "part int, doc_id long, own long, n int, g int, rep long, payload binary"
 
@@ -112,11 +122,11 @@ class Scheme:
 
 
 def set_hash(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """64-bit hash of every row's set (0 for empty sets)."""
+    """63-bit hash of every row's set, the lowest bit clear (0 for empty sets)."""
     c = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(W.mix(h ^ _G2), out=c[1:])
     n = np.diff(off).astype(np.uint64)
-    return np.where(n > 0, W.mix((c[off[1:]] - c[off[:-1]]) ^ (n * _G1)), 0).astype(np.uint64)
+    return np.where(n > 0, W.mix((c[off[1:]] - c[off[:-1]]) ^ (n * _G1)) & ~_1, 0).astype(np.uint64)
 
 
 def signatures(h: np.ndarray, off: np.ndarray, rows: np.ndarray, scheme: Scheme
@@ -161,36 +171,52 @@ def _rows(**cols) -> pa.RecordBatch:
         [pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``SLICE_BYTES`` of text, at least one row each."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        _, off = W.text_bytes(b.column(1))
+        cut = np.flatnonzero(np.diff(off[:-1] // SLICE_BYTES)) + 1
+        for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+            yield b.slice(lo, hi - lo)
+
+
 def _sign(docs: DataFrame, parts: int, scheme: Scheme, words: int) -> DataFrame:
+    """Documents by set (``rep`` holds the signatures the set may leave out in its two
+    groups, said by one document of a batch) and packed signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ids = b.column(0)
             h, off = W.shingles(b.column(1), words)
             own, n = set_hash(h, off), np.diff(off)
-            yield _rows(part=X.part_of(own, parts), doc_id=ids, own=own.view(np.int64),
-                        n=n.astype(np.int32), g=np.full(len(n), -1, np.int32))
-            known = np.array([NO_ID if i is None else i for i in ids.to_pylist()], dtype=np.int64)
-            by = np.lexsort((known, own))
-            s, _ = X.run_lengths(own[by])
-            rows = np.sort(by[s])                     # equal sets of a batch sign once
+            _, rows = np.unique(own, return_index=True)   # equal sets of a batch sign once
             rows = rows[n[rows] > 0]
-            sig, owner, g, drop = signatures(h, off, rows, scheme)
-            twice = np.r_[rows, rows]
-            table = [own[twice], known[twice], n[twice].astype("<u4"), drop.astype("<u4"), g.astype("<u2")]
-            got = list(X.scatter(X.part_of(sig, parts), sig, owner, table))
+            sig, owner, _, drop = signatures(h, off, rows, scheme)
+            del h
+            first, second = drop[:len(rows)], drop[len(rows):]
+            spare = np.full(len(n), -1, dtype=np.int64)
+            spare[rows] = (first << 32) | second
+            yield _rows(part=X.part_of(own, parts), doc_id=ids, own=own.view(np.int64), n=n.astype(np.int32),
+                        g=np.full(len(n), -1, np.int32), rep=spare)
+            got = list(X.scatter(X.part_of(sig, parts), sig, owner, [np.r_[own[rows], own[rows] | _1]], size=SIG_BYTES))
             if got:
                 yield _rows(part=[p for p, _ in got], g=[-2] * len(got), payload=[x for _, x in got])
 
     return docs.mapInArrow(run, ROWS)
 
 
-def _collect(batches: Iterator[pa.RecordBatch], payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Pass the documents' rows on and keep the packed records."""
+def _collect(batches: Iterator[pa.RecordBatch], payloads: list[bytes], found: list | None = None
+             ) -> Iterator[pa.RecordBatch]:
+    """Pass the documents' rows on and keep the packed records (``found``: with the
+    number of their partition)."""
     for b in batches:
         g = b.column(4)
         doc = pc.equal(g, -1)
         mine = b.filter(pc.invert(doc))
         payloads += mine.column(6).to_pylist()
+        if found is not None:
+            found += mine.column(0).to_pylist()
         rest = b.filter(doc)
         if rest.num_rows:
             yield rest
@@ -200,53 +226,73 @@ def _shared(signed: DataFrame, parts: int) -> DataFrame:
     """Signatures of two sets or more, by set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads: list[bytes] = []
-        yield from _collect(batches, payloads)
-        key, owner, table, _ = X.gather(payloads, TABLE)
-        del payloads
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        s, c = X.run_lengths(key)
-        several = np.repeat(c > 1, c)
-        key, owner = key[several], owner[several]
-        by = np.lexsort((table[1][owner], table[0][owner], key))
-        key, owner = key[by], owner[by]
-        own = table[0][owner]
-        new = np.ones(len(key), dtype=bool)           # equal sets of other batches
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        key, owner = key[new], owner[new]
-        s, c = X.run_lengths(key)
-        several = np.repeat(c > 1, c)
-        often = np.minimum(255, 4 * np.log2(np.repeat(c, c)))[several].astype(np.uint8)
-        key, owner = key[several], owner[several]
-        got = list(X.scatter(X.part_of(table[0][owner], parts), key, owner, table, [often]))
-        if got:
-            yield _rows(part=[p for p, _ in got], g=[-2] * len(got), payload=[x for _, x in got])
+        where: list[int] = []
+        yield from _collect(batches, payloads, where)
+        # A Spark partition may hold several of the numbered ones; a signature is told by both.
+        for part in sorted(set(where)):
+            key, owner, (own,), _ = X.gather([p for p, w in zip(payloads, where) if w == part], TABLE, size=SIG_BYTES)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            s, c = X.run_lengths(key)
+            several = np.repeat(c > 1, c)
+            key, owner = key[several], owner[several]
+            by = np.lexsort((own[owner], key))
+            key, owner = key[by], owner[by]
+            new = np.ones(len(key), dtype=bool)       # equal sets of other batches
+            new[1:] = (key[1:] != key[:-1]) | (own[owner[1:]] != own[owner[:-1]])
+            key, owner = key[new], owner[new]
+            s, c = X.run_lengths(key)
+            several = np.repeat(c > 1, c)
+            often = np.minimum(255, 4 * np.log2(np.repeat(c, c)))[several].astype(np.uint8)
+            key = X.low48(W.mix(key[several] | (np.uint64(part) << _32)))
+            owner = owner[several]
+            got = list(X.scatter(X.part_of(own[owner], parts), key, owner, [own], [often]))
+            if got:
+                yield _rows(part=[p for p, _ in got], g=[-2] * len(got), payload=[x for _, x in got])
 
     return signed.mapInArrow(run, ROWS)
 
 
-def _pruned(shared: DataFrame) -> DataFrame:
+def _set_info(docs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents of a partition, per set: hash, earliest id, size, signatures
+    to leave out."""
+    own = np.concatenate([b.column(2).to_numpy() for b in docs]).view(np.uint64)
+    ids = np.concatenate([b.column(1).fill_null(NO_ID).to_numpy() for b in docs])
+    n = np.concatenate([b.column(3).to_numpy() for b in docs]).astype(np.int64)
+    spare = np.concatenate([b.column(5).to_numpy() for b in docs])
+    by = np.lexsort((ids, own))
+    s, _ = X.run_lengths(own[by])
+    return own[by][s], ids[by][s], n[by][s], np.maximum.reduceat(spare[by], s)
+
+
+def _pruned(shared: DataFrame, scheme: Scheme) -> DataFrame:
     """Per set and group, the signatures that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads: list[bytes] = []
-        yield from _collect(batches, payloads)
-        key, owner, t, (often,) = X.gather(payloads, TABLE, ["u1"])
+        docs = []
+        for b in _collect(batches, payloads):
+            docs.append(b)
+            yield b
+        if not payloads:
+            return
+        key, owner, (own,), (often,) = X.gather(payloads, TABLE, ["u1"])
         del payloads
-        own, g = t[0][owner], t[4][owner]
-        by = np.lexsort((key, 255 - often, g, own))
-        key, owner = key[by], owner[by]
-        own, g = own[by], g[by]
+        sets, first, size, spare = _set_info(docs)
+        by = np.lexsort((key, 255 - often, own[owner]))
+        key, mine = key[by], own[owner[by]]
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (own[1:] != own[:-1]) | (g[1:] != g[:-1])
+        new[1:] = mine[1:] != mine[:-1]
         s = np.flatnonzero(new)
         end = np.r_[s[1:], len(key)]
-        s2 = s + t[3][owner[s]] if len(s) else s
-        for lo in range(0, len(s), 2000):
-            pick = [i for i in range(lo, min(lo + 2000, len(s))) if s2[i] < end[i]]
-            if pick:
-                o = owner[s[pick]]
-                yield _rows(own=t[0][o].view(np.int64), n=t[2][o].astype(np.int32), g=t[4][o].astype(np.int32),
-                            rep=t[1][o], payload=[key[s2[i]:end[i]].tobytes() for i in pick])
+        at = np.searchsorted(sets, mine[s] & ~_1)
+        d = (mine[s] & _1).astype(np.int64)
+        g = scheme.band(size[at]) + d
+        s2 = s + np.where(d == 0, spare[at] >> 32, spare[at] & 0xFFFFFFFF)
+        left = np.flatnonzero(s2 < end)
+        for lo in range(0, len(left), 2000):
+            i = left[lo:lo + 2000]
+            yield _rows(own=sets[at[i]].view(np.int64), n=size[at[i]].astype(np.int32), g=g[i].astype(np.int32),
+                        rep=first[at[i]], payload=[key[a:b].tobytes() for a, b in zip(s2[i], end[i])])
 
     return shared.mapInArrow(run, ROWS)
 
@@ -362,14 +408,16 @@ def _dealt(known: DataFrame, bits: DataFrame, block: int) -> DataFrame:
     (lists of members; ``two`` is null where a block meets itself). Components of
     more than ``block`` members have blocks of their own (``c``), the others share
     some (``c`` is null there, said as ``big = 0``)."""
-    per = known.groupBy("center", "comp").agg(F.count(F.lit(1)).alias("k"))
-    per = per.withColumn("big", (F.col("k") > block).cast("int"))
+    # A member's part of a block: one of ``block`` members or its bytes of BLOCK_BYTES.
+    part = F.greatest(F.lit(1.0 / block), (F.length("sigs") + F.col("n") + 64) / F.lit(float(BLOCK_BYTES)))
+    per = known.groupBy("center", "comp").agg(F.sum(part).alias("k"))
+    per = per.withColumn("big", (F.col("k") > 1).cast("int"))
     run = (per.groupBy("center").agg(F.sum(F.when(F.col("big") == 0, F.col("k"))).alias("rest"),
                                      F.min("comp").alias("lo"), F.max("comp").alias("hi"))
            .filter("lo < hi").select("center", "rest"))
     per = per.join(run, "center").select(
         "center", "comp", "big", F.when(F.col("big") == 1, F.col("comp")).otherwise(F.lit(0)).alias("c"),
-        F.ceil(F.when(F.col("big") == 1, F.col("k")).otherwise(F.col("rest")) / block).cast("int").alias("pieces"))
+        F.ceil(F.when(F.col("big") == 1, F.col("k")).otherwise(F.col("rest"))).cast("int").alias("pieces"))
     piece = F.pmod(F.xxhash64(F.when(F.col("big") == 1, F.col("own")).otherwise(F.col("comp"))), F.col("pieces"))
     placed = known.join(per, ["center", "comp"]).withColumn("p", piece.cast("int")).join(bits, "own")
     lots = C.stage(placed.groupBy("center", "big", "c", "p").agg(
@@ -449,7 +497,7 @@ def _sets(docs: DataFrame, cand: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = bloom.value
-        for b in batches:
+        for b in _slices(batches):
             ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], dtype=np.int64)
             at = W.mix(ids.astype(np.uint64)) % np.uint64(BLOOM_BITS)
             ok = (filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -506,7 +554,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     texts = C.keyed_text(docs, key, text)
     signed = _sign(texts, parts, scheme, words).repartitionById(parts, F.col("part"))
     shared = _shared(signed, parts).repartitionById(parts, F.col("part"))
-    base = C.stage(_pruned(shared).drop("part"), "ngram-base")
+    base = C.stage(_pruned(shared, scheme).drop("part"), "ngram-base")
     rows = base.filter("g = -1").select("doc_id", "own", "n")
     cand = base.filter("g >= 0").select("own", "n", "rep", "g", "payload")
     sets = C.stage(_sets(texts, cand, words), "ngram-sets")
@@ -516,7 +564,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     comp = components(links)
     more = C.stage(_verify(_across(runs, comp, sets, scheme, block), sets, percent), "ngram-links")
     if more.limit(1).count():
-        comp = components(links.union(more))
+        comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     x = rows.join(comp.withColumnRenamed("node", "own"), "own", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("root", "own")).alias("root"))
