@@ -3,7 +3,10 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame, which is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of ``documents``.
-Null texts and ids pass through every stage; an empty table stays empty.
+An empty table stays empty. Null and empty texts and null ids pass through the first
+three stages; the mix takes no document of size 0, so null, empty and blank texts end
+there. Rows that repeat an id count as one document in the join and are taken as often as
+the most taken of them in the mix; rows without an id are kept by the join.
 """
 
 from __future__ import annotations
