@@ -204,3 +204,15 @@ def test_word_hash_windows(monkeypatch):
     monkeypatch.setattr(wordhash, "WINDOW", 64)
     h2, off2 = wordhash.words(pa.array(texts))
     assert (h == h2).all() and (off == off2).all()
+
+
+def test_bpe_very_long_white_space():
+    """A million blanks, and runs about the limit, as the library would."""
+    c = bpe.coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for text in ("a" + " " * 1_000_000 + "b", "a" + "\n" * 300_000 + " " * 300_000 + "　" * 100_000 + "b"):
+        assert c.decode(c.encode([text])[0]) == text.encode()
+    for n in (pretoken.LONG_RUN - 1, pretoken.LONG_RUN, pretoken.LONG_RUN + 1):
+        for run in (" " * n, " " * (n - 3) + "\n \n", "\r\n" * (n // 2)):
+            for end in ("", "b", " b"):
+                text = "a" + run + end
+                assert c.encode([text])[0] == np.array(c.enc.encode_ordinary(text), "<u4").tobytes()

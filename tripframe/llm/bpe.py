@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,10 @@ class Coder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks,
                                      special_tokens={})
+        # The library's matcher recurses too deep in very long runs of white space; there the
+        # pattern is matched here and the library merges each match as a whole.
+        self.split = regex.compile(pattern)
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         parts = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             parts[v] = k
@@ -47,7 +52,11 @@ class Coder:
         self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
     def _pack(self, text: str) -> bytes:
-        return np.array(self.enc.encode_ordinary(text), dtype="<u4").tobytes()
+        if pretoken.is_long_run(text):
+            ids = [i for m in self.split.findall(text) for i in self.whole.encode_ordinary(m)]
+        else:
+            ids = self.enc.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(self._pack(p) for p in pretoken.pieces(t)) for t in texts]

@@ -22,6 +22,7 @@ LONG_RUN = 20_000
 _TWO = re.compile(f"[{WS}]{{2}}")
 _CUT = re.compile(f"(?<=[^{WS}])(?=[{WS}])")
 _RUN = re.compile(f"[{WS}]{{{LONG_RUN},}}")
+_ALL = re.compile(f"[{WS}]+")
 
 
 def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
@@ -41,6 +42,11 @@ def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
     yield from _cut(text, at, len(text), limit)
 
 
+def is_long_run(piece: str) -> bool:
+    """Whether a piece is such a run of white space (up to its last character)."""
+    return len(piece) >= LONG_RUN - 1 and _ALL.fullmatch(piece) is not None
+
+
 def _cut(text: str, lo: int, hi: int, limit: int) -> Iterator[str]:
     while lo < hi:
         m = _CUT.search(text, lo + limit, hi) if hi - lo > limit else None
