@@ -87,6 +87,65 @@ def score_per_group_line(df: DataFrame, fit: DataFrame, keys: Sequence[str], x:
             .drop("slope", "intercept", "n_train")
 
 
+def fit_per_group_ols(train: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str,
+                      min_rows: int | None = None, tol: float = 1e-9) -> DataFrame:
+    """Least squares of ``y`` on several regressors per group: ``keys, intercept,
+    coef`` (array in the order of ``xs``), ``n_train``.
+
+    The normal equations need only means and covariances, which Spark merges from
+    partial aggregates: one shuffle of one row a group and task, whatever a group's
+    size. They are solved in closed form in columns (square-root-free Cholesky on the
+    covariances, so large means don't cost digits). Rows with a null in ``y`` or any
+    regressor are left out. A group of fewer than ``min_rows`` (default: one more than
+    the coefficients) rows, or with a regressor that the ones before it determine (what
+    they leave of its variance is below ``tol`` of it), gets no model."""
+    xs, p = list(xs), len(xs)
+    least = p + 2 if min_rows is None else min_rows
+    v = [F.col(c).cast("double") for c in [*xs, y]]
+    whole = train
+    for c in [*xs, y]:
+        whole = whole.filter(F.col(c).isNotNull())
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)][:-1]
+    g = whole.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_train"), *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(v)],
+        *[F.covar_pop(v[i], v[j]).alias(f"_s{i}_{j}") for i, j in pairs])
+    g = g.filter(F.col("n_train") >= least)
+    # S = L D L', column by column; the column of y turns into L^-1 s_y on the way.
+    for j in range(p):
+        done = F.col(f"_s{j}_{j}")
+        for k in range(j):
+            done = done - F.col(f"_l{k}_{j}") * F.col(f"_l{k}_{j}") * F.col(f"_d{k}")
+        g = g.withColumn(f"_d{j}", done).filter(
+            (F.col(f"_s{j}_{j}") > 0) & (F.col(f"_d{j}") > F.lit(tol) * F.col(f"_s{j}_{j}")))
+        new = {}
+        for i in range(j + 1, p + 1):
+            left = F.col(f"_s{j}_{i}")
+            for k in range(j):
+                left = left - F.col(f"_l{k}_{j}") * F.col(f"_l{k}_{i}") * F.col(f"_d{k}")
+            new[f"_l{j}_{i}"] = left / F.col(f"_d{j}")
+        g = g.withColumns(new)
+    for j in reversed(range(p)):
+        b = F.col(f"_l{j}_{p}")
+        for i in range(j + 1, p):
+            b = b - F.col(f"_l{j}_{i}") * F.col(f"_b{i}")
+        g = g.withColumn(f"_b{j}", b)
+    start = F.col(f"_m{p}")
+    for j in range(p):
+        start = start - F.col(f"_b{j}") * F.col(f"_m{j}")
+    return g.select(*keys, start.alias("intercept"), F.array(*[F.col(f"_b{j}") for j in range(p)]).alias("coef"),
+                    "n_train")
+
+
+def score_per_group_ols(df: DataFrame, fit: DataFrame, keys: Sequence[str], xs: Sequence[str],
+                        out: str = "prediction") -> DataFrame:
+    """Rows of groups that have a model, with its prediction."""
+    j = nullsafe_join(df, fit, list(keys))
+    value = F.col("intercept")
+    for i, c in enumerate(xs):
+        value = value + F.col("coef")[i] * F.col(c).cast("double")
+    return j.withColumn(out, value).drop("intercept", "coef", "n_train")
+
+
 # Spark ML estimators ---------------------------------------------------------
 def fit_gbt(train_val: DataFrame, feature_cols: Sequence[str], label: str = "TIME_GAP",
             val_flag: str = "is_val", max_iter: int = 100, step: float = 0.01,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripframe.functions import clock
@@ -126,11 +126,13 @@ def time_group(hour: Column) -> Column:
 
 
 def timegroup_split(df: DataFrame, keys: Sequence[str], time_col: str = "DEP_TIME",
-                    key: str = "obs_id", seed: int = 42) -> DataFrame:
+                    key: str = "obs_id", seed: int = 42, fallback: bool = False) -> DataFrame:
     """D2 with the departure time group as an extra key (intent of the
-    source, whose ``%H:%M`` parse of ``HH:MM:SS`` would fail)."""
+    source, whose ``%H:%M`` parse of ``HH:MM:SS`` would fail); with ``fallback``
+    the source's D3 step follows where a set stayed empty."""
     x = df.withColumn("time_group", time_group(clock.hour_of(time_col)))
-    return stratified_split(x, list(keys) + ["time_group"], key, seed)
+    split = stratified_split_fallback if fallback else stratified_split
+    return split(x, list(keys) + ["time_group"], key, seed)
 
 
 def _count_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -227,10 +229,13 @@ def halve_groups(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
 
 def banded_sample(df: DataFrame, band: Column, per_band: int = 20, key: str = "obs_id",
                   seed: int = 42) -> DataFrame:
-    """Up to ``per_band`` rows per band, without replacement, in seeded order."""
-    x = df.withColumn("band", band)
-    out = _assign(x, ["band"], key, seed, lambda n: [F.lit(per_band)], ["_in", None], "_pick")
-    return out.filter(F.col("_pick") == "_in").drop("_pick")
+    """Up to ``per_band`` rows per band, without replacement, in seeded order.
+    Spark keeps each task's first ``per_band`` rows of a band before the shuffle
+    (``WindowGroupLimit``), so at most ``per_band`` rows a task and band travel."""
+    x = _hashed(df.withColumn("band", band), key, seed)
+    order = Window.partitionBy("band").orderBy("_h", key)
+    return (x.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= per_band)
+            .drop("_pick", "_h"))
 
 
 def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, key: str = "obs_id",

@@ -31,6 +31,7 @@ DOUBLE_COLUMNS = {
     'onehot_day': ['day_1', 'day_2', 'day_3', 'day_4', 'day_5', 'day_6', 'day_7'],
     'onehot_type': ['EVENT', 'PATRN'],
     'per_group_regression': ['prediction'],
+    'per_group_regression_multi': ['prediction'],
     'prediction_report': ['prediction', 'ERROR_RATE'],
     'random_rows': ['Actual', 'Predicted', 'Absolute Error'],
     'report_variants': ['TIME_GAP_ESTIMATE', 'MAE'],

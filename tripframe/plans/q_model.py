@@ -272,6 +272,30 @@ def q_per_group_regression(spark, sf_dir):
         "obs_id", "BUSINFOUNIT_ID", "DAY_TYPE", "TIME_GAP", "prediction")
 
 
+@query("per_group_regression_multi", with_views(TRAVEL_OBS, f"""
+r0 AS (SELECT obs_id, BUSROUTE_ID, CAST({P.hour('DEP_TIME')} * 60 + {P.minute('DEP_TIME')} AS DOUBLE) AS x1, CAST(LEN AS DOUBLE) AS x2,
+              CAST(TIME_GAP AS DOUBLE) AS y, TIME_GAP FROM obs
+       WHERE coalesce(LEN <> 0, true) AND coalesce(TIME_GAP <> 0, true))""",
+    "s AS (" + sql_assign("r0", [], 42, RATIO_CUTS, TVT) + ")", """
+c AS (SELECT BUSROUTE_ID, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22,
+             covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y
+      FROM s WHERE dataset = 'train' AND x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2
+      FROM c WHERE n >= 4 AND s11 > 0 AND s22 > 0 AND s22 - s12 * s12 / s11 > 1e-9::DOUBLE * s22)""") + """
+SELECT obs_id, BUSROUTE_ID, TIME_GAP, my - b1 * m1 - b2 * m2 + b1 * x1 + b2 * x2 AS prediction
+FROM s JOIN b USING (BUSROUTE_ID) WHERE dataset = 'validation'""")
+def q_per_group_regression_multi(spark, sf_dir):
+    """I3 with two regressors: TIME_GAP on minute of day and LEN per route, fit on
+    train by merged covariances, scored on validation."""
+    obs = clean.zero_filter(A.travel_obs(spark, sf_dir), ["LEN", "TIME_GAP"]).select(
+        "obs_id", "BUSROUTE_ID", clock.minute_of_day("DEP_TIME").alias("minute_of_day"), "LEN", "TIME_GAP")
+    s = files.stage_table(splits.random_split(obs), "regression_split")
+    xs = ["minute_of_day", "LEN"]
+    fit = model.fit_per_group_ols(s.filter(F.col("dataset") == "train"), ["BUSROUTE_ID"], xs, "TIME_GAP")
+    return model.score_per_group_ols(s.filter(F.col("dataset") == "validation"), fit, ["BUSROUTE_ID"], xs).select(
+        "obs_id", "BUSROUTE_ID", "TIME_GAP", "prediction")
+
+
 # Spark ML fits (rows-only) ------------------------------------
 def _ml_frame(spark, sf_dir):
     obs = clean.zero_filter(A.travel_obs(spark, sf_dir), ["LEN", "TIME_GAP"])

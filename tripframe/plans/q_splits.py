@@ -67,7 +67,7 @@ def q_split_stratified(spark, sf_dir):
 
 
 _FB_KEYS = ["DAY_TYPE", "BUSROUTE_ID", "LOCATION_ID"]
-FALLBACK_SQL = RAW_P + ", s AS (" + sql_assign("rp", _FB_KEYS, 42, RATIO_CUTS, TVT) + """),
+FALLBACK_STEPS = """),
 f AS (SELECT count(*) FILTER (WHERE dataset = 'validation') = 0 AS ve,
              count(*) FILTER (WHERE dataset = 'test') = 0 AS te FROM s),
 s1 AS (SELECT s.* REPLACE (CASE WHEN dataset = '' AND (ve OR te) THEN 'test' ELSE dataset END AS dataset),
@@ -86,6 +86,7 @@ s3 AS (SELECT * EXCLUDE (_p, _nt) REPLACE (
                                           ORDER BY md5('44|' || CAST(obs_id AS VARCHAR)), obs_id) - 1 AS _p,
                     count(*) FILTER (WHERE dataset = 'train') OVER () AS _nt FROM s2))
 SELECT * EXCLUDE (ve, te) FROM s3"""
+FALLBACK_SQL = RAW_P + ", s AS (" + sql_assign("rp", _FB_KEYS, 42, RATIO_CUTS, TVT) + FALLBACK_STEPS
 
 
 @query("split_stratified_fallback", FALLBACK_SQL)
@@ -108,6 +109,14 @@ def q_split_timegroup(spark, sf_dir):
     return splits.timegroup_split(_raw_parsed(spark, sf_dir), ["DAY_TYPE", "BUSROUTE_ID"])
 
 
+@query("split_timegroup_fallback", RAW_P + f", rt AS (SELECT *, {TG_SQL} AS time_group FROM rp), s AS (" + sql_assign(
+    "rt", [*_FB_KEYS, "time_group"], 42, RATIO_CUTS, TVT) + FALLBACK_STEPS)
+def q_split_timegroup_fallback(spark, sf_dir):
+    """D4 with the D3 step: strata (DAY_TYPE, route, location, time group) are so
+    small that validation stays empty and train rows move."""
+    return splits.timegroup_split(_raw_parsed(spark, sf_dir), _FB_KEYS, fallback=True)
+
+
 HOLD_KEYED = """hk AS (SELECT obs_id, BUSROUTE_ID || '_' || BUSSTOP_ID AS route_stop, TIME_GAP FROM hobs),
 c1 AS (SELECT *, count(*) OVER (PARTITION BY route_stop) AS _n1 FROM hk)"""
 
