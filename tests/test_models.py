@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import ROOT, SF_SMALL
-from tripframe.operators import model, splits
+from tripframe.operators import boosting, model, splits
 
 
 def test_ols_with_four_regressors_matches_numpy(spark):
@@ -56,3 +56,39 @@ def test_queries_without_the_optional_packages():
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     hidden, rest = map(int, out.stdout.split()[-2:])
     assert hidden == 0 and rest >= 118
+
+
+def test_boosting_stops_at_the_known_best_round(spark, tmp_path):
+    """With half steps the predictions for y = 0 and 10 are 5 -+ 2.5, 3.75, 4.375 ...;
+    validation rows that lie at 1.25 and 8.75 are met exactly in round 2."""
+    rows = [(i, float(i % 2), 10.0 * (i % 2), False) for i in range(40)]
+    rows += [(100 + i, float(i % 2), 1.25 + 7.5 * (i % 2), True) for i in range(10)] + [(200, 1.0, None, True)]
+    df = spark.createDataFrame(rows, "obs_id long, x double, y double, is_val boolean")
+    got = boosting.fit_boosted(df, ["x"], "y", rounds=50, step=0.5, depth=2, patience=3, row_share=1.0, col_share=1.0,
+                               chunk=4)
+    assert got.best == 2 and got.model.getNumTrees == 3
+    np.testing.assert_allclose(got.curve[:4], [3.75, 1.25, 0, 0.625], atol=1e-9)
+    assert len(got.curve) == 9                       # two chunks of four, cut back to round 2
+    got.model.write().save(str(tmp_path / "m"))
+    from pyspark.ml.regression import GBTRegressionModel
+    again = GBTRegressionModel.load(str(tmp_path / "m"))
+    p = {r.x: r.prediction for r in again.transform(boosting.vectors(df, ["x"])).select("x", "prediction").collect()}
+    assert p == pytest.approx({0.0: 1.25, 1.0: 8.75})
+
+
+def test_boosting_draws_rows_and_columns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 3))
+    y = 10 * x[:, 0] + 5 * (x[:, 1] > 0.5) + rng.normal(0, 0.3, 600)
+    rows = [(i, *map(float, v), float(t), i % 5 == 0) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "obs_id long, a double, b double, c double, y double, is_val boolean")
+    how = dict(rounds=12, step=0.4, depth=3, patience=5, chunk=6, bins=32)
+    got, again = (boosting.fit_boosted(df, ["a", "b", "c"], "y", **how) for _ in range(2))
+    assert got.curve == again.curve and got.curve[got.best] < 0.35 * got.curve[0]
+    assert got.best == int(np.argmin(got.curve))
+
+
+def test_stop_round():
+    assert boosting.stop_round([5, 4, 3, 3, 3, 3], 3) == (2, True)
+    assert boosting.stop_round([5, 4, 3, 3, 2], 3) == (4, False)
+    assert boosting.stop_round([5, 6, 7, 1], 2) == (0, True)

@@ -22,6 +22,10 @@ TRAVEL_FEATURES = ("dep_hour", "dep_minute", "LEN_scaled", "dep_time_sin", "dep_
 HOLDING_FEATURES = ("dep_hour", "dep_minute", "dep_time_sin", "dep_time_cos", "time_of_day",
                     "peak_hours")
 
+# Ordered inputs of the boosted-tree model (11 features).
+BOOST_FEATURES = ("route_hash", "unit_hash", "dep_hour", "dep_minute", "LEN_mm", "dep_time_sin", "dep_time_cos", "log_len",
+                  "time_of_day", "peak_hours", "distance_type")
+
 
 def travel_features(df: DataFrame, hash_size: int = 20000, len_col: str = "LEN",
                     time_col: str = "DEP_TIME", id_col: str = "BUSINFOUNIT_ID") -> DataFrame:
@@ -38,6 +42,11 @@ def travel_features(df: DataFrame, hash_size: int = 20000, len_col: str = "LEN",
                .withColumn("unit_hash", md5_mod(id_col, hash_size)))
 
 
+def boost_features(df: DataFrame, hash_size: int = 20000, route_col: str = "BUSROUTE_ID") -> DataFrame:
+    """Adds the boosted-tree features but the min-max scaled LEN (which needs a fit)."""
+    return travel_features(df, hash_size).withColumn("route_hash", md5_mod(route_col, hash_size))
+
+
 def holding_features(df: DataFrame, route_hash: int = 1452, stop_hash: int = 13693,
                      time_col: str = "DEP_TIME") -> DataFrame:
     h = clock.hour_of(time_col)
