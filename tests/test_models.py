@@ -1,5 +1,7 @@
 """Regression per group, bounded samples, the optional import and boosting."""
 
+import math
+import random
 import subprocess
 import sys
 
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import ROOT, SF_SMALL
-from tripframe.operators import boosting, model, splits
+from tripframe.operators import boosting, model, search, splits
 
 
 def test_ols_with_four_regressors_matches_numpy(spark):
@@ -92,3 +94,58 @@ def test_stop_round():
     assert boosting.stop_round([5, 4, 3, 3, 3, 3], 3) == (2, True)
     assert boosting.stop_round([5, 4, 3, 3, 2], 3) == (4, False)
     assert boosting.stop_round([5, 6, 7, 1], 2) == (0, True)
+
+
+SPACE = {"a": search.Range(-5.0, 10.0), "b": search.Range(0.0, 15.0)}
+
+
+def branin(p):
+    """Test function of two parameters with three minima of 0.397887."""
+    a, b = p["a"], p["b"]
+    return ((b - 5.1 / (4 * math.pi ** 2) * a * a + 5 / math.pi * a - 6) ** 2
+            + 10 * (1 - 1 / (8 * math.pi)) * math.cos(a) + 10)
+
+
+def test_search_beats_random_points_of_the_same_cost():
+    wins, found = 0, []
+    for seed in range(15):
+        cost = 0.0
+
+        def evaluate(points, share):
+            nonlocal cost
+            cost += share * len(points)
+            noise = random.Random(seed)
+            return [branin(p) + (1 - share) * noise.gauss(0, 2) for p in points]
+
+        _, loss, trials = search.search(evaluate, SPACE, rounds=10, seed=seed)
+        rng = random.Random(1000 + seed)
+        blind = min(branin({n: r.at(rng.random()) for n, r in SPACE.items()}) for _ in range(math.ceil(cost)))
+        wins += loss < blind
+        found.append(loss)
+        assert len(trials) == 90
+    assert wins >= 11 and sorted(found)[7] < 1.0, (wins, found)
+
+
+def test_search_is_seeded_and_survives_bad_points():
+    def evaluate(points, share):
+        return [float("nan") if p["a"] < 0 else branin(p) for p in points]
+    one, two = (search.search(evaluate, SPACE, rounds=3, seed=5) for _ in range(2))
+    assert one == two and one[0]["a"] >= 0
+    whole = search.Range(1, 1000, log=True, whole=True)
+    assert [whole.at(u) for u in (0, 0.5, 1)] == [1, 32, 1000]
+
+
+def test_fit_search_finds_the_regularisation(spark):
+    """The more of the only regressor's true slope is kept, the better."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    rng = np.random.default_rng(6)
+    rows = [(i, float(v), float(3 * v + e)) for i, (v, e) in enumerate(zip(rng.standard_normal(300), rng.normal(0, .1, 300)))]
+    df = spark.createDataFrame(rows, "obs_id long, x double, TIME_GAP double")
+    lr = LinearRegression(labelCol="TIME_GAP")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), lr])
+    fitted, best, trials = search.fit_search(pipe, {"reg": (lr.regParam, search.Range(1e-3, 100.0, log=True))},
+                                             df.filter("obs_id % 3 > 0"), df.filter("obs_id % 3 = 0"), rounds=2, width=6)
+    assert best["reg"] < 0.2 and fitted.stages[-1].coefficients[0] == pytest.approx(3, abs=0.3)
+    assert {t.share for t in trials} == {1.0, 1 / 3, 1 / 9}

@@ -8,7 +8,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tripframe.functions import clock, features, featuresets
-from tripframe.operators import boosting, clean, encode, evaluate, model, splits
+from tripframe.operators import boosting, clean, encode, evaluate, model, search, splits
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_splits import RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
@@ -366,6 +366,21 @@ def q_tuned_fit_score(spark, sf_dir):
         "obs_id", "TIME_GAP", "prediction", "TIME_GAP_ESTIMATE")
 
 
+@query("searched_fit_score")
+def q_searched_fit_score(spark, sf_dir):
+    """I4: regularisation and its mix searched by model-based proposals with successive
+    halving (two rounds of four points, the best of a round fitted on all rows); test rows
+    scored by the best model."""
+    x = _ml_frame(spark, sf_dir)
+    pipe = model.global_regressor(list(featuresets.TRAVEL_FEATURES), "unit_hash", 20000, weight="w")
+    lr = pipe.getStages()[-1]
+    found, _, _ = search.fit_search(
+        pipe, {"reg": (lr.regParam, search.Range(1e-4, 10.0, log=True)), "mix": (lr.elasticNetParam, search.Range(0.0, 1.0))},
+        x.filter(F.col("dataset") == "train"), x.filter(F.col("dataset") == "validation"), rounds=2, width=4, eta=4, steps=2)
+    return model.score(found, x.filter(F.col("dataset") == "test")).select(
+        "obs_id", "TIME_GAP", "prediction", "TIME_GAP_ESTIMATE")
+
+
 HOLD_LEVELS = [["BUSROUTE_ID", "BUSSTOP_ID"], ["BUSROUTE_ID"], []]
 
 
