@@ -47,6 +47,7 @@ DOUBLE_COLUMNS = {
     'stream_window_means': ['mean_time_gap'],
     'time_profile': ['mean', 'moving_mean'],
     'to_minutes': ['TIME_GAP_MIN'],
+    'token_features': ['h0', 'h1', 'h2', 'h3'],
     'weighted_mse': ['weighted_mse'],
     'weights': ['w_travel', 'w_route_feat', 'w_route', 'w_legacy', 'w_data_type', 'w_target'],
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripframe.functions import clock, features, featuresets
 from tripframe.functions.hashing import md5_mod
-from tripframe.functions.text import composite_key
+from tripframe.functions.text import composite_key, hashed_tokens
 from tripframe.operators import clean, encode, splits
 from tripframe.operators.positions import attach_scalars
 from tripframe.plans import sqlparts as P
@@ -348,6 +348,46 @@ def q_token_hash(spark, sf_dir):
     return tf.select("p_partkey", vector_to_array("_tf").alias("token_features"))
 
 
+_MUL = "CAST(({a})::HUGEINT * {c} % 4294967296 AS BIGINT)"
+_ROT = "((({a}) << {n}) % 4294967296 | (({a}) >> {m}))"
+
+
+def _scramble_sql(k: str) -> str:
+    t = _MUL.format(a=k, c=0xCC9E2D51)
+    return _MUL.format(a=_ROT.format(a=t, n=15, m=17), c=0x1B873593)
+
+
+# 32-bit MurmurHash3 (public algorithm) of every word, block by block.
+TOKEN_SQL = f"""
+w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '\\b\\w\\w+\\b')) AS t FROM part),
+b AS (SELECT DISTINCT t, strlen(t) AS n, list_transform(range(strlen(t)), lambda i: CAST(ascii(t[i + 1]) AS BIGINT)) AS c FROM w),
+k AS (SELECT t, n, list_transform(range(n // 4 + 1), lambda j: list_sum(list_transform(range(4),
+        lambda i: coalesce(c[4 * j + i + 1], 0) * CAST(256 ** i AS BIGINT)))::BIGINT) AS words FROM b),
+s AS (SELECT t, n, list_transform(words, lambda k: {_scramble_sql('k')}) AS mixed FROM k),
+r AS (SELECT t, n, mixed[-1] AS last, list_reduce(list_prepend(0::BIGINT, mixed[:-2]),
+        lambda h, x: ({_ROT.format(a='xor(h, x)', n=13, m=19)} * 5 + 3864292196) % 4294967296) AS h FROM s),
+f1 AS (SELECT t, xor(xor(h, last), n) AS h FROM r),
+f2 AS (SELECT t, {_MUL.format(a='xor(h, h >> 16)', c=0x85EBCA6B)} AS h FROM f1),
+f3 AS (SELECT t, {_MUL.format(a='xor(h, h >> 13)', c=0xC2B2AE35)} AS h FROM f2),
+f4 AS (SELECT t, xor(h, h >> 16) AS h FROM f3),
+p AS (SELECT t, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 4 AS place FROM f4),
+n AS (SELECT p_partkey, count(*) FILTER (WHERE place = 0) AS c0, count(*) FILTER (WHERE place = 1) AS c1,
+             count(*) FILTER (WHERE place = 2) AS c2, count(*) FILTER (WHERE place = 3) AS c3
+      FROM w JOIN p USING (t) GROUP BY 1)"""
+
+
+@query("token_features", "WITH " + TOKEN_SQL.strip() + """
+SELECT part.p_partkey, coalesce(c0 / sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3), 0.0)::DOUBLE AS h0,
+       coalesce(c1 / sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3), 0.0)::DOUBLE AS h1,
+       coalesce(c2 / sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3), 0.0)::DOUBLE AS h2,
+       coalesce(c3 / sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3), 0.0)::DOUBLE AS h3
+FROM part LEFT JOIN n USING (p_partkey)""")
+def q_token_features(spark, sf_dir):
+    """part names hashed to 4 features by the source's token hash, scaled to length 1."""
+    x = A.table(spark, sf_dir, "part").select("p_partkey", hashed_tokens(F.col("p_name"), 4).alias("_f"))
+    return x.select("p_partkey", *[F.col("_f")[i].alias(f"h{i}") for i in range(4)])
+
+
 @query("clip_zero", with_views(TRAVEL_OBS, "m AS (SELECT avg(TIME_GAP) AS mu FROM obs)") + """
 SELECT obs_id, TIME_GAP - mu AS centred, greatest(TIME_GAP - mu, 0.0) AS clipped FROM obs, m""")
 def q_clip_zero(spark, sf_dir):
