@@ -373,6 +373,6 @@ def test_bloom_has_no_false_negatives(spark):
 def test_queries_match_sql(spark, name):
     from tripframe.plans.check import compare
     con = duckdb.connect()
-    for t in ("embeddings", "pages", "documents"):
+    for t in ("embeddings", "pages", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     assert compare(catalog.QUERIES[name](spark, SF_SMALL).toPandas(), con.sql(catalog.ORACLE[name]).df()) is None

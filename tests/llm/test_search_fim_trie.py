@@ -5,17 +5,14 @@ import re
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF_SMALL
 from llm_help import frame, vectors  # noqa: F401 - fixtures
-from tripframe.llm import catalog, crosspoly, fim, prefix_trie
+from tripframe.llm import crosspoly, fim, prefix_trie
 
 
 
@@ -247,15 +244,3 @@ def test_waiting_totals_spill():
         q.put(e)
     assert [q.take() for _ in range(500)] == sorted(entries)
     assert q.least() is None
-
-
-@pytest.mark.parametrize("name", ["op12_fill_in_middle", "op13_prefix_trie"])
-def test_sql_agrees(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
-    got = catalog.QUERIES[name](spark, SF_SMALL)
-    rel = con.sql(catalog.ORACLE[name])
-    assert sorted(rel.columns) == sorted(got.columns)
-    want = sorted(rel.select(*got.columns).fetchall(), key=str)
-    assert sorted([tuple(r) for r in got.collect()], key=str) == want
