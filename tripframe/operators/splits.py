@@ -18,6 +18,7 @@ from tripframe.functions import clock
 from tripframe.functions.hashing import seeded_hash
 from tripframe.operators import positions
 from tripframe.operators.positions import nullsafe_join
+from tripframe.sources.files import stage_table
 
 TRAIN, VAL, TEST = "train", "validation", "test"
 DATASET = "dataset"
@@ -202,15 +203,18 @@ def singleton_split(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
 def date_split(df: DataFrame, date_col: str = "COLLECT_DATE", train: float = 0.7,
                val: float = 0.15) -> DataFrame:
     """Distinct dates in order; first int(.7k) dates train, next int(.15k)
-    validation, the rest test. The column is cut to its first ten characters
-    and parsed first, so all times of a day land in one set; rows without a
-    date land in none. Spark broadcasts the date table only if it is small."""
-    day = clock.date_text(date_col)
-    dates = df.select(day.alias("_d")).filter(F.col("_d").isNotNull()).distinct()
+    validation, the rest test. The column is cut to its first ten characters, so
+    all times of a day land in one set; only the distinct cut texts are parsed, and
+    rows meet their set by the text. Rows without a date land in none. Spark
+    broadcasts the table of texts only if it is small."""
+    cut = F.substring(F.col(date_col).cast("string"), 1, 10)
+    texts = df.select(cut.alias("_t")).filter("_t is not null").distinct()
+    days = stage_table(texts.withColumn("_d", clock.date_text("_t")).filter("_d is not null"), "split_days")
     labelled = positions.assign_by_cuts(
-        dates, [], ["_d"], _ratio_cuts(train, val),
+        days.select("_d").distinct(), [], ["_d"], _ratio_cuts(train, val),
         [TRAIN, VAL, TEST], DATASET)
-    return df.withColumn("_day", day).join(labelled, F.col("_day") == F.col("_d"), "inner").drop("_d", "_day")
+    sets = days.join(labelled, "_d").select("_t", DATASET)
+    return df.withColumn("_cut", cut).join(sets, F.col("_cut") == F.col("_t"), "inner").drop("_cut", "_t")
 
 
 def split_report(df: DataFrame, col: str = DATASET) -> DataFrame:
