@@ -1,5 +1,6 @@
 """Command line for the source project's script stages, on your own files.
 
+    python -m tripframe.cli concat        --input raw_csv_dir --output dir [--audit audit_dir]
     python -m tripframe.cli clean-travel  --input raw_csv_dir --output clean_dir [--audit audit_dir]
     python -m tripframe.cli clean-holding --input raw_csv_dir --output clean_dir
     python -m tripframe.cli outliers      --input dir --columns TIME_GAP,SPEED --output dir
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from tripframe import schema as S
 from tripframe.operators import clean, densify, evaluate, outliers, positions, profile, splits
-from tripframe.sources import files
+from tripframe.sources import concat, files
 from tripframe.session import get_spark
 
 
@@ -71,7 +72,7 @@ def _write(df: DataFrame, path: str, fmt: str, partition_by: str | None = None)
 
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="tripframe")
-    ap.add_argument("stage", choices=["clean-travel", "clean-holding", "outliers", "split",
+    ap.add_argument("stage", choices=["concat", "clean-travel", "clean-holding", "outliers", "split",
                                       "densify", "profile", "compare"])
     ap.add_argument("--input", required=True)
     ap.add_argument("--output", required=True)
@@ -88,7 +89,12 @@ def main(argv=None) -> int:
     cols = [c for c in a.columns.split(",") if c]
     keys = [c for c in a.keys.split(",") if c]
 
-    if a.stage == "clean-travel":
+    if a.stage == "concat":
+        schema = _raw_schema(S.TRAVEL_OBS)
+        audit = concat.concat(spark, a.input, a.output, schema, fmt=a.out_format, optional=schema.fieldNames())
+        if a.audit:
+            _write(audit, a.audit, a.out_format)
+    elif a.stage == "clean-travel":
         df = _read(spark, a.input, a.format, S.TRAVEL_OBS)
         df = clean.drop_blank(df, ["BUSINFOUNIT_ID", "DEP_TIME"])
         _write(clean.travel_quality(df), a.output, a.out_format)

@@ -74,6 +74,13 @@ def describe_all(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.max("_c").alias("freq"))
 
 
+def describe_mixed(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
+    """One row per column of both kinds: ``count``; mean, sample std, min, quartiles
+    and max of numeric columns; unique, top and freq of the others (null elsewhere)."""
+    num, other = describe_num(df, numeric), describe_all(df, text)
+    return num.unionByName(other, allowMissingColumns=True)
+
+
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """E5: nulls per column, only columns with at least one."""
     cols = list(cols or df.columns)
@@ -90,11 +97,17 @@ def class_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair, long form, one pass."""
+    """Pearson correlation of every column pair, long form, one pass. A constant
+    column correlates with nothing, itself included (null)."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-                   for a, b in pairs])
+    # Not F.corr: it divides by zero on constant columns in ANSI mode.
+    def spread(x, y):
+        return F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x).cast("double")))
+
+    row = df.agg(*[F.try_divide(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")),
+                                spread(a, b) * spread(b, a)).alias(f"{a}|{b}") for a, b in pairs],
+                 *[F.stddev_pop(F.col(a).cast("double")).alias(f"{a}|") for a in cols])
     items = []
     for a, b in pairs:
         v = F.col(f"`{a}|{b}`")
@@ -102,7 +115,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         items.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr")))
     for a in cols:
         items.append(F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"),
-                              F.lit(1.0).alias("corr")))
+                              F.when(F.col(f"`{a}|`") > 0, F.lit(1.0)).alias("corr")))
     return row.select(F.explode(F.array(*items)).alias("_c")).select("_c.*")
 
 

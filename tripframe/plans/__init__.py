@@ -13,6 +13,7 @@ def load_all():
         q_features,
         q_sequence,
         q_model,
+        q_assembly,
         q_io,
     )
     return QUERIES, ORACLE

@@ -24,7 +24,7 @@ from tripframe.plans.q_outliers import OBS_TG_BOUNDS
 from tripframe.plans.sqlviews import TRAVEL_OBS, with_views
 from tripframe.session import ensure_checkpoint_dir
 from tripframe.sources import adapters as A
-from tripframe.sources import files
+from tripframe.sources import concat, files
 from tripframe.streaming import live
 
 
@@ -73,6 +73,48 @@ def q_file_audit(spark, sf_dir):
                                             F.sum("rows_kept").alias("rows_kept"))
 
 
+STEP_SOURCE = """
+src AS (SELECT DAY_TYPE, BUSROUTE_ID, BUSINFOUNIT_ID, LEN, DEP_TIME, CASE WHEN obs_id % 11 = 0 THEN NULL ELSE TIME_GAP END AS TIME_GAP,
+               SPEED FROM obs)"""
+
+
+def _with_gaps(spark, sf_dir, path):
+    """Observations with some missing TIME_GAPs (and the SPEEDs that can't be computed)
+    written as CSV, one folder per day type."""
+    obs = A.travel_obs(spark, sf_dir).select(
+        "DAY_TYPE", "BUSROUTE_ID", "BUSINFOUNIT_ID", "LEN", "DEP_TIME",
+        F.when(F.col("obs_id") % 11 != 0, F.col("TIME_GAP")).alias("TIME_GAP"), "SPEED")
+    obs.write.mode("overwrite").partitionBy("DAY_TYPE").option("header", True).csv(path)
+
+
+CONCAT = T.StructType([S.TRAVEL_OBS[c] for c in ("BUSROUTE_ID", "BUSINFOUNIT_ID", "LEN", "DEP_TIME", "TIME_GAP", "SPEED",
+                                                 "DAY_TYPE")])
+
+
+@query("concat_audit", with_views(TRAVEL_OBS, STEP_SOURCE) + """
+SELECT DAY_TYPE, count(*) AS rows_read, count(*) FILTER (WHERE SPEED IS NULL) AS "dropped_SPEED",
+       count(*) FILTER (WHERE SPEED IS NOT NULL AND TIME_GAP IS NULL) AS "dropped_TIME_GAP",
+       count(*) FILTER (WHERE SPEED IS NOT NULL AND TIME_GAP IS NOT NULL) AS rows_kept FROM src GROUP BY 1""")
+def q_concat_audit(spark, sf_dir):
+    """A5: rows that each step drops, counted over the marked rows (here per folder, as
+    file names differ from run to run)."""
+    path = scratch(spark, "concat_in")
+    _with_gaps(spark, sf_dir, path)
+    marked = concat.read_marked(spark, path, CONCAT, ["SPEED", "TIME_GAP"])
+    return concat.step_audit(marked, ["SPEED", "TIME_GAP"], by=["DAY_TYPE"])
+
+
+@query("concat_sorted", with_views(TRAVEL_OBS, STEP_SOURCE) + """
+SELECT DISTINCT * FROM src WHERE SPEED IS NOT NULL AND TIME_GAP IS NOT NULL""")
+def q_concat_sorted(spark, sf_dir):
+    """A4 + A5 + B3 + B5 + B9 + A8: a folder stacked, audited, cleaned, made distinct,
+    ordered and written; the written files read back."""
+    path, out = scratch(spark, "concat_in"), scratch(spark, "concat_out")
+    _with_gaps(spark, sf_dir, path)
+    concat.concat(spark, path, out, CONCAT)
+    return files.read_typed_csv(spark, out, CONCAT)
+
+
 @query("csv_roundtrip", with_views(TRAVEL_OBS) + f"SELECT {P.TRAVEL_COLS} FROM obs")
 def q_csv_roundtrip(spark, sf_dir):
     """Header CSV sink read back with the declared T1 schema."""

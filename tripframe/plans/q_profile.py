@@ -61,6 +61,16 @@ def q_describe_all(spark, sf_dir):
     return profile.describe_all(A.travel_obs(spark, sf_dir), ["BUSROUTE_ID", "DATA_TYPE", "DEP_TIME"])
 
 
+@query("describe_mixed", with_views(LINE_OBS) + """
+, d AS (""" + "\nUNION ALL ".join(DESCRIBE_ONE.format(c=c) for c in ("TIME_GAP", "LEN")) + """),
+t AS (""" + "\nUNION ALL ".join(DESCRIBE_ALL_ONE.format(c=c).replace("FROM obs", "FROM lobs")
+                                for c in ("BUSROUTE_ID", "FLAG", "COLLECT_DATE")) + """)
+SELECT * FROM d UNION ALL BY NAME SELECT * FROM t""")
+def q_describe_mixed(spark, sf_dir):
+    """Numeric and text columns in one summary (describe of all columns)."""
+    return profile.describe_mixed(A.line_obs(spark, sf_dir), ["TIME_GAP", "LEN"], ["BUSROUTE_ID", "FLAG", "COLLECT_DATE"])
+
+
 @query("missing", with_views(TRAVEL_OBS, SPARSE_SQL) + """
 SELECT * FROM (
   SELECT 'obs_id' AS "column", count(*) FILTER (WHERE obs_id IS NULL) AS missing FROM sparse
