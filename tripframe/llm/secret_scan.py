@@ -111,6 +111,17 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What spans cover, as apart intervals in order."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted((s, e) for _, s, e in spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans ``(kind, start, end)`` of a text in code points, by start,
     then kind as listed in ``KINDS``."""
@@ -121,18 +132,23 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     more = []
-    taken = sorted(base, key=lambda b: b[1:])
+    taken = _joined(base)
+    at = 0                          # both lists are in order: one sweep over each
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if any(a.fullmatch(run) for a in ALLOW):
             continue
         for s, e in entropy_spans(run):
             s, e = s + m.start(), e + m.start()
-            for _, x, y in taken:               # parts outside base spans
-                if s < y and x < e:
-                    if s < x:
-                        more.append(("entropy", s, x))
-                    s = max(s, y)
+            while at < len(taken) and taken[at][1] <= s:
+                at += 1
+            i = at
+            while i < len(taken) and taken[i][0] < e:      # parts outside base spans
+                x, y = taken[i]
+                if s < x:
+                    more.append(("entropy", s, x))
+                s = max(s, y)
+                i += 1
             if s < e:
                 more.append(("entropy", s, e))
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
