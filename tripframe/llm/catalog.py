@@ -59,7 +59,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, C.table(spark, sf_dir, "labels"))
     got = toxicity.score(docs, model)
-    return got.select("doc_id", (toxicity.crc_fold(F.col("doc_id")) == 0).alias("held_out"),
+    return got.select("doc_id", F.coalesce(toxicity.crc_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
                       "score", "predicted")
 
 

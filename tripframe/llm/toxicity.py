@@ -5,7 +5,7 @@
   letters, digits and signs that stand for letters become them (``1d10t``).
 * Lexicon: words and word stems (a stem matches at the start of a word), each
   with a weight: the smoothed log-odds of the label among labelled training
-  texts with the entry. An entry needs ``MIN_DOCS`` toxic texts and a lower
+  texts with the entry; the ``MAX_ENTRIES`` entries of most toxic texts stay. An entry needs ``MIN_DOCS`` toxic texts and a lower
   confidence bound of its share above ``MIN_SHARE``; of entries with the same
   texts the longest counts, and entries that a shorter one covers are dropped.
 * Exception phrases take precedence: an entry inside an exception phrase of
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -147,10 +148,18 @@ class Matcher:
         hits = [(end - n + 1, end + 1, w) for end, (n, w) in self.auto.iter(t)]
         if not hits:
             return 0.0, 0.0
-        free = [(s, e) for s, e, w in hits if w is None]
+        starts, reach = [], []                 # exceptions by start, and how far they reach so far
+        for s, e in sorted((s, e) for s, e, w in hits if w is None):
+            starts.append(s)
+            reach.append(max(e, reach[-1]) if reach else e)
+
+        def harmless(s: int, e: int) -> bool:
+            i = bisect_right(starts, s)
+            return i > 0 and reach[i - 1] >= e
+
         best: dict[int, float] = {}            # one entry per word: the heaviest
         for s, e, w in hits:
-            if w is not None and not any(x <= s and e <= y for x, y in free):
+            if w is not None and not harmless(s, e):
                 best[s] = max(w, best.get(s, w))
         total = sum(best.values())
         return math.log1p(max(0.0, total)), total / math.sqrt(max(1, t.count(" ") - 1))
@@ -242,9 +251,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
                                            pa.array([x for _, x in f], pa.float64())], names=["a", "b"])
 
     c0, c1, c2 = model.coef
-    out = docs.withColumn("_tox", both(C.column(text).cast("string")))
-    z = F.lit(c0) + F.lit(c1) * F.col("_tox.a") + F.lit(c2) * F.col("_tox.b")
-    return out.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("_tox")
+    own = "_tox"
+    while own in docs.columns:
+        own += "_"
+    out = docs.withColumn(own, both(C.column(text).cast("string")))
+    z = F.lit(c0) + F.lit(c1) * F.col(f"{own}.a") + F.lit(c2) * F.col(f"{own}.b")
+    return out.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop(own)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
