@@ -27,7 +27,6 @@ an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,60 +73,79 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
 def route(patterns: Sequence[tuple[tuple, int]], quota: dict, passes: int = PASSES
           ) -> list[dict]:
     """Min-cost flow from patterns (members, words) to quotas: for each
-    pattern, words per source. Successive shortest paths with potentials."""
+    pattern, words per source.
+
+    A word costs the number of passes before its own, so a path's cost is that of the pass
+    it starts with, and a shortest path never runs back into the start. All paths of
+    one cost are therefore one maximal flow: one run of blocking flows per pass."""
     src, dst = 0, 1
     names = sorted(quota, key=lambda s: (s is None, s or ""))
     at = {s: 2 + len(patterns) + i for i, s in enumerate(names)}
     size = 2 + len(patterns) + len(names)
     to: list[int] = []
     cap: list[int] = []
-    cost: list[int] = []
     out: list[list[int]] = [[] for _ in range(size)]
 
-    def edge(a: int, b: int, c: int, w: int) -> int:
-        for x, y, k, v in ((a, b, c, w), (b, a, 0, -w)):
+    def edge(a: int, b: int, c: int) -> int:
+        for x, y, k in ((a, b, c), (b, a, 0)):
             out[x].append(len(to))
             to.append(y)
             cap.append(k)
-            cost.append(v)
         return len(to) - 2
 
-    carry = []
+    start, carry = [], []
     for i, (members, words) in enumerate(patterns):
-        for p in range(passes):
-            edge(src, 2 + i, words, p)
-        carry.append({s: edge(2 + i, at[s], passes * words, 0) for s in dict.fromkeys(members)})
+        start.append(edge(src, 2 + i, 0))
+        carry.append({s: edge(2 + i, at[s], passes * words) for s in dict.fromkeys(members)})
     for s in names:
-        edge(at[s], dst, round(quota[s]), 0)
-    pot = [0] * size
-    while True:
-        dist: list[float] = [float("inf")] * size
-        via = [-1] * size
-        dist[src] = 0
-        heap = [(0, src)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > dist[a]:
-                continue
-            for e in out[a]:
-                nd = d + cost[e] + pot[a] - pot[to[e]]
-                if cap[e] > 0 and nd < dist[to[e]]:
-                    dist[to[e]], via[to[e]] = nd, e
-                    heapq.heappush(heap, (nd, to[e]))
-        if via[dst] < 0:
-            break
-        pot = [p + (d if d < float("inf") else 0) for p, d in zip(pot, dist)]
-        path, a = [], dst
-        while a != src:
-            path.append(via[a])
-            a = to[via[a] ^ 1]
-        move = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= move
-            cap[e ^ 1] += move
+        edge(at[s], dst, round(quota[s]))
+    for _ in range(passes):
+        for e, (_, words) in zip(start, patterns):
+            cap[e] += words
+        while _blocking_flow(out, to, cap, src, dst):
+            pass
     return [{s: cap[e ^ 1] for s, e in c.items() if cap[e ^ 1] > 0} for c in carry]
 
 
+def _blocking_flow(out: list[list[int]], to: list[int], cap: list[int], src: int, dst: int) -> bool:
+    """Fills every shortest path (by edges) with room; False if there is none."""
+    level = [-1] * len(out)
+    level[src] = 0
+    line = [src]
+    for a in line:
+        for e in out[a]:
+            if cap[e] > 0 and level[to[e]] < 0:
+                level[to[e]] = level[a] + 1
+                line.append(to[e])
+    if level[dst] < 0:
+        return False
+    tried = [0] * len(out)
+    path: list[int] = []
+    a = src
+    while True:
+        if a == dst:
+            move = min(cap[e] for e in path)
+            for e in path:
+                cap[e] -= move
+                cap[e ^ 1] += move
+            full = next(i for i, e in enumerate(path) if not cap[e])
+            a = to[path[full] ^ 1]
+            del path[full:]
+        while tried[a] < len(out[a]):
+            e = out[a][tried[a]]
+            if cap[e] > 0 and level[to[e]] == level[a] + 1:
+                break
+            tried[a] += 1
+        if tried[a] < len(out[a]):
+            path.append(out[a][tried[a]])
+            a = to[path[-1]]
+        elif a == src:
+            return True
+        else:
+            a = to[path.pop() ^ 1]
+            tried[a] += 1
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
         passes: int = PASSES, seed: int = SEED, max_patterns: int = 100_000,
         key: str = "doc_id", members: str = "members", size: str = "size") -> DataFrame:
