@@ -34,6 +34,7 @@ from tripframe.llm import common as C
 
 WORDS = 8
 BITS_PER_URL = 16
+SPREAD = 4096
 #: (host, path, allow): fixed values of the stated rules.
 RULES = (
     ("org", "/", True),
@@ -106,11 +107,10 @@ def possible(pages: DataFrame, listed: DataFrame, bits_per_url: int = BITS_PER_U
     n = listed.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * bits_per_url / (32 * WORDS)))
                    .cast("long").alias("n")).scalar()
     block, masks = _place(F.col("canon"), n)
-    probe = (pages.filter(F.col("canon").isNotNull()).select("canon").distinct()
-             .select("canon", block.alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(masks)]))
-    hit = reduce(lambda a, b: a & b,
-                 [F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)])
-    return probe.join(bloom(listed, bits_per_url), "block").filter(hit).select("canon")
+    probe = pages.filter(F.col("canon").isNotNull()).select("canon", block.alias("block"))
+    hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(masks)])
+    # Only what passes is made distinct: the filter thins out the pages first.
+    return probe.join(bloom(listed, bits_per_url), "block").filter(hit).select("canon").distinct()
 
 
 def judge(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url",
@@ -122,8 +122,11 @@ def judge(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
     names = (listed.select(canonical(C.column(listed_url).cast("string")).alias("canon"))
              .filter(F.col("canon").isNotNull()).distinct())
     exact = (possible(rows, names, bits_per_url).join(names, "canon", "left_semi")
-             .withColumn("_hit", F.lit(True)))
-    return (rows.join(exact, "canon", "left")
+             .select(F.col("canon").alias("_canon"), F.lit(0).alias("_spread"), F.lit(True).alias("_hit")))
+    # Pages without a canonical URL meet nothing; spread, so that they don't share one key.
+    spread = F.when(F.col("canon").isNull(), 1 + F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD))).otherwise(0).cast("int")
+    near = (F.coalesce(F.col("canon"), F.lit("")) == F.col("_canon")) & (spread == F.col("_spread"))
+    return (rows.join(exact, near, "left")
             .select("page_id", "url", "canon", F.coalesce("_hit", F.lit(False)).alias("listed")))
 
 
