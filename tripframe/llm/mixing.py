@@ -148,18 +148,23 @@ def _blocking_flow(out: list[list[int]], to: list[int], cap: list[int], src: int
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
         passes: int = PASSES, seed: int = SEED, max_patterns: int = 100_000,
-        key: str = "doc_id", members: str = "members", size: str = "size") -> DataFrame:
+        key: str = "doc_id", members: str = "members", size: str = "size",
+        row: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, members, size, passes_taken`` (how many
     times the mix takes it), ``taken`` (words, repeats counted), ``charged`` (the
     source charged for each pass). ``members`` is an array of source names
-    (null or empty: the null source alone)."""
+    (null or empty: the null source alone). ``row`` names a column that is unique
+    per row: it comes back as ``row`` and tells rows of one id, or of none, apart
+    (rows without an id are then ordered by it)."""
     spark = docs.sparkSession
     member = F.array_sort(F.array_distinct(C.column(members)))
     none = F.array(F.lit(None).cast("string"))
     rows = C.stage(docs.select(
         C.column(key).cast("long").alias("doc_id"),
         F.when(F.coalesce(F.size(member), F.lit(0)) > 0, member).otherwise(none).alias("members"),
-        C.column(size).cast("long").alias("size")), "mix-sizes")
+        C.column(size).cast("long").alias("size"),
+        *([C.column(row).cast("long").alias("row")] if row else [])), "mix-sizes")
+    own = ["row"] if row else []
     got = (rows.groupBy("members").agg(F.sum("size").alias("words"))
            .limit(max_patterns + 1).collect())
     if len(got) > max_patterns:
@@ -181,19 +186,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         plan.append((list(m), n, at, cuts))
     sizes = spark.createDataFrame(
         plan, "members array<string>, words long, flow long, cuts array<struct<upto long, source string>>")
-    order = F.xxhash64("doc_id", F.lit(seed))
+    order = F.xxhash64(F.coalesce("doc_id", *own), F.lit(seed))
     rows = rows.withColumns({"_h": order, "_r": F.shiftrightunsigned(order, 64 - RANGES.bit_length() + 1)})
     ranges = rows.groupBy("members", "_r").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("members").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("members", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # At most max_patterns rows of plan and RANGES rows a pattern; Spark checks
     # their size before it broadcasts either.
-    inside = (Window.partitionBy("members", "_r").orderBy("_h", "doc_id", "size")
+    inside = (Window.partitionBy("members", "_r").orderBy("_h", "doc_id", "size", *own)
               .rowsBetween(Window.unboundedPreceding, -1))
     x = (rows.join(ranges.join(sizes, "members"), ["members", "_r"])
          .withColumn("_at", F.col("_off") + F.coalesce(F.sum("size").over(inside), F.lit(0))))
     start = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: p * F.col("words") + F.col("_at"))
-    x = C.stage(x.select("doc_id", "members", "size", "_h", "_at", "flow", "cuts", start.alias("_starts")),
+    x = C.stage(x.select("doc_id", *own, "members", "size", "_h", "_at", "flow", "cuts", start.alias("_starts")),
                 "mix-lines").filter("true")
     size_, flow_ = F.col("size"), F.col("flow")
     inside = F.filter("_starts", lambda a: (size_ > 0) & (a + size_ <= flow_))
@@ -210,14 +215,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     extra = F.coalesce((F.col("_at") == F.col("_last")) & (size_ > 0), F.lit(False))
     took = F.when(extra, F.concat(inside, F.array(flow_ - 1))).otherwise(inside)
     charged = F.transform(took, lambda a: F.filter("cuts", lambda c: a < c["upto"])[0]["source"])
-    return x.select("doc_id", "members", "size", F.size(took).alias("passes_taken"),
+    return x.select("doc_id", *own, "members", "size", F.size(took).alias("passes_taken"),
                     (F.size(took) * size_).cast("long").alias("taken"), charged.alias("charged"))
 
 
-def of_source(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source"
-              ) -> DataFrame:
-    """Input of ``mix`` for documents that name one source each."""
+def of_source(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+              row: str | None = None) -> DataFrame:
+    """Input of ``mix`` for documents that name one source each (``row`` comes as ``row``)."""
     return docs.select(C.column(key).cast("long").alias("doc_id"),
+                       *([C.column(row).alias("row")] if row else []),
                        F.array(C.column(source).cast("string")).alias("members"),
                        word_count(C.column(text)).alias("size"))
 
