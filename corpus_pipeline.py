@@ -5,8 +5,8 @@ and returns a DataFrame, which is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of ``documents``.
 An empty table stays empty. Null and empty texts and null ids pass through the first
 three stages; the mix takes no document of size 0, so null, empty and blank texts end
-there. Rows that repeat an id count as one document in the join and are taken as often as
-the most taken of them in the mix; rows without an id are kept by the join.
+there. Rows that repeat an id count as one document in the join; rows without an id are
+kept by it. The mix takes each row by itself, whatever its id.
 """
 
 from __future__ import annotations
@@ -59,10 +59,13 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the documents to target weights of their sources: each as
     often as the mix takes it (never, once or twice)."""
-    taken = mixing.mix(mixing.of_source(docs)).filter("passes_taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes_taken").alias("_times"))
-    # Dealt by id at every size, so texts of small and large inputs travel alike.
-    return (docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Rows are numbered once, in the shared folder: ids may be absent or repeat.
+    docs = C.stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()),
+                   "pipeline-rows")
+    taken = mixing.mix(mixing.of_source(docs, row="_row"), row="row").filter("passes_taken > 0")
+    times = taken.select(F.col("row").alias("_row"), F.col("passes_taken").alias("_times"))
+    # Dealt by row at every size, so texts of small and large inputs travel alike.
+    return (docs.join(times.hint("merge"), "_row")
             .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS))
 
 
