@@ -48,3 +48,23 @@ def test_empty_documents(spark, tmp_path):
 def test_run_is_registered(spark):
     import __spark_entry__ as E
     assert E.queries()["pipeline"](spark, SF_SMALL).count() > 0
+
+
+def test_mix_takes_rows_of_one_id_or_none_apart(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(None, f"word {i} " * (3 + i % 5), "en", "src0" if i % 2 else "src1", 1) for i in range(40)]
+        + [(7, f"other {i} " * (3 + i % 4), "en", "src0", 1) for i in range(41)]
+        + [(100 + i, f"plain {i} text", "en", "src1", 1) for i in range(30)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = P.mixed(spark, docs, SF_SMALL)
+    assert got.columns == COLUMNS
+    size = F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    words = {r.source: r.w for r in docs.groupBy("source").agg(F.sum(size).alias("w")).collect()}
+    from tripframe.llm import mixing
+    want = mixing.targets(sorted(words.items()), mixing.WEIGHTS, mixing.SHARE, mixing.PASSES)
+    took = {r.source: r.w for r in got.groupBy("source").agg(F.sum(size).alias("w")).collect()}
+    assert all(abs(took[s] - want[s]) <= 12 for s in words)
+    # Texts are distinct here: no row is taken more than twice.
+    assert got.groupBy("text").count().agg(F.max("count")).first()[0] <= mixing.PASSES
