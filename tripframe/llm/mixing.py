@@ -153,8 +153,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """One row per document: ``doc_id, members, size, passes_taken`` (how many
     times the mix takes it), ``taken`` (words, repeats counted), ``charged`` (the
     source charged for each pass). ``members`` is an array of source names
-    (null or empty: the null source alone). ``row`` names a column that is unique
-    per row: it comes back as ``row`` and tells rows of one id, or of none, apart
+    (null or empty: the null source alone). ``row`` names a column (of any type
+    that sorts) that is unique per row: it comes back as ``row`` and tells rows of one id, or of none, apart
     (rows without an id are then ordered by it)."""
     spark = docs.sparkSession
     member = F.array_sort(F.array_distinct(C.column(members)))
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         C.column(key).cast("long").alias("doc_id"),
         F.when(F.coalesce(F.size(member), F.lit(0)) > 0, member).otherwise(none).alias("members"),
         C.column(size).cast("long").alias("size"),
-        *([C.column(row).cast("long").alias("row")] if row else [])), "mix-sizes")
+        *([C.column(row).alias("row")] if row else [])), "mix-sizes")
     own = ["row"] if row else []
     got = (rows.groupBy("members").agg(F.sum("size").alias("words"))
            .limit(max_patterns + 1).collect())
@@ -186,7 +186,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         plan.append((list(m), n, at, cuts))
     sizes = spark.createDataFrame(
         plan, "members array<string>, words long, flow long, cuts array<struct<upto long, source string>>")
-    order = F.xxhash64(F.coalesce("doc_id", *own), F.lit(seed))
+    order = F.xxhash64("doc_id", F.lit(seed))
+    if row:
+        order = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(order)
     rows = rows.withColumns({"_h": order, "_r": F.shiftrightunsigned(order, 64 - RANGES.bit_length() + 1)})
     ranges = rows.groupBy("members", "_r").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("members").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
