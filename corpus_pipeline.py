@@ -12,6 +12,7 @@ kept by it. The mix takes each row by itself, whatever its id.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +57,23 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(*COLUMNS))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_row`` that rereading repeats, as ids may be absent or
+    repeat: the file and the place in it. Rows that don't come straight from files
+    are written to the shared folder with a number."""
+    try:
+        return docs.select(*COLUMNS, F.struct(
+            F.xxhash64("_metadata.file_path").alias("file"),
+            F.col("_metadata.row_index").alias("place")).alias("_row"))
+    except AnalysisException:
+        return C.stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")),
+                       "pipeline-rows")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the documents to target weights of their sources: each as
     often as the mix takes it (never, once or twice)."""
-    # Rows are numbered once, in the shared folder: ids may be absent or repeat.
-    docs = C.stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()),
-                   "pipeline-rows")
+    docs = numbered(docs)
     taken = mixing.mix(mixing.of_source(docs, row="_row"), row="row").filter("passes_taken > 0")
     times = taken.select(F.col("row").alias("_row"), F.col("passes_taken").alias("_times"))
     # Dealt by row at every size, so texts of small and large inputs travel alike.
