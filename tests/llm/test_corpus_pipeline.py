@@ -1,6 +1,7 @@
 """The pipeline's stages take effect and keep the columns of documents."""
 
 import corpus_pipeline as P
+import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 from tripframe.llm import secret_scan
@@ -50,14 +51,16 @@ def test_run_is_registered(spark):
     assert E.queries()["pipeline"](spark, SF_SMALL).count() > 0
 
 
-def test_mix_takes_rows_of_one_id_or_none_apart(spark, tmp_path):
+@pytest.mark.parametrize("stored", [True, False])
+def test_mix_takes_rows_of_one_id_or_none_apart(spark, tmp_path, stored):
     docs = spark.createDataFrame(
         [(None, f"word {i} " * (3 + i % 5), "en", "src0" if i % 2 else "src1", 1) for i in range(40)]
         + [(7, f"other {i} " * (3 + i % 4), "en", "src0", 1) for i in range(41)]
         + [(100 + i, f"plain {i} text", "en", "src1", 1) for i in range(30)],
         "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
+    if stored:
+        docs.write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
     got = P.mixed(spark, docs, SF_SMALL)
     assert got.columns == COLUMNS
     size = F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
