@@ -11,7 +11,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tripframe.functions import clock, features, featuresets
-from tripframe.operators import boosting, clean, encode, evaluate, model, search, splits
+from tripframe.operators import boosting, clean, encode, evaluate, factors, model, search, splits
 from tripframe.plans import sqlparts as P
 from tripframe.plans.q_splits import RATIO_CUTS, TVT, sql_assign
 from tripframe.plans.registry import query
@@ -352,6 +352,18 @@ def q_weighted_fit_score(spark, sf_dir):
         "obs_id", "TIME_GAP", "prediction", "TIME_GAP_ESTIMATE")
 
 
+@query("id_factor_fit_score")
+def q_id_factor_fit_score(spark, sf_dir):
+    """Dense features and two factors per hashed segment id, fitted with the distance
+    weights on train rows; test rows scored."""
+    x = _ml_frame(spark, sf_dir)
+    fit = factors.fit_id_factors(x.filter(F.col("dataset") == "train"), featuresets.TRAVEL_FEATURES,
+                                 "unit_hash", "TIME_GAP", weight="w")
+    scored = factors.score_id_factors(x.filter(F.col("dataset") == "test"), fit)
+    return scored.select("obs_id", "TIME_GAP", "prediction",
+                         F.bround("prediction", 0).cast("int").alias("TIME_GAP_ESTIMATE"))
+
+
 @query("tuned_fit_score")
 def q_tuned_fit_score(spark, sf_dir):
     """I4 + I5: parameter search on the validation set, best pipeline saved
@@ -388,8 +400,9 @@ def q_searched_fit_score(spark, sf_dir):
 HOLD_LEVELS = [["BUSROUTE_ID", "BUSSTOP_ID"], ["BUSROUTE_ID"], []]
 
 
-@query("banded_comparison_holding", with_views(HOLDING_OBS, "hs AS (" + sql_assign(
-    "hobs", [], 42, RATIO_CUTS, TVT) + ")", """
+@query("banded_comparison_holding", with_views(
+    HOLDING_OBS, "hz AS (SELECT * FROM hobs WHERE coalesce(TIME_GAP <> 0, true))", "hs AS (" + sql_assign(
+    "hz", [], 42, RATIO_CUTS, TVT) + ")", """
 h0 AS (SELECT BUSROUTE_ID, BUSSTOP_ID, avg(TIME_GAP) AS _m0 FROM hs WHERE dataset = 'train' GROUP BY ALL),
 h1 AS (SELECT BUSROUTE_ID, avg(TIME_GAP) AS _m1 FROM hs WHERE dataset = 'train' GROUP BY ALL),
 h2 AS (SELECT avg(TIME_GAP) AS _m2 FROM hs WHERE dataset = 'train'),
@@ -403,8 +416,9 @@ SELECT obs_id, band AS Category, CAST(TIME_GAP AS DOUBLE) AS Actual, prediction
         FROM hsc)) WHERE _pos < 20""")
 def q_banded_comparison_holding(spark, sf_dir):
     """I12 holding form: dwell-time bands <15 s, 15-30 s, >=30 s; model =
-    (route, stop) mean fit on the train split."""
-    s = files.stage_table(splits.random_split(A.holding_obs(spark, sf_dir)), "holding_split", "dataset")
+    (route, stop) mean fit on the zero-filtered (B1) train split."""
+    obs = clean.zero_filter(A.holding_obs(spark, sf_dir), ["TIME_GAP"])
+    s = files.stage_table(splits.random_split(obs), "holding_split", "dataset")
     fits = model.fit_group_mean(s.filter(F.col("dataset") == "train"), HOLD_LEVELS)
     test = s.filter(F.col("dataset") == "test").drop("dataset")
     sc = model.score_group_mean(test, fits, HOLD_LEVELS)
