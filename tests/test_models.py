@@ -149,3 +149,27 @@ def test_fit_search_finds_the_regularisation(spark):
                                              df.filter("obs_id % 3 > 0"), df.filter("obs_id % 3 = 0"), rounds=2, width=6)
     assert best["reg"] < 0.2 and fitted.stages[-1].coefficients[0] == pytest.approx(3, abs=0.3)
     assert {t.share for t in trials} == {1.0, 1 / 3, 1 / 9}
+
+
+@pytest.mark.parametrize("sizes", [(100, 40), (3, 3), (1, 1), (6,), (7,)])
+def test_fallback_moves_only_for_empty_sets(spark, sizes):
+    rows = [(i * 1000 + j, f"g{i}") for i, n in enumerate(sizes) for j in range(n)] + [(9 ** 6, None)]
+    df = spark.createDataFrame(rows, "obs_id long, g string")
+    plain = {r.obs_id: r.dataset for r in splits.stratified_split(df, ["g"]).collect()}
+    got = {r.obs_id: r.dataset for r in splits.stratified_split_fallback(df, ["g"]).collect()}
+    empty = [s for s in ("validation", "test") if s not in plain.values()]
+    assert splits._empty_sets(df, ["g"], 0.7, 0.15) == ("validation" in empty, "test" in empty)
+    if not empty:
+        assert got == plain and got[9 ** 6] == ""
+    else:
+        assert got[9 ** 6] == "test" and len(got) == len(rows)
+        moved = [i for i in got if got[i] != plain[i] and i != 9 ** 6]
+        assert all(plain[i] == "train" and got[i] in empty for i in moved)
+        n = sum(v == "train" for v in plain.values())
+        if empty == ["validation"]:
+            assert len(moved) == round(0.15 / 0.85 * n)
+
+
+def test_fallback_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "obs_id long, g string")
+    assert splits.stratified_split_fallback(df, ["g"]).count() == 0

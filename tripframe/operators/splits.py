@@ -79,42 +79,48 @@ def stratified_split(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
     return rest.unionByName(nulls)
 
 
-def _move_fraction(df: DataFrame, frac: float, active: Column, target: str,
-                   key: str, seed: int) -> DataFrame:
-    """Move round-half-even(frac * n_train) seeded-first train rows to ``target``
-    when ``active`` (a column of a one-row flag table) is true."""
+def _move_fraction(df: DataFrame, frac: float, target: str, key: str, seed: int) -> DataFrame:
+    """Move round-half-even(frac * n_train) seeded-first train rows to ``target``."""
     train = df.filter(F.col(DATASET) == TRAIN)
     other = df.filter(F.col(DATASET) != TRAIN)
 
     def cuts(n: Column) -> list[Column]:
-        return [F.when(active, F.bround(F.lit(float(frac)) * n, 0)).otherwise(F.lit(0.0))]
+        return [F.bround(F.lit(float(frac)) * n, 0)]
 
     moved = _assign(train.drop(DATASET), [], key, seed, cuts, [target, TRAIN])
     return moved.unionByName(other.select(*moved.columns))
 
 
+def _empty_sets(df: DataFrame, keys: Sequence[str], train: float, val: float) -> tuple[bool, bool]:
+    """Whether a stratified split leaves validation and test empty, from the sizes
+    of the strata alone: nothing is ordered or written for it."""
+    whole = df
+    for k in keys:
+        whole = whole.filter(F.col(k).isNotNull())
+    sizes = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    start, end = _ratio_cuts(train, val)(F.col("_n"))
+    got = sizes.agg(F.max(end - start), F.max(F.col("_n") - end)).first()
+    return not got[0], not got[1]
+
+
 def stratified_split_fallback(df: DataFrame, keys: Sequence[str], key: str = "obs_id",
                               seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """D2 + D3: if validation or test ended empty, unassigned rows go to test,
     then val/(1-val) of train moves to validation (if it was empty) and
     (1-train-val)/(1-train) of the remaining train to test (if it was empty).
 
-    The emptiness flags are a one-row aggregate joined lazily. Each pass is
-    checkpointed to the shared checkpoint folder (reliable, survives
-    executor loss) so later passes read it instead of re-running the
-    earlier ones."""
-    split = stratified_split(df, keys, key, seed, train, val).checkpoint()
-    flags = split.agg(
-        (F.count_if(F.col(DATASET) == VAL) == 0).alias("_val_empty"),
-        (F.count_if(F.col(DATASET) == TEST) == 0).alias("_test_empty"))
-    x = positions.attach_scalars(split, flags)
-    any_empty = F.col("_val_empty") | F.col("_test_empty")
-    x = x.withColumn(DATASET, F.when((F.col(DATASET) == "") & any_empty, F.lit(TEST))
-                     .otherwise(F.col(DATASET)))
-    x = _move_fraction(x, val / (1 - val), F.col("_val_empty"), VAL, key, seed + 1).checkpoint()
-    x = _move_fraction(x, (1 - train - val) / (1 - train), F.col("_test_empty"), TEST,
-                       key, seed + 2)
-    return x.drop("_val_empty", "_test_empty")
+    Which sets stay empty follows from the sizes of the strata, so a split that
+    needs no move is the plain one, and only the moves that are needed order the
+    train rows once more."""
+    val_empty, test_empty = _empty_sets(df, keys, train, val)
+    x = stratified_split(df, keys, key, seed, train, val)
+    if val_empty or test_empty:
+        x = x.withColumn(DATASET, F.when(F.col(DATASET) == "", F.lit(TEST)).otherwise(F.col(DATASET)))
+    if val_empty:
+        x = _move_fraction(x, val / (1 - val), VAL, key, seed + 1)
+    if test_empty:
+        x = _move_fraction(x, (1 - train - val) / (1 - train), TEST, key, seed + 2)
+    return x
 
 
 def time_group(hour: Column) -> Column:
