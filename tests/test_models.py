@@ -51,6 +51,17 @@ def test_timegroup_fallback_fills_the_empty_set(spark):
     assert {r.dataset for r in got} >= {"train", "validation", "test"}
 
 
+def test_holding_comparison_takes_all_observations(spark, tmp_path):
+    """Dwell times of 0 s are split, fitted and compared like all others."""
+    from tripframe.plans import load_all
+    rows = [(i, 1000 + i % 3, "stop", float(0 if i % 2 else 10)) for i in range(40)]
+    (spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+     .withColumn("ts", F.lit("2024-09-01 07:00:00").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet"))
+    queries, _ = load_all()
+    got = queries["banded_comparison_holding"](spark, str(tmp_path)).collect()
+    assert len(got) == 6 and any(r.Actual == 0 for r in got)
+
+
 def test_queries_without_the_optional_packages():
     """Hiding a package that only the training-data operators need hides only them."""
     code = ("import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; "

@@ -400,9 +400,8 @@ def q_searched_fit_score(spark, sf_dir):
 HOLD_LEVELS = [["BUSROUTE_ID", "BUSSTOP_ID"], ["BUSROUTE_ID"], []]
 
 
-@query("banded_comparison_holding", with_views(
-    HOLDING_OBS, "hz AS (SELECT * FROM hobs WHERE coalesce(TIME_GAP <> 0, true))", "hs AS (" + sql_assign(
-    "hz", [], 42, RATIO_CUTS, TVT) + ")", """
+@query("banded_comparison_holding", with_views(HOLDING_OBS, "hs AS (" + sql_assign(
+    "hobs", [], 42, RATIO_CUTS, TVT) + ")", """
 h0 AS (SELECT BUSROUTE_ID, BUSSTOP_ID, avg(TIME_GAP) AS _m0 FROM hs WHERE dataset = 'train' GROUP BY ALL),
 h1 AS (SELECT BUSROUTE_ID, avg(TIME_GAP) AS _m1 FROM hs WHERE dataset = 'train' GROUP BY ALL),
 h2 AS (SELECT avg(TIME_GAP) AS _m2 FROM hs WHERE dataset = 'train'),
@@ -416,9 +415,8 @@ SELECT obs_id, band AS Category, CAST(TIME_GAP AS DOUBLE) AS Actual, prediction
         FROM hsc)) WHERE _pos < 20""")
 def q_banded_comparison_holding(spark, sf_dir):
     """I12 holding form: dwell-time bands <15 s, 15-30 s, >=30 s; model =
-    (route, stop) mean fit on the zero-filtered (B1) train split."""
-    obs = clean.zero_filter(A.holding_obs(spark, sf_dir), ["TIME_GAP"])
-    s = files.stage_table(splits.random_split(obs), "holding_split", "dataset")
+    (route, stop) mean fit on the train split of all observations."""
+    s = files.stage_table(splits.random_split(A.holding_obs(spark, sf_dir)), "holding_split", "dataset")
     fits = model.fit_group_mean(s.filter(F.col("dataset") == "train"), HOLD_LEVELS)
     test = s.filter(F.col("dataset") == "test").drop("dataset")
     sc = model.score_group_mean(test, fits, HOLD_LEVELS)
