@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tripframe.functions import clock, features
-from tripframe.operators import clean, encode, evaluate, outliers, splits
+from tripframe.operators import clean, densify, encode, evaluate, outliers, splits
 from tripframe.plans import load_all
 from tripframe.sources import adapters
 
@@ -166,3 +166,46 @@ def test_csv_columns_by_name(spark, tmp_path):
     (tmp_path / "a" / "g.csv").write_text("ID,LEN,JUNK,DAY\n1,2,3,4\n")
     with pytest.raises(Exception):
         files.read_typed_csv(spark, paths[0], want).collect()
+
+
+def test_layouts_by_length_equal_trying_them_all(spark):
+    texts = ["07:05", "7:05", "07:05:09", "24:00", "07:61:00", "2024-09-01 07:05:09", "2024-09-01", "+12024-09-01 07:05:09",
+             "+12024-09-01", "2024-09-01 07:05", " 07:05", "", "n/a", "2024-13-01", "2024-09-01T07:05:09", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    day = "yyyy-MM-dd"
+
+    def tried(*layouts):
+        return F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in layouts]).cast("string")
+
+    got = df.select(clock.parse_clock("t").cast("string"), tried(*clock.DEP_TIME_FORMATS),
+                    clock.two_format_timestamp("t").cast("string"), tried("yyyy-MM-dd HH:mm:ss", day)).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] and [r[2] for r in got] == [r[3] for r in got]
+    assert sum(r[0] is not None for r in got) == 4
+
+
+def test_fallback_split_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dep(i):
+        seen.add(1)
+        return f"{i % 24:02d}:00:00"
+
+    df = spark.range(60).select(F.col("id").alias("obs_id"), (F.col("id") % 20).alias("k"),
+                                dep(F.col("id") % 20).alias("DEP_TIME"))
+    got = splits.timegroup_split(df, ["k"], fallback=True).groupBy("dataset").count().collect()
+    assert sum(r["count"] for r in got) == 60 and len(got) == 3
+    assert seen.value == 60
+
+
+def test_fill_minutes_shuffles_no_pairs(spark):
+    rows = [(1, "a", "07:00", 5, 2), (2, "a", "07:00:30", 6, 3), (3, "a", "12:00", 7, 4), (4, None, "07:02", 8, 5),
+            (5, None, None, 9, 6), (0, "b", "23:00", 1, 7)]
+    df = spark.createDataFrame(rows, "obs_id long, k string, DEP_TIME string, TIME_GAP int, D int")
+    slots = (("07:00", "07:02"), ("07:02", "07:03"))
+    got = densify.fill_minutes(df, ["k"], ["D"], {"TIME_GAP": -1}, slots=slots)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    grid = ["07:00", "07:01", "07:02", "07:03"]
+    want = [("a", 2, "07:00", 5), ("a", 3, "07:00:30", 6), (None, 5, "07:02", 8)]
+    want += [("a", 2, m, -1) for m in grid[1:]] + [(None, 5, m, -1) for m in grid if m != "07:02"] + [("b", 7, m, -1) for m in grid]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # The departure-time layouts seen in the source files.
 DEP_TIME_FORMATS = ("HH:mm", "HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
 
+# Length of the shortest string of a layout (years may have more than four digits).
+SHORTEST = {"yyyy-MM-dd HH:mm:ss": 19, "yyyy-MM-dd": 10}
+
 # The three inclusive service slots (lexicographic on HH:mm).
 TIME_SLOTS = (("07:00", "09:00"), ("13:00", "15:00"), ("18:00", "20:00"))
 
@@ -21,9 +24,16 @@ def _col(c) -> Column:
 
 
 def parse_clock(c) -> Column:
-    """Timestamp for a departure string in any known layout, else null."""
+    """Timestamp for a departure string in any known layout, else null. Hours to
+    seconds take two digits each and years at least four, so the length tells the one
+    layout that can fit: a failed parse raises inside Spark, which costs many times a
+    good one."""
     c = _col(c)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DEP_TIME_FORMATS])
+    n = F.length(c)
+    short, long, full = DEP_TIME_FORMATS
+    return (F.when(n == len(short), F.try_to_timestamp(c, F.lit(short)))
+             .when(n == len(long), F.try_to_timestamp(c, F.lit(long)))
+             .when(n >= len(full), F.try_to_timestamp(c, F.lit(full))))
 
 
 def hour_of(c) -> Column:
@@ -57,10 +67,11 @@ def clock_in_range(hh: Column, mm: Column, ss: Column) -> Column:
 
 def two_format_timestamp(c, full: str = "yyyy-MM-dd HH:mm:ss",
                          date_only: str = "yyyy-MM-dd") -> Column:
-    """Full layout, else date-only layout, else null."""
+    """Full layout, else date-only layout, else null (strings shorter than a
+    layout can't have it and are not tried)."""
     c = _col(c)
-    return F.coalesce(F.try_to_timestamp(c, F.lit(full)),
-                      F.try_to_timestamp(c, F.lit(date_only)))
+    return F.coalesce(*[F.when(F.length(c) >= SHORTEST.get(f, 0), F.try_to_timestamp(c, F.lit(f)))
+                        for f in (full, date_only)])
 
 
 def minute_text(c) -> Column:

@@ -111,7 +111,9 @@ def stratified_split_fallback(df: DataFrame, keys: Sequence[str], key: str = "ob
 
     Which sets stay empty follows from the sizes of the strata, so a split that
     needs no move is the plain one, and only the moves that are needed order the
-    train rows once more."""
+    train rows once more. The rows are written once beforehand, as the sizes, the
+    ranges and the split each read them."""
+    df = stage_table(df, "strata")
     val_empty, test_empty = _empty_sets(df, keys, train, val)
     x = stratified_split(df, keys, key, seed, train, val)
     if val_empty or test_empty:
@@ -137,9 +139,14 @@ def timegroup_split(df: DataFrame, keys: Sequence[str], time_col: str = "DEP_TIM
     """D2 with the departure time group as an extra key (intent of the
     source, whose ``%H:%M`` parse of ``HH:MM:SS`` would fail); with ``fallback``
     the source's D3 step follows where a set stayed empty."""
-    x = df.withColumn("time_group", time_group(clock.hour_of(time_col)))
-    split = stratified_split_fallback if fallback else stratified_split
-    return split(x, list(keys) + ["time_group"], key, seed)
+    # the hour is a column of its own, so it is parsed once and not once per bin edge;
+    # the split reads its rows several times, so they are written with their group first
+    x = (df.withColumn("_hour", clock.hour_of(time_col)).withColumn("time_group", time_group(F.col("_hour")))
+           .drop("_hour"))
+    keys = list(keys) + ["time_group"]
+    if fallback:
+        return stratified_split_fallback(x, keys, key, seed)
+    return stratified_split(stage_table(x, "time_groups"), keys, key, seed)
 
 
 def _count_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
