@@ -1,8 +1,9 @@
 """Minute-grid densification (H1-H4).
 
 The grid is tiny and bounded (at most 1440 minute labels) and is generated
-per id row with ``explode``; ids x grid is the output size itself. Missing (id, minute)
-pairs are found with an anti join instead of the source's per-pair scan.
+per id row with ``explode``; ids x grid is the output size itself. The minutes that an
+id has are gathered with its first row in one aggregate (at most a grid's worth per id),
+so the missing ones are made in place: no (id, minute) pair is shuffled to find them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ def grid_minutes(slots=clock.TIME_SLOTS) -> Column:
                                        for a, b in slots]))
 
 
+def grid_labels(slots=clock.TIME_SLOTS) -> list[str]:
+    """H1 as values: the ``HH:mm`` labels of the inclusive slots, each once."""
+    minutes = dict.fromkeys(m for a, b in slots for m in range(_mins(a), _mins(b) + 1))
+    return [f"{m // 60:02d}:{m % 60:02d}" for m in minutes]
+
+
 def minute_label(m: Column) -> Column:
     return F.format_string("%02d:%02d", (m / 60).cast("int"), (m % 60).cast("int"))
 
@@ -45,21 +52,17 @@ def fill_minutes(full: DataFrame, keys: Sequence[str], first_cols: Sequence[str]
     the ``fill`` literals (e.g. TIME_GAP -1, speed 0)."""
     keys = list(keys)
     keep_cols = list(keep_cols) if keep_cols else keys + list(first_cols) + [time_col] + list(fill)
-    observed = full.filter(F.coalesce(clock.in_slots(time_col, slots), F.lit(False)))
+    in_slot = F.coalesce(clock.in_slots(time_col, slots), F.lit(False))
+    observed = full.filter(in_slot)
+    labels = grid_labels(slots)
+    on_grid = in_slot & F.col(time_col).isin(labels)
     firsts = (full.groupBy(*keys)
-                  .agg(F.min_by(F.struct(*[F.col(c) for c in first_cols]), F.col(order)).alias("_f"))
-                  .select(*keys, "_f.*"))
-    # each id row generates its grid minutes (<= 1440) in place: no join
-    candidates = (firsts.withColumn("_m", F.explode(grid_minutes(slots)))
-                        .withColumn(time_col, minute_label(F.col("_m"))).drop("_m"))
-    # distinct pairs are partially aggregated map-side: the anti join
-    # shuffles at most ids x grid pairs, not every observed row
-    present = observed.select(*keys, time_col).distinct()
-    cond = None
-    for k in keys + [time_col]:
-        c = candidates[k].eqNullSafe(present[k])
-        cond = c if cond is None else cond & c
-    missing = candidates.join(present, cond, "left_anti")
+                  .agg(F.min_by(F.struct(*[F.col(c) for c in first_cols]), F.col(order)).alias("_f"),
+                       F.collect_set(F.when(on_grid, F.col(time_col))).alias("_seen"))
+                  .select(*keys, "_f.*", "_seen"))
+    # each id row generates the grid minutes (<= 1440) that it lacks in place: no join
+    lacking = F.array_except(F.array(*[F.lit(m) for m in labels]), F.col("_seen"))
+    missing = firsts.withColumn(time_col, F.explode(lacking)).drop("_seen")
     for c, v in fill.items():
         missing = missing.withColumn(c, F.lit(v))
     gen = missing.select(*[F.col(c).cast(full.schema[c].dataType) if c in full.columns
