@@ -316,6 +316,45 @@ def test_passages_with_evenly_changed_words(spark, frame, every, words_):
     assert got[0].start <= 51 and got[0].end >= 48 + words_ and 100 * got[0].same >= 75 * (got[0].end - got[0].start)
 
 
+def _fuzzy(rng, words, passage, changed):
+    p = list(passage)
+    for at in rng.choice(np.arange(8, len(p) - 8), changed, replace=False):
+        p[at] = str(rng.choice(words))
+    return p
+
+
+def test_passages_all_pairs_of_a_passage(spark, frame):
+    """Every two documents that share a passage meet, however many share it;
+    sentences of other documents stand between its changed words."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(20000)]
+    passage = list(rng.choice(words, 90))
+    shared = {i: _fuzzy(rng, words, passage, i % 6) for i in range(100, 140)}
+    rows = [(i, " ".join([*rng.choice(words, 50), *p, *rng.choice(words, 50)])) for i, p in shared.items()]
+    for i, p in enumerate(shared[k][a:a + 16] for k in (120, 130, 139) for a in range(0, 75, 4)):
+        rows += [(i + 1, " ".join([*rng.choice(words, 40), *p, *rng.choice(words, 40)])),
+                 (300 + i, " ".join([*rng.choice(words, 40), *p, *rng.choice(words, 40)]))]
+    got = {(r.doc_id, r.source_id) for r in passages.find(frame(rows)).collect()}
+    assert got == {(b, a) for b in shared for a in shared if a < b}
+
+
+def test_passages_of_frequent_sentences(spark, frame):
+    """A sentence of 13 words in 60 documents is no passage by itself, but part of
+    one where it is, behind an inserted word too."""
+    rng = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(20000)]
+    first, second, third = (list(rng.choice(words, 14)) for _ in range(3))
+    rows = [(i, " ".join([*rng.choice(words, 60), *(first, second, third)[i % 3], *rng.choice(words, 60)]))
+            for i in range(1, 181)]
+    rest = list(rng.choice(words, 30))
+    for i, p in ((500, [*first, *rest]), (510, [*first, "in", *rest]), (520, [*first, *rest]),
+                 (600, [*first, *second, *third]), (610, [*first, "x", *second, "y", "z", *third])):
+        rows.append((i, " ".join([*rng.choice(words, 60), *p, *rng.choice(words, 60)])))
+    got = {(r.doc_id, r.source_id): r for r in passages.find(frame(rows)).collect()}
+    assert set(got) == {(510, 500), (520, 500), (520, 510), (610, 600)}
+    assert got[520, 500].same == 44 and got[510, 500].same == 44 and got[610, 600].same == 42
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(30):
