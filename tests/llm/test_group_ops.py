@@ -8,7 +8,7 @@ import pytest
 
 from conftest import SF_SMALL
 from llm_help import frame, groups, pairs, vectors  # noqa: F401 - fixtures
-from tripframe.llm import caps, catalog, knn, mixing, partenum, passages, urls
+from tripframe.llm import caps, catalog, exchange, knn, mixing, partenum, passages, urls
 from tripframe.llm.components import components
 
 
@@ -323,6 +323,30 @@ def _fuzzy(rng, words, passage, changed):
     return p
 
 
+def test_passages_copies_of_other_batches(spark, frame):
+    """Copies are one text wherever they are read, also as many as make a seed frequent."""
+    rng = np.random.default_rng(23)
+    words = [f"w{i}" for i in range(20000)]
+    passage = list(rng.choice(words, 60))
+    texts = [" ".join([*rng.choice(words, 30), *passage, *rng.choice(words, 30)]) for _ in range(3)]
+    rows = [(i, texts[i % 3]) for i in range(60)]
+    got = passages.find(frame(rows).repartition(12, "doc_id")).collect()
+    assert sorted((r.doc_id, r.source_id) for r in got if r.kind == "passage") == [(1, 0), (2, 0), (2, 1)]
+    assert sorted((r.doc_id, r.source_id) for r in got if r.kind == "copy") == [(i, i % 3) for i in range(3, 60)]
+    assert all((r.start, r.end, r.same) == (30, 90, 60) for r in got if r.kind == "passage")
+
+
+def test_passages_steps_of_matches():
+    """Places of matches are the same again after their steps are packed."""
+    rng = np.random.default_rng(24)
+    c = rng.integers(1, 9, 50)
+    s = np.cumsum(c) - c
+    at = rng.integers(0, 1 << 31, int(c.sum())).astype(np.int64)
+    assert np.array_equal(passages._places(passages._steps(at, s), s, c), at)
+    assert exchange.unsqueeze(exchange.squeeze(b"")) == b""
+    assert exchange.unsqueeze(exchange.squeeze(at.tobytes())) == at.tobytes()
+
+
 def test_passages_all_pairs_of_a_passage(spark, frame):
     """Every two documents that share a passage meet, however many share it;
     sentences of other documents stand between its changed words."""
