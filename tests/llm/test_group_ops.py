@@ -337,11 +337,11 @@ def test_passages_copies_of_other_batches(spark, frame):
 
 
 def test_passages_steps_of_matches():
-    """Places of matches are the same again after their steps are packed."""
+    """Places and diagonals of matches are the same again after their steps are packed."""
     rng = np.random.default_rng(24)
     c = rng.integers(1, 9, 50)
     s = np.cumsum(c) - c
-    at = rng.integers(0, 1 << 31, int(c.sum())).astype(np.int64)
+    at = rng.integers(-1 << 30, 1 << 30, int(c.sum())).astype(np.int64)
     assert np.array_equal(passages._places(passages._steps(at, s), s, c), at)
     assert exchange.unsqueeze(exchange.squeeze(b"")) == b""
     assert exchange.unsqueeze(exchange.squeeze(at.tobytes())) == at.tobytes()
