@@ -178,6 +178,52 @@ def test_caps_crowded_filter_is_dealt_as_blocks(spark, vectors):
     assert {(r.n_links, r.component_id) for r in got} == {(89, 0)}
 
 
+def test_caps_partitions_and_rounds_are_bounded(spark, vectors, monkeypatch):
+    """A partition gets a bounded number of bytes, and links do not depend on rounds."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((12000, 64)).astype(np.float32)
+    v[11000:] = v[:1000] + 0.01 * v[1000:2000]
+    rows = [(i, x.tolist(), i % 1000 % 3) for i, x in enumerate(v)]
+    most, count = [], caps._count
+
+    def watched(sent, *rest):
+        most.append(sent.groupBy("part").agg(F.sum(F.length("payload")).alias("n")).agg(F.max("n")).first()[0])
+        return count(sent, *rest)
+
+    monkeypatch.setattr(caps, "_count", watched)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.link(vectors(rows)).collect()}
+    assert sum(got[i] == (1, i % 11000) for i in [*range(1000), *range(11000, 12000)]) >= 1990
+    assert max(most) < 16 << 20
+    monkeypatch.setattr(caps, "ROUND_BYTES", 16 << 20)
+    monkeypatch.setattr(caps, "ROUND", 0.1)
+    most.clear()
+    again = {r.vec_id: (r.n_links, r.component_id) for r in caps.link(vectors(rows)).collect()}
+    assert again == got and len(most) > 4
+
+
+@pytest.mark.parametrize("d", [1, 2, 8])
+def test_caps_short_vectors_match_brute_force(spark, vectors, d):
+    rng = np.random.default_rng(d)
+    v = rng.standard_normal((120, d)).astype(np.float32)
+    got = caps.link(vectors([(i, x.tolist(), i % 2) for i, x in enumerate(v)]), block=32).collect()
+    u = v / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    links = [(a, b) for a, b in pairs(range(120)) if a % 2 == b % 2 and u[a] @ u[b] >= 0.93]
+    want = groups(links, range(120))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {
+        i: (sum(i in p for p in links), want[i]) for i in range(120)}
+
+
+def test_caps_repeated_ids_and_doubles(spark):
+    """An id with two vectors joins their components; doubles keep their precision."""
+    base = np.random.default_rng(5).standard_normal((3, 24))
+    rows = [(1, base[0].tolist(), 0), (2, base[0].tolist(), 0), (1, base[1].tolist(), 0),
+            (3, (base[1] * (1 + 1e-12)).tolist(), 0), (3, (base[1] * (1 + 1e-12)).tolist(), 0), (4, base[2].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in caps.link(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_caps_empty(spark, vectors):
     assert caps.link(vectors([])).count() == 0
 

@@ -8,13 +8,17 @@
   codebook of ``CODES`` random directions; a filter direction is one code
   per block, so ``CODES ** BLOCKS`` directions need only ``BLOCKS * CODES``
   inner products. A vector belongs to *all* filters whose direction it exceeds
-  by ``CUT`` times its inner product with its best direction; they are
+  by ``CUT`` times its inner product with its best direction (vectors of up to ``SHORT``
+  numbers, whose pairs would share several filters by chance, all belong to one); they are
   list-decoded block by block, dropping prefixes that can't reach the cut any
   more. A cut relative to the best direction gives every vector some filters,
   and near vectors mostly the same. ``TABLES`` rotations can be used.
 * Join: vectors that share a filter (of one label and length) meet in one
   Spark partition. A filter of more than ``BLOCK`` vectors is dealt out as
-  pairs of blocks, so no task gets an unbounded group.
+  pairs of blocks, so no task gets an unbounded group. A vector is sent once per
+  filter, which is many times the table: filters are joined in rounds of about
+  ``ROUND`` times the vectors' bytes, whose shuffles are deleted in between, and a
+  partition gets about ``PART`` bytes, however large the table is.
 * Verify: cosines in double precision. A pair that shares several filters
   counts at the smallest one only. A task returns link counts per vector and
   a forest of links, not pairs; equal vectors were grouped before with their
@@ -35,8 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripframe.llm import common as C
 from tripframe.llm import exchange as X
@@ -46,6 +52,9 @@ from tripframe.llm.components import components
 LEAST = 0.93
 BLOCKS, CODES, CUT, TABLES = 3, 64, 0.9, 1
 BLOCK = 2048
+ROUND, ROUND_BYTES = 1.5, 256 << 20      # what a round sends: in bytes of all vectors, and in bytes at least
+PART = 12 << 20     # bytes that a partition of a round gets, or a task sends at once
+SHORT = 8
 SEED = 7
 _SLICE = 256
 
@@ -102,96 +111,186 @@ def usable(v: str, parts: tuple[str, ...] = ()):
     return F.coalesce(ok, F.lit(False))
 
 
-def _matrix(col) -> np.ndarray:
-    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1).astype(np.float64)
+def _matrix(col, kind: str) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(kind)
+
+
+def _binary(col) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values, offsets of length rows + 1) of a binary column."""
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+    return data[off[0]:off[-1]], off - off[0]
+
+
+def _cut(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bytes as binary values of the sizes given."""
+    off = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(data.tobytes())])
 
 
 def _by_length(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    n = np.array([len(x) for x in b.column(column)], dtype=np.int64)
+    n = pc.list_value_length(b.column(column)).to_numpy(zero_copy_only=False)
     for d in np.unique(n):
         yield int(d), b.take(pa.array(np.flatnonzero(n == d)))
 
 
-def _filters(reps: DataFrame, cut: float, tables: int) -> DataFrame:
-    """Filters of every vector: ``own, label, vec, m, filters array<long>``
-    (hashes of label, length and filter, ascending)."""
+_LISTS = "node long, own long, h1 long, h2 long, m long, label long, d int, n int, vec binary, filters binary"
+
+
+def _filters(reps: DataFrame, kind: str, cut: float, tables: int) -> DataFrame:
+    """Vectors with their ``n`` filters, ascending (both packed: numbers of
+    ``kind``, and of four bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for d, b in _by_length(whole, 2):
-                v = _matrix(b.column(2))
-                row, f = decode(v / np.linalg.norm(v, axis=1)[:, None], cut, tables)
-                label = W.mix(np.array(b.column(1).to_pylist(), dtype=np.int64).astype(np.uint64))
-                h = X.low48(W.mix(W.mix(f.astype(np.uint64) + np.uint64(d << 32)) ^ label[row]))
-                by = np.lexsort((h, row))
-                row, h = row[by], h[by].astype(np.int64)
-                off = np.searchsorted(row, np.arange(b.num_rows + 1))
+            for d, b in _by_length(whole, 6):
+                given = _matrix(b.column(6), kind)
+                v = given.astype(np.float64)
+                if d <= SHORT:
+                    row, f = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+                else:
+                    row, f = decode(v / np.linalg.norm(v, axis=1)[:, None], cut, tables)
+                by = np.lexsort((f, row))
+                n = np.bincount(row, minlength=b.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), b.column(3),
-                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h))],
-                    names=["own", "vec", "m", "filters"])
+                    [*b.columns[:6], pa.array(np.full(len(n), d, np.int32)), pa.array(n.astype(np.int32)),
+                     _cut(given, np.full(len(n), given.itemsize * d)), _cut(f[by].astype("<u4"), 4 * n)],
+                    names=[x.split()[0] for x in _LISTS.split(", ")])
 
-    return reps.mapInArrow(run, "own long, vec array<double>, m long, filters array<long>")
+    return reps.mapInArrow(run, _LISTS)
 
 
-def _addresses(lists: DataFrame, block: int) -> DataFrame:
-    """Where each vector goes: one place per filter, or one per pair of
-    blocks of a filter with more than ``block`` vectors."""
-    each = lists.select("own", F.explode("filters").alias("f"))
-    crowded = (each.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block)
-               .select("f", F.ceil(F.col("c") / block).cast("int").alias("nb")))
-    x = each.join(crowded, "f", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    x = x.withColumn("b", F.pmod(F.xxhash64("own"), F.col("nb")).cast("int"))
-    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    place = F.xxhash64("f", F.least("b", "o"), F.greatest("b", "o"))
-    return (x.groupBy("own").agg(F.collect_list(F.struct(
-        place.alias("at"), "f", "b", (F.col("b") == F.col("o")).alias("diag"))).alias("places")))
+def _listed(filters, d, n, label) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Filters of a batch's vectors one by one: filter, its hash with label and
+    length, row, place in the row's list."""
+    n = n.to_numpy().astype(np.int64)
+    f = _binary(filters)[0].view("<u4")
+    row = np.repeat(np.arange(len(n)), n)
+    of = W.mix(label.to_numpy().astype(np.uint64))
+    length = d.to_numpy().astype(np.uint64) << np.uint64(32)
+    h = W.mix(W.mix(f.astype(np.uint64) + length[row]) ^ of[row])
+    return f, h, row, np.arange(len(f)) - np.repeat(np.cumsum(n) - n, n)
 
 
-OUT = "own long, links long, root long"
-_EXTRA = ["<i8", "<u4", "u1"]
+def _crowded(lists: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash, number of blocks) of filters with more than ``block`` vectors, in
+    order of the hash, and how many records they add. At most one filter for ``block``
+    records reaches the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, c = np.unique(_listed(*b.columns)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["f", "c"])
+
+    got = (lists.select("filters", "d", "n", "label").mapInArrow(run, "f long, c long")
+           .groupBy("f").agg(F.sum("c").alias("c")).filter(F.col("c") > block).toPandas())
+    f, c = got["f"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
+    by = np.argsort(f)
+    nb = -(-c // block)
+    return f[by], nb[by].astype(np.int64), int((c * (nb - 1)).sum())
+
+
+def _places(h, f, row, at, node, crowded, nb) -> tuple[np.ndarray, ...]:
+    """Where the vectors go: (place, filter, row, place in its list, block, whether
+    both blocks are one), one place per filter, or one per pair of blocks."""
+    many = np.ones(len(h), dtype=np.int64)
+    if len(crowded):
+        k = np.minimum(np.searchsorted(crowded, h), len(crowded) - 1)
+        many = np.where(crowded[k] == h, nb[k], 1)
+    o = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    h, f, row, at, many = (np.repeat(x, many) for x in (h, f, row, at, many))
+    b = (W.mix(node[row]) % many.astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(b, o) << 32 | np.maximum(b, o)).astype(np.uint64)
+    return W.mix(h ^ W.mix(pair)), f, row, at, b, b == o
 
 
-def _send(lists: DataFrame, places: DataFrame, parts: int) -> DataFrame:
-    """Vectors packed by target partition: ``part, d, width, payload``."""
+OUT = "own long, links long, root long"
+_HEAD = ("<u4", 4)      # records, vectors, bytes of an index, length of the lists
+_RECORD = 41            # bytes of a record with its vector's number, without vector and list
+
+
+def _pack(key, row, f, at, blk, diag, node, m, vec, flat, start) -> bytes:
+    """Records of one partition and the vectors they name, each with its filters
+    up to the last one it is sent for: a shared smaller filter is among those."""
+    used, idx = np.unique(row, return_inverse=True)
+    size = np.zeros(len(used), dtype=np.int64)
+    np.maximum.at(size, idx, at + 1)
+    take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[used], size)
+    idx = idx.astype("<u2" if len(used) <= 65536 else "<u4")
+    head = np.array([len(key), len(used), idx.itemsize, len(take)], dtype="<u4")
+    return b"".join([head.tobytes(), X.pack48(key), idx.tobytes(), f.astype("<u4").tobytes(), blk.astype("<u4").tobytes(),
+                     diag.astype("u1").tobytes(), node[used].tobytes(), m[used].tobytes(), size.astype("<u4").tobytes(),
+                     vec[used].tobytes(), flat[take].tobytes()])
+
+
+def _unpack(b: bytes, d: int, kind: str) -> tuple[np.ndarray, ...]:
+    k, u, w, n = (int(x) for x in np.frombuffer(b, _HEAD[0], _HEAD[1]))
+    at, out = 4 * _HEAD[1], []
+    for dtype, count in (("u1", 6 * k), (f"<u{w}", k), ("<u4", k), ("<u4", k), ("u1", k), ("<i8", u), ("<i8", u),
+                         ("<u4", u), (kind, u * d), ("<u4", n)):
+        out.append(np.frombuffer(b, dtype, count, at))
+        at += out[-1].nbytes
+    out[0] = X.unpack48(out[0].tobytes())
+    out[8] = out[8].reshape(u, d)
+    return tuple(out)
+
+
+def _send(lists: DataFrame, kind: str, crowded, turn: int, rounds: int, parts: int) -> DataFrame:
+    """Vectors of one round packed by target partition: ``part, d, payload``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, nb = crowded.value
         for whole in batches:
-            for d, b in _by_length(whole, 1):
-                own = b.column(0).to_numpy()
-                m = b.column(2).to_numpy()
-                vec = _matrix(b.column(1))
-                lists_ = b.column(3)
-                n = np.diff(lists_.offsets.to_numpy())
-                width = int(n.max()) if len(n) else 0
-                flat = np.full((len(n), max(1, width)), -1, dtype="<i8")
-                flat[np.arange(flat.shape[1])[None, :] < n[:, None]] = lists_.flatten().to_numpy()
-                pl = b.column(4)
-                owner = np.repeat(np.arange(len(own)), np.diff(pl.offsets.to_numpy()))
-                s = pl.flatten()
-                at = s.field(0).to_numpy().astype(np.uint64)
-                got = list(X.scatter(X.part_of(W.mix(at), parts), X.low48(W.mix(at)), owner,
-                                     [own.astype("<i8"), m.astype("<i8"), vec, flat],
-                                     [s.field(1).to_numpy().astype("<i8"), s.field(2).to_numpy().astype("<u4"),
-                                      s.field(3).to_numpy(zero_copy_only=False).astype(np.uint8)]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in got], pa.int32()), pa.array([d] * len(got), pa.int32()),
-                     pa.array([flat.shape[1]] * len(got), pa.int32()),
-                     pa.array([x for _, x in got], pa.binary())], names=["part", "d", "width", "payload"])
-
-    return (lists.join(places, "own").select("own", "vec", "m", "filters", "places")
-            .mapInArrow(run, "part int, d int, width int, payload binary")
-            .repartitionById(parts, F.col("part")))
+            lengths = whole.column(3).to_numpy()
+            for d in np.unique(lengths).tolist():
+                b = whole if len(whole) == (lengths == d).sum() else whole.take(pa.array(np.flatnonzero(lengths == d)))
+                f, h, row, at = _listed(b.column(6), b.column(3), b.column(4), b.column(2))
+                node, m = b.column(0).to_numpy(), b.column(1).to_numpy()
+                vec = _binary(b.column(5))[0].view(kind).reshape(len(node), d)
+                start = np.searchsorted(row, np.arange(len(node)))
+                named = node.astype(np.uint64)
+                many = np.ones(len(h), dtype=np.int64)
+                if len(hot):
+                    k = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    many = np.where(hot[k] == h, nb[k], 1)
+                size = np.cumsum(many * (_RECORD + vec.itemsize * d + 4 * at)) // (PART * rounds)
+                cuts = np.flatnonzero(np.diff(size, prepend=-1))
+                for lo, hi in zip(cuts, [*cuts[1:], len(h)]):
+                    place, *rest = _places(h[lo:hi], f[lo:hi], row[lo:hi], at[lo:hi], named, hot, nb)
+                    mine = (place & np.uint64(0xFFFFFF)) % np.uint64(rounds) == turn
+                    place, rest = place[mine], [x[mine] for x in rest]
+                    part = X.part_of(place, parts)
+                    by = np.argsort(part, kind="stable")
+                    part, key, (g, r, a, blk, diag) = part[by], place[by], [x[by] for x in rest]
+                    s, c = X.run_lengths(part)
+                    if not len(s):
+                        continue
+                    out = [_pack(key[i:i + n], r[i:i + n], g[i:i + n], a[i:i + n], blk[i:i + n], diag[i:i + n],
+                                 node, m, vec, f, start) for i, n in zip(s, c)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[s], pa.int32()), pa.array([d] * len(out), pa.int32()),
+                                                      pa.array(out, pa.binary())], names=["part", "d", "payload"])
+
+    return (lists.select("node", "m", "label", "d", "n", "vec", "filters")
+            .mapInArrow(run, "part int, d int, payload binary").repartitionById(parts, F.col("part")))
 
 
 class _Tally:
     """Links of one partition: counts and a forest."""
 
-    def __init__(self, own, m, unit, lists, least):
-        self.own, self.m, self.unit, self.lists, self.least = own, m, unit, lists, least
+    def __init__(self, own, m, unit, size, flat, least):
+        self.own, self.m, self.unit, self.least = own, m, unit, least
+        self.size, self.start, self.flat = size, np.cumsum(size) - size, flat
+        self.rough = unit.astype(np.float32)
         self.links = np.zeros(len(own), dtype=np.int64)
         self.root = np.arange(len(own))
-        row, k = np.nonzero(lists >= 0)
-        self.has = np.sort(W.mix(lists[row, k].astype(np.uint64) ^ W.mix(row.astype(np.uint64) + np.uint64(1))))
+        self.has = np.sort(self._named(flat, np.repeat(np.arange(len(own)), size)))
+
+    @staticmethod
+    def _named(f: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return W.mix(row.astype(np.uint64) << np.uint64(32) | f.astype(np.uint64))
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which products of two sets of rows (the last but one axis) can reach the
+        least cosine: in single precision, less its error."""
+        return (self.rough[x] @ np.swapaxes(self.rough[y], -1, -2)
+                >= self.least - 1e-5 - 1e-6 * self.unit.shape[1])
 
     def add(self, x: np.ndarray, y: np.ndarray, f: np.ndarray) -> None:
         """Candidate pairs with the filter they met in."""
@@ -212,15 +311,16 @@ class _Tally:
         ascending lists are searched only as far as needed."""
         out = np.zeros(len(a), dtype=bool)
         open_ = np.arange(len(a))
-        for k in range(self.lists.shape[1]):
-            f = self.lists[a[open_], k]
+        k = 0
+        while len(open_):
+            open_ = open_[k < self.size[a[open_]]]
+            f = self.flat[self.start[a[open_]] + k]
             here = f == g[open_]
             out[open_[here]] = True
-            key = W.mix(f.astype(np.uint64) ^ W.mix(b[open_].astype(np.uint64) + np.uint64(1)))
+            key = self._named(f, b[open_])
             at = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
             open_ = open_[~here & (self.has[at] != key)]
-            if not len(open_):
-                break
+            k += 1
         return out
 
     def _hang(self, a, b) -> None:
@@ -238,37 +338,31 @@ class _Tally:
                 self.root = up
 
 
-def _count(sent: DataFrame, least: float) -> DataFrame:
+def _count(sent: DataFrame, kind: str, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lots: dict[int, list[tuple[int, bytes]]] = {}
+        lots: dict[int, list[bytes]] = {}
         for b in batches:
-            for d, w, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                lots.setdefault(d, []).append((w, p))
-        for d, got in lots.items():
-            wide = max(w for w, _ in got)
-            keys, owners, tables, extras, base = [], [], [], [], 0
-            for w, p in got:
-                k, o, t, e = X.unpack(p, ["<i8", "<i8", np.dtype(("<f8", (d,))), np.dtype(("<i8", (w,)))], _EXTRA)
-                pad = np.full((len(t[3]), wide), -1, dtype=np.int64)
-                pad[:, :w] = t[3]
-                keys.append(k)
-                owners.append(o + base)
-                extras.append(e)
-                tables.append((t[0], t[1], t[2], pad))
-                base += len(pad)
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            own, m, vec, lists = (np.concatenate(c) for c in zip(*tables))
-            f, blk, diag = (np.concatenate(c) for c in zip(*extras))
-            del tables, keys, extras
-            tally = _Tally(own, m, vec / np.linalg.norm(vec, axis=1)[:, None], lists, least)
+            for d, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                lots.setdefault(d, []).append(p)
+        while lots:
+            d, got = lots.popitem()
+            cols = list(zip(*(_unpack(p, d, kind) for p in got)))
+            base = np.cumsum([0, *(len(x) for x in cols[5])])
+            owner = np.concatenate([x.astype(np.int64) + n for x, n in zip(cols[1], base)])
+            key, _, f, blk, diag, own, m, size, vec, flat = (np.concatenate(x) for x in cols)
+            del got, cols
+            unit = vec.astype(np.float64)
+            unit /= np.linalg.norm(unit, axis=1)[:, None]
+            del vec
+            tally = _Tally(own, m, unit, size.astype(np.int64), flat, least)
             by = np.argsort(key, kind="stable")
             key, owner, f, blk, diag = key[by], owner[by], f[by], blk[by], diag[by]
             s, c = X.run_lengths(key)
-            for at, k in zip(s[c > 64], c[c > 64]):    # crowded filters by matrix products
+            for at, k in zip(s[c > 64], c[c > 64]):
                 mem = owner[at:at + k]
                 for lo in range(0, k, 1024):
                     for hi in range(lo, k, 1024):
-                        near = tally.unit[mem[lo:lo + 1024]] @ tally.unit[mem[hi:hi + 1024]].T >= least - 1e-9
+                        near = tally.near(mem[lo:lo + 1024], mem[hi:hi + 1024])
                         if lo == hi:
                             near &= np.tri(*near.shape, -1, dtype=bool).T
                         x, y = np.nonzero(near)
@@ -276,12 +370,13 @@ def _count(sent: DataFrame, least: float) -> DataFrame:
                         ok = (diag[x] == 1) | (blk[x] != blk[y])
                         tally.add(owner[x[ok]], owner[y[ok]], f[x[ok]])
             for k in np.unique(c[(c > 1) & (c <= 64)]):
-                i, j = np.triu_indices(k, 1)
                 starts = s[c == k]
-                step = max(1, (1 << 18) // len(i))
+                later = np.tri(k, k, -1, dtype=bool).T
+                step = max(1, (1 << 15) // k)
                 for lo in range(0, len(starts), step):
-                    at = starts[lo:lo + step, None]
-                    x, y = (at + i).ravel(), (at + j).ravel()
+                    at = starts[lo:lo + step, None] + np.arange(k)
+                    g, x, y = np.nonzero(tally.near(owner[at], owner[at]) & later)
+                    x, y = at[g, x], at[g, y]
                     ok = (diag[x] == 1) | (blk[x] != blk[y])
                     tally.add(owner[x[ok]], owner[y[ok]], f[x[ok]])
             some = np.flatnonzero(tally.links)
@@ -292,38 +387,56 @@ def _count(sent: DataFrame, least: float) -> DataFrame:
     return sent.mapInArrow(run, OUT)
 
 
+def _linked(lists: DataFrame, kind: str, least: float, block: int) -> DataFrame:
+    """Links of all partitions, round by round."""
+    spark = lists.sparkSession
+    size = F.col("d").cast("double") * int(kind[-1])
+    n, sent, kept = lists.agg(F.sum("n"), F.sum(F.col("n") * (size + 2 * F.col("n") + _RECORD)),
+                              F.sum(size + 4 * F.col("n") + 56)).first()
+    if not n:
+        return spark.createDataFrame([], OUT)
+    hot, nb, more = _crowded(lists, block)
+    sent *= (n + more) / n
+    rounds = max(1, int(-(-sent // max(ROUND * kept, ROUND_BYTES))))
+    parts = max(C.shuffle_parts(spark), int(-(-sent // (rounds * PART))))
+    crowded = spark.sparkContext.broadcast((hot, nb))
+    out = None
+    for turn in range(rounds):
+        got = C.stage_freed(_count(_send(lists, kind, crowded, turn, rounds, parts), kind, least), "cap-links")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
          least: float = LEAST, cut: float = CUT, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``."""
     spark = vectors.sparkSession
     C.bound_batches(spark)
+    of = vectors.select(C.column(vector)).schema[0].dataType
+    single = isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
     rows = vectors.select(C.column(key).cast("long").alias("id"), C.column(label).cast("long").alias("label"),
-                          C.column(vector).cast("array<double>").alias("vec"))
+                          C.column(vector).cast("array<float>" if single else "array<double>").alias("vec"))
     rows = rows.withColumn("ok", usable("vec", ("id", "label"))
                            & F.coalesce(F.exists("vec", lambda e: e != 0), F.lit(False)))
-    good = C.stage(rows.filter("ok").groupBy("label", "vec").agg(
-        F.min("id").alias("own"), F.count(F.lit(1)).alias("m")), "cap-reps")
-    reps = good.select("own", "label", "vec", "m")
+    # Rows meet their vector again by two hashes, so vectors travel only once.
+    h1, h2 = F.xxhash64("label", "vec").alias("h1"), F.xxhash64("vec", "label").alias("h2")
+    reps = rows.filter("ok").groupBy("label", "vec").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("m"))
     # Two rows may share an id but not a vector; a number keeps them apart.
-    reps = reps.withColumn("twin", F.row_number().over(Window.partitionBy("own").orderBy("label", "vec")))
-    reps = reps.withColumn("node", F.when(F.col("twin") == 1, F.col("own")).otherwise(
-        -1 - F.pmod(F.xxhash64("own", "label", "vec"), F.lit(1 << 62))))
-    reps = C.stage(reps, "cap-nodes")
-    lists = C.stage(_filters(reps.select("node", "label", "vec", "m"), cut, tables), "cap-filters")
-    sent = _send(lists, _addresses(lists, block), C.shuffle_parts(spark))
-    got = C.stage(_count(sent, least), "cap-links")
+    reps = reps.select(F.monotonically_increasing_id().alias("node"), "own", h1, h2, "m", "label", "vec")
+    lists = C.stage_freed(_filters(reps, kind, cut, tables), "cap-filters")
+    got = _linked(lists, kind, least, block)
     links = got.groupBy("own").agg(F.sum("links").alias("links")).withColumnRenamed("own", "node")
     edges = got.select(F.col("own").alias("a"), F.col("root").alias("b"))
-    twins = reps.filter("twin > 1").select(F.col("node").alias("a"), F.col("own").alias("b"))
+    twins = lists.groupBy("own").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    twins = lists.join(twins, "own").select(F.col("node").alias("a"), "b")
     comp = components(edges.union(twins))
-    low = (comp.join(reps.select("node", "own"), "node").groupBy("root").agg(F.min("own").alias("component_id")))
-    info = (reps.select("node", "own", "label", "vec", "m").join(links, "node", "left")
-            .join(comp, "node", "left").join(low, "root", "left")
-            .select(F.col("label").alias("l2"), F.col("vec").alias("v2"),
-                    (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
+    nodes = lists.select("node", "own", "h1", "h2", "m")
+    low = comp.join(nodes.select("node", "own"), "node").groupBy("root").agg(F.min("own").alias("component_id"))
+    info = (nodes.join(links, "node", "left").join(comp, "node", "left").join(low, "root", "left")
+            .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
                     F.coalesce("component_id", "own").alias("component_id")))
-    linked = (rows.filter("ok").join(info, (F.col("label") == F.col("l2")) & (F.col("vec") == F.col("v2")))
-              .select("id", "n_links", "component_id"))
+    linked = rows.filter("ok").select("id", h1, h2).join(info, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = rows.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"),
                                          F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
