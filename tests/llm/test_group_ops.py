@@ -425,6 +425,40 @@ def test_passages_of_frequent_sentences(spark, frame):
     assert got[520, 500].same == 44 and got[510, 500].same == 44 and got[610, 600].same == 42
 
 
+def test_passages_in_rounds(spark, frame, monkeypatch):
+    """Rounds send less at once, find the same and leave nothing of their steps."""
+    import glob
+
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(25)
+    words = [f"w{i}" for i in range(20000)]
+    passage = list(rng.choice(words, 60))
+    rows = [(i, " ".join([*rng.choice(words, 30), *(_fuzzy(rng, words, passage, i % 5) if i < 60 else passage[:50]),
+                          *rng.choice(words, 30)])) for i in range(70)]
+    pair = [list(rng.choice(words, 70)) for _ in range(6)]
+    rows += [(100 + i, " ".join([*rng.choice(words, 20), *pair[i % 6]])) for i in range(18)] + [(200, rows[3][1])]
+    sent, chain = [], passages._chain
+
+    def watched(matched, *rest):
+        sent.append(matched.agg(F.sum(F.length("payload"))).first()[0])
+        return chain(matched, *rest)
+
+    monkeypatch.setattr(passages, "_chain", watched)
+
+    def found():
+        return sorted(map(tuple, passages.find(frame(rows)).collect()))
+
+    want, (whole,) = found(), sent
+    sent.clear()
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = len(glob.glob(f"{folder}/stage/llm-passage-chains*"))
+    monkeypatch.setattr(passages, "ROUND", 0, raising=False)
+    monkeypatch.setattr(passages, "ROUND_BYTES", 1 << 14, raising=False)
+    assert found() == want and len(want) > 1000
+    assert len(sent) > 2 and max(sent) < 0.7 * whole
+    assert len(glob.glob(f"{folder}/stage/llm-passage-chains*")) == before > 0
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(30):
