@@ -111,8 +111,9 @@ def usable(v: str, parts: tuple[str, ...] = ()):
     return F.coalesce(ok, F.lit(False))
 
 
-def _matrix(col, kind: str) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(kind)
+def _matrix(col, kind=np.float64) -> np.ndarray:
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1).astype(kind)
 
 
 def _binary(col) -> tuple[np.ndarray, np.ndarray]:
